@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import decontaminate, topk, warc
+from hanweave.llm import chat, decontaminate, lines, topk, warc
+from hanweave.llm.storage import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,32 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of later three-line windows."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the written output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    paths = chat.reply_paths(chat.chains(rows.unionByName(probe)), max_branches=1)
+    out = materialise(chat.format_paths(paths), "chat-formatted")
+    read = out.select(F.col("tree_id").alias("conv_id"), "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(every, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of 10 words of the benchmark."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,6 +60,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_chat_format": op5_chat_format,
     "op8_decontaminate": op8_decontaminate,
     "op10_topk": op10_topk,
 }
@@ -50,6 +79,45 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
   CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM d LEFT JOIN g ON d.digest = g.digest
+""",
+    "op3_line_dedup": """
+WITH l AS (
+  SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT doc_id, i, s[i] || chr(10) || s[i + 1] || chr(10) || s[i + 2] AS g
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS i FROM l WHERE len(s) >= 3)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later
+), n AS (
+  SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT x.doc_id AS doc_id, string_agg(line, chr(10) ORDER BY x.i) AS text
+  FROM (SELECT doc_id, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS i FROM l) x
+  ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i
+  GROUP BY x.doc_id
+)
+SELECT d.doc_id AS doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, lang, source, n_chars,
+  CAST(coalesce(len(l.s), 0) AS BIGINT) AS n_lines, CAST(coalesce(n.n_removed, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+""",
+    "op5_chat_format": r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), c AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ord
+  FROM rows WHERE conv_id IS NOT NULL
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY ord) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(15 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
 """,
     "op8_decontaminate": r"""
 WITH d AS (
