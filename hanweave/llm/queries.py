@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import chat, decontaminate, lines, topk, warc
+from hanweave.llm import chat, decontaminate, lines, packing, topk, warc
 from hanweave.llm.storage import materialise
 
 
@@ -32,6 +32,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 byte-BPE tokens."""
+    rows = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    placed = packing.pack(rows, capacity=2048)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -61,6 +74,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
     "op8_decontaminate": op8_decontaminate,
     "op10_topk": op10_topk,

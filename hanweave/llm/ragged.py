@@ -74,6 +74,21 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, m: np.ui
     return mix(out + sizes.astype(np.uint64) * M2)
 
 
+_POINT = mix(np.arange(1 << 16, dtype=np.uint64) + M2)
+
+
+def cover_hashes(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the runs that begin at ``starts`` and cover all code points."""
+    sizes = np.diff(np.append(starts, len(points)))
+    value = _POINT[np.minimum(points, 0xFFFF)]
+    high = np.flatnonzero(points > 0xFFFF)
+    value[high] = mix(points[high].astype(np.uint64) + M2)
+    place = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    most = int(sizes.max()) + 1
+    tail = sizes.astype(np.uint64) * M2
+    return tuple(mix(np.add.reduceat(value * powers(most, m)[place], starts) + tail) for m in (M1, M2))
+
+
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of each ``k`` consecutive 64-bit values; one for each start, ``len - k + 1`` in all."""
     n = len(values) - k + 1
