@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import chat, decontaminate, lines, packing, topk, warc
+from hanweave.llm import chat, decontaminate, idfile, lines, packing, topk, warc
 from hanweave.llm.storage import materialise
 
 
@@ -38,6 +38,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through Huffman-coded token-id files and back."""
+    manifest = idfile.write_ids(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return idfile.read_digests(manifest)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 byte-BPE tokens."""
     rows = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
@@ -73,6 +79,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_token_ids": op2_token_ids,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
