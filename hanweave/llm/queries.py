@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import chat, decontaminate, idfile, lines, packing, topk, warc
+from hanweave.llm import chat, decontaminate, idfile, lines, packing, simjoin, topk, warc
 from hanweave.llm.storage import materialise
 
 
@@ -72,6 +72,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of near duplicates of every document."""
+    return simjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of 10 words of the benchmark."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
+    "op6_ngram_join": op6_ngram_join,
     "op8_decontaminate": op8_decontaminate,
     "op10_topk": op10_topk,
 }
