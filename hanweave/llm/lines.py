@@ -57,7 +57,8 @@ def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:
     later = found.join(repeated, ["a", "b"]).filter(F.struct("d", "t", "pos") != F.col("first"))
     starts = materialise(later.groupBy("d", "t").agg(F.collect_set("pos").alias("starts")), "lines-covered")
     key = [F.col("doc_id").eqNullSafe(F.col("d")), F.xxhash64("text") == F.col("t")]
-    joined = docs.join(starts, key, "left").drop("d", "t")
+    # a merge join at every size: a broadcast that only small inputs get would hide what the shuffle of texts costs
+    joined = docs.join(starts.hint("merge"), key, "left").drop("d", "t")
     lines = F.split("text", "\n", -1)
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (span - 1)))))
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
