@@ -322,6 +322,20 @@ def _joined(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
     )
 
 
+def named_items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def bounded_items(benchmark: DataFrame, broadcast_words: int) -> list[tuple[str, bytes]] | None:
+    """The benchmark's items on the driver, or None if they may have more words than that."""
+    items = named_items(benchmark)
+    size, most = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    # a word has a byte of its own and one beside it, so bytes bound the words
+    if (most or 0) / 2 + size > broadcast_words:
+        return None
+    return [(r.id, r.text.encode()) for r in items.orderBy("id", "text").collect()]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_words: int = 4_000_000) -> DataFrame:
     """Per document: words, hit words, items met, and whether any word is hit.
 
@@ -329,10 +343,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size, longest = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    # a word has a byte of its own and one beside it, so bytes bound the words
-    if (longest or 0) / 2 + size > broadcast_words:
-        return _joined(docs, items, span, k)
-    rows = [(r.id, r.text.encode()) for r in items.orderBy("id", "text").collect()]
+    rows = bounded_items(benchmark, broadcast_words)
+    if rows is None:
+        return _joined(docs, named_items(benchmark), span, k)
     return docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index(rows, span, k))), SCHEMA)
+
+
+def _clean(shared):
+    """Task: whole rows of documents without a hit."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        index: Index = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                hashes, bounds = words(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
+                begin, _, _ = _hits(hashes, bounds, index)
+                hit = np.zeros(part.num_rows, bool)
+                hit[np.searchsorted(bounds, begin, "right") - 1] = True
+                yield part.filter(pa.array(~hit))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_words: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` that meet no window of the benchmark, with all their columns."""
+    spark = docs.sparkSession
+    rows = bounded_items(benchmark, broadcast_words)
+    if rows is None:
+        found = decontaminate(docs, benchmark, span, k, broadcast_words).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+        return docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.mapInArrow(_clean(spark.sparkContext.broadcast(Index(rows, span, k))), docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import chat, decontaminate, idfile, lines, packing, simjoin, topk, warc
+from hanweave.llm import chat, decontaminate, idfile, lines, packing, quality, simjoin, topk, warc
 from hanweave.llm.storage import materialise
 
 
@@ -77,6 +77,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by attention over its passages."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of 10 words of the benchmark."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
     "op6_ngram_join": op6_ngram_join,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op10_topk": op10_topk,
 }

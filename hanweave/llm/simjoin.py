@@ -311,7 +311,7 @@ def near_duplicates(
     members = materialise(buckets.select("leaf", "sid").join(kept, "leaf"), "join-members")
     own = materialise(members.groupBy("sid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")), "join-own")
     needed = sets.join(own.select("sid"), "sid", "left_semi").select("sid", "low", "a", "b", "copies")
-    texts = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("low"))).select("sid", "copies", "a", "b", "text")
+    texts = rows.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("low"))).select("sid", "copies", "a", "b", "text")
     arrays = materialise(texts.mapInArrow(_arrays(width), "sid long, copies long, grams binary").dropDuplicates(["sid"]), "join-arrays", "uncompressed")
     # a leaf of more than leaf_rows sets is dealt into blocks, and each pair of blocks is compared
     half = leaf_rows // 2
@@ -341,5 +341,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class: the one that names it."""
     found = near_duplicates(docs, **options)
     ids = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
