@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanweave.llm import chat, decontaminate, idfile, lines, packing, quality, simjoin, topk, warc
+from hanweave.llm import chat, decontaminate, idfile, lines, packing, quality, simjoin, suffix, topk, warc
 from hanweave.llm.storage import materialise
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that a 100-byte string with an earlier start covers."""
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), span=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best inner products of every vector whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_topk": op10_topk,
 }
 
