@@ -111,12 +111,14 @@ def _sketch(width: int):
     return run
 
 
-def _arrays(width: int):
-    """Task: texts of representatives to their whole sets, as 48-bit hashes."""
+def _spread(width: int):
+    """Task: texts of representatives to their whole sets (48-bit hashes), a row for each place to compare them at."""
 
     def run(batches):
         import pyarrow as pa
 
+        names = ["leaf", "pair", "side", "sid", "copies", "grams", "leaves"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -125,11 +127,16 @@ def _arrays(width: int):
                 a, b = identities(hashes, bounds)
                 right = (a.view(np.int64) == part.column("a").to_numpy()) & (b.view(np.int64) == part.column("b").to_numpy())
                 grams &= np.uint64((1 << 48) - 1)
-                sets = [np.unique(grams[x:y]) if ok else grams[:0] for x, y, ok in zip(ends[:-1], ends[1:], right)]
-                kept = np.flatnonzero(right)
-                blobs = [sets[i].astype("<u4").tobytes() + (sets[i] >> np.uint64(32)).astype("<u2").tobytes() for i in kept]
-                take = pa.array(kept)
-                yield pa.record_batch([part.column("sid").take(take), part.column("copies").take(take), pa.array(blobs, pa.binary())], names=["sid", "copies", "grams"])
+                rows = []
+                own = zip(*(part.column(n).to_pylist() for n in ("sid", "copies", "places")))
+                for x, y, ok, (sid, copies, places) in zip(ends[:-1], ends[1:], right, own):
+                    if ok:
+                        one = np.unique(grams[x:y])
+                        blob = one.astype("<u4").tobytes() + (one >> np.uint64(32)).astype("<u2").tobytes()
+                        leaves = sorted({p["leaf"] for p in places})
+                        rows += [(p["leaf"], p["pair"], p["side"], sid, copies, blob, leaves) for p in places]
+                cols = list(zip(*rows)) or [()] * 7
+                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
     return run
 
@@ -224,6 +231,8 @@ def _verify(num: int, den: int):
                     if len(held) > 1:
                         found += compare(at[0], np.array(side), held)
                     held, side, at = [], [], (leaf, pair)
+                if held and held[-1][0] == sid:
+                    continue  # a repeated row of the representative
                 held.append((sid, copies, grams, leaves))
                 side.append(s)
             if len(found) > 10_000:
@@ -294,7 +303,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, recall: float = 0.99999, branch: int = 3, depth: int = 4, leaf_rows: int = 256
+    docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, recall: float = 0.99999, branch: int = 3, depth: int = 4, leaf_rows: int = 512
 ) -> DataFrame:
     """Per document (row of doc_id, text): doc_id, class_id, n_links."""
     runs = runs_for(recall, num / den, branch, depth)
@@ -309,21 +318,17 @@ def near_duplicates(
     alike = buckets.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(h).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("y"))
     kept = materialise(alike.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf", "n"), "join-kept")
     members = materialise(buckets.select("leaf", "sid").join(kept, "leaf"), "join-members")
-    own = materialise(members.groupBy("sid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")), "join-own")
-    needed = sets.join(own.select("sid"), "sid", "left_semi").select("sid", "low", "a", "b", "copies")
-    texts = rows.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("low"))).select("sid", "copies", "a", "b", "text")
-    arrays = materialise(texts.mapInArrow(_arrays(width), "sid long, copies long, grams binary").dropDuplicates(["sid"]), "join-arrays", "uncompressed")
     # a leaf of more than leaf_rows sets is dealt into blocks, and each pair of blocks is compared
-    half = leaf_rows // 2
-    blocks = F.when(F.col("n") > leaf_rows, F.ceil(F.col("n") / half)).otherwise(F.lit(1)).cast("int")
+    blocks = F.when(F.col("n") > leaf_rows, F.ceil(F.col("n") / leaf_rows)).otherwise(F.lit(1)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid", "leaf"), F.col("blocks")).cast("int"))
     place = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct((F.least("block", j) * F.col("blocks") + F.greatest("block", j)).alias("pair"), F.when(F.col("block") <= j, 0).otherwise(1).alias("side")),
+        lambda j: F.struct("leaf", (F.least("block", j) * F.col("blocks") + F.greatest("block", j)).alias("pair"), F.when(F.col("block") <= j, 0).otherwise(1).alias("side")),
     )
-    spread = dealt.select("leaf", "sid", F.explode(place).alias("p")).select("leaf", "sid", "p.pair", "p.side")
-    whole = arrays.join(own, "sid")
-    joined = spread.join(whole, "sid").select("leaf", "pair", "side", "sid", "copies", "grams", "leaves")
+    own = dealt.select("sid", place.alias("p")).groupBy("sid").agg(F.flatten(F.collect_list("p")).alias("places"))
+    needed = materialise(sets.join(own, "sid").select("sid", "low", "a", "b", "copies", "places"), "join-needed")
+    texts = rows.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("low"))).select("sid", "copies", "a", "b", "places", "text")
+    joined = texts.mapInArrow(_spread(width), "leaf long, pair int, side int, sid long, copies long, grams binary, leaves array<long>")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     compared = joined.repartition(parts, "leaf", "pair").sortWithinPartitions("leaf", "pair", "side", "sid")
     found = materialise(compared.mapInArrow(_verify(num, den), "sid long, root long, links long"), "join-found")
