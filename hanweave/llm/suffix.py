@@ -40,6 +40,8 @@ GRAM = 32
 FIRST_KEY = -(2**63)
 CHUNKS = "chunk long, doc_ids array<long>, tags array<long>, sizes array<long>, data binary"
 UNITS = "covered boolean, chunk long, di int, start long, end long, okey long, tag long, anchor long, key long, lo int, hi int, a long, b long, bytes binary"
+CONTESTED = "key long, okey long, tag long, chunk long, di int, start long, end long, anchor long, lo int, hi int, bytes binary, n long"
+WANTED = ("key", "di", "start", "end", "anchor", "lo", "hi", "n")
 SPANS = "chunk long, di int, start long, end long"
 _M = (ragged.M1, ragged.M2)
 _INVERSE = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in _M)
@@ -288,10 +290,7 @@ def _units(span: int, folder: str):
                     more = order[~first]
                     gone = [np.concatenate([g, x]) for g, x in zip(gone, (unit["di"][more], unit["start"][more], unit["end"][more]))]
                     mine = np.sort(order[first])
-                    unit = {k: v[mine] for k, v in unit.items()}
-                    raw = part.tobytes()
-                    unit["bytes"] = [raw[x:y] for x, y in zip(a0[mine].tolist(), e0[mine].tolist())]
-                    kept.append(unit)
+                    kept.append({k: v[mine] for k, v in unit.items()})
                 di, start, end = merged(*gone)
                 if len(di):
                     yield _unit_batch(True, {"chunk": np.full(len(di), chunk), "di": di.astype(np.int32), "start": start, "end": end})
@@ -302,6 +301,40 @@ def _units(span: int, folder: str):
     return run
 
 
+def _wanted(batches):
+    """Task: contested units to blobs by chunk."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = np.stack([batch.column(n).to_numpy().astype("<i8") for n in ("chunk", *WANTED)], 1)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        names, first = np.unique(rows[:, 0], return_index=True)
+        cut = np.append(first, len(rows))
+        yield pa.record_batch([pa.array(names), pa.array([rows[x:y, 1:].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], names=["chunk", "blob"])
+
+
+def _fetch(folder: str):
+    """Task: chunks to the contested units in them, with their bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for chunk, doc_ids, tags, bounds, data in _opened(batch):
+                rows = np.frombuffer(_side_file(folder, chunk), "<i8").reshape(-1, len(WANTED))
+                if not len(rows):
+                    continue
+                at = {n: rows[:, i] for i, n in enumerate(WANTED)}
+                okeys = np.array([FIRST_KEY if d is None else d for d in doc_ids], np.int64)
+                raw = data.tobytes()
+                lo, hi = at["start"] + bounds[at["di"]], at["end"] + bounds[at["di"]]
+                out = at | {"okey": okeys[at["di"]], "tag": tags[at["di"]], "chunk": np.full(len(rows), chunk), "bytes": [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())]}
+                kinds = [(n.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[n.split()[1]]) for n in CONTESTED.split(", ")]
+                yield pa.record_batch([pa.array(out[n] if n == "bytes" else out[n].astype(k.to_pandas_dtype()), k) for n, k in kinds], names=[n for n, _ in kinds])
+
+    return run
+
+
 def _halved(span: int):
     """Task: units to their two halves by the windows' offset to the owner."""
 
@@ -465,6 +498,7 @@ def remove_repeats(docs: DataFrame, span: int = 100, chunk_bytes: int = 1 << 20,
     units = materialise(chunks.mapInArrow(_units(span, flags), UNITS), "suffix-units")
     covered = [units.filter("covered").select("chunk", "di", "start", "end")]
     now = units.filter("NOT covered")
+    first = True
     while True:
         # of equal units all but the first are covered
         place = F.struct("okey", "tag", "start")
@@ -477,7 +511,11 @@ def remove_repeats(docs: DataFrame, span: int = 100, chunk_bytes: int = 1 << 20,
         covered.append(judged.filter("later").select("chunk", "di", "start", "end"))
         left = judged.filter("NOT later").drop("later")
         several = materialise(left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-several")
-        contested = materialise(left.join(several.hint("merge"), "key"), "suffix-contested")
+        contested = left.join(several.hint("merge"), "key").select(*[c.split()[0] for c in CONTESTED.split(", ")])
+        if first:  # only now are bytes needed, and of these units alone
+            wanted = _side_files(contested.mapInArrow(_wanted, "chunk long, blob binary"), "suffix-wanted")
+            contested, first = chunks.mapInArrow(_fetch(wanted), CONTESTED), False
+        contested = materialise(contested, "suffix-contested")
         small = contested.filter(F.col("n") <= group).drop("n").repartition(parts, "key").sortWithinPartitions("key")
         covered.append(materialise(small.mapInArrow(_factors(span), SPANS), "suffix-factors"))
         large = contested.filter(F.col("n") > group)
