@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names as users give them to names the JVM has.
 ALIASES = {
@@ -40,12 +41,12 @@ def canonical(name: str) -> str:
     return ALIASES[low]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _hz_encode(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else s.encode("hz", "replace"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _hz_decode(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else bytes(b).decode("hz", "replace"))
 
