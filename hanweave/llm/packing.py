@@ -3,10 +3,10 @@
 Documents are tokenised once; only those longer than a sequence are cut, into pieces of
 full length but for the first.  Pieces (their lengths, not their ids) are dealt evenly
 to partitions of bounded size and packed by best-fit decreasing.  Lower bounds from dual
-feasible functions certify a partition's number of sequences; where a partition has a
-gap to its bound, the pieces in its sequences that are not full are pooled with those
-of the other such partitions, dealt anew, and packed again, as long as that saves
-sequences.
+feasible functions certify the number of sequences, of a partition and of all together.
+Where a partition has a gap to its bound, or the total to its own, the pieces in the
+sequences that are not full are pooled across partitions, dealt anew, and packed again,
+as long as that saves sequences.
 
 Defined cases
 -------------
@@ -102,9 +102,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     lengths below t not at all, and others as they are, or, for each k, rounded to
     k-ths: x counts floor((k + 1) x / capacity) / k, or x / capacity if that is whole.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of items of each length."""
     size = np.arange(capacity + 1)
     total = np.cumsum(count * size)
     number = np.cumsum(count)
@@ -158,6 +160,11 @@ def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = 65536, r
     pool = materialise(rows.select(*columns), "pack-pieces")
     settled: list[DataFrame] = []
     before = None
+    # at most one row a length: the histogram's size is bound by the capacity
+    count = np.zeros(capacity + 1, np.int64)
+    for row in pool.groupBy("length").count().collect():
+        count[row.length] = row["count"]
+    least, total = bound_of(count, capacity), 0
     for r in range(rounds):
         n = pool.count()
         if not n:
@@ -169,7 +176,8 @@ def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = 65536, r
             settled.append(pool)  # as the last round had placed them
             pool = None
             break
-        open_ = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
+        total += used - (before or 0)
+        open_ = (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | F.lit(total > least))
         settled.append(packed.filter(~open_))
         pool = packed.filter(open_)
         before = pool.filter("offset = 0").count()
