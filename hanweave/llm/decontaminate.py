@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanweave.llm import ragged
-from hanweave.llm.storage import materialise
+from hanweave.llm.storage import free_name, materialise
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -373,6 +373,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5
     spark = docs.sparkSession
     rows = bounded_items(benchmark, broadcast_words)
     if rows is None:
-        found = decontaminate(docs, benchmark, span, k, broadcast_words).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-        return docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+        name = free_name(docs, "hit_id")
+        found = decontaminate(docs, benchmark, span, k, broadcast_words).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
     return docs.mapInArrow(_clean(spark.sparkContext.broadcast(Index(rows, span, k))), docs.schema)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hanweave.llm.storage import materialise
+from hanweave.llm.storage import free_name, materialise
 
 
 def _hashed(value: Column) -> Column:
@@ -55,18 +55,20 @@ def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:
     first = found.groupBy("a", "b").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.max(F.struct("d", "t", "pos")).alias("last"))
     repeated = materialise(first.filter("first <> last").select("a", "b", "first"), "lines-repeated")
     later = found.join(repeated, ["a", "b"]).filter(F.struct("d", "t", "pos") != F.col("first"))
-    starts = materialise(later.groupBy("d", "t").agg(F.collect_set("pos").alias("starts")), "lines-covered")
-    key = [F.col("doc_id").eqNullSafe(F.col("d")), F.xxhash64("text") == F.col("t")]
+    d, t, starts = (free_name(docs, n) for n in ("line_doc", "line_hash", "line_starts"))
+    gone = later.groupBy("d", "t").agg(F.collect_set("pos").alias("starts")).select(F.col("d").alias(d), F.col("t").alias(t), F.col("starts").alias(starts))
+    gone = materialise(gone, "lines-covered")
+    key = [F.col("doc_id").eqNullSafe(F.col(d)), F.xxhash64("text") == F.col(t)]
     # a merge join at every size: a broadcast that only small inputs get would hide what the shuffle of texts costs
-    joined = docs.join(starts.hint("merge"), key, "left").drop("d", "t")
+    joined = docs.join(gone.hint("merge"), key, "left").drop(d, t)
     lines = F.split("text", "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (span - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (span - 1)))))
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     trimmed = F.array_join(F.transform(places, lambda i: F.element_at(lines, i + 1)), "\n")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     return joined.select(
         *[c for c in kept if c != "text"],
-        F.when(F.col("starts").isNull(), F.col("text")).otherwise(trimmed).alias("text"),
+        F.when(F.col(starts).isNull(), F.col("text")).otherwise(trimmed).alias("text"),
         n_lines.alias("n_lines"),
         F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_removed"),
     ).select(*kept, "n_lines", "n_removed")

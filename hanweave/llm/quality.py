@@ -7,7 +7,8 @@ labels alone, weighs the passages, and a logistic layer scores their weighted su
 bad passage in an otherwise good document so gets the weight that its label asks for.
 
 The model is fitted on the driver on at most ``max_train_docs`` labelled documents (a
-documented bound; those whose id hashes lowest), of which only features are collected.
+documented bound; those whose id hashes lowest), of which only features are collected,
+of very long ones those of ``TRAIN_PASSAGES`` passages spread evenly over the text.
 Every whole text is scored, in batches, on the executors.  Labels, language, source and
 id are no inputs.
 
@@ -31,6 +32,7 @@ from hanweave.llm.simjoin import word_hashes
 from hanweave.llm.storage import materialise
 
 PASSAGE = 64
+TRAIN_PASSAGES = 512
 CLASSES = 16
 EXTRA = 14
 WIDTH = CLASSES * CLASSES + EXTRA
@@ -66,6 +68,10 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     start[inner] = ~space[inner]
     word_at = np.flatnonzero(start)
+    stop = ~space
+    stop[:-1] &= space[1:]
+    stop[inner - 1] = ~space[inner - 1]
+    word_end = np.flatnonzero(stop) + 1
     first = np.repeat(offsets[:-1], per)
     later = np.flatnonzero((inside % PASSAGE == 0) & (inside > 0))
     first[at[later]] = word_at[later]
@@ -90,7 +96,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     extra[:, 1] = np.log1p(size)
     extra[:, 2] = size / some
     if len(hashes):
-        length = np.diff(np.append(word_at, offsets[-1]))
+        length = word_end - word_at
         extra[:, 3] = np.sqrt(np.maximum(share(np.minimum(length, 100) ** 2) - share(np.minimum(length, 100)) ** 2, 0))
         extra[:, 4] = share(length > 20)
         for j, lag in enumerate((1, 2, 3)):
@@ -100,11 +106,12 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         _, one = np.unique(ragged.mix(hashes + at.astype(np.uint64) * ragged.M2), return_index=True)
         extra[:, 8] = np.bincount(at[one], minlength=total) / some
         tri = ragged.gram_hashes(hashes, 3)
-        if len(tri):
-            key = ragged.mix(tri + doc[: len(tri)].astype(np.uint64) * ragged.M2)
+        whole = np.flatnonzero(doc[: len(tri)] == doc[len(doc) - len(tri) :])  # not across texts
+        if len(whole):
+            key = ragged.mix(tri[whole] + doc[whole].astype(np.uint64) * ragged.M2)
             _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-            extra[:, 9] = share(n[back] > 1, at[: len(tri)])
-        head, tail = kind[word_at], kind[np.maximum(np.append(word_at[1:], len(data)) - 2, 0)]
+            extra[:, 9] = share(n[back] > 1, at[whole])
+        head, tail = kind[word_at], kind[word_end - 1]
         extra[:, 10] = share(head == 2)
         extra[:, 11] = share(tail >= 6)
     for j, c in enumerate((2, 10)):
@@ -200,7 +207,7 @@ def _features(batches):
     for batch in batches:
         for part in _groups(batch):
             x, ends = passages(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
-            blobs = [x[a:b].astype("<f2").tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            blobs = [x[a : b : max(1, -(-(b - a) // TRAIN_PASSAGES))].astype("<f2").tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "x"])
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanweave.llm import ragged
-from hanweave.llm.storage import materialise
+from hanweave.llm.storage import free_name, materialise
 
 TOKENS = 32
 _SPACE = np.zeros(256, bool)
@@ -345,6 +345,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class: the one that names it."""
     found = near_duplicates(docs, **options)
-    ids = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    name = free_name(docs, "kept_id")
+    ids = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

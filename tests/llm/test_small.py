@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from hanweave.llm import chat, decontaminate, idfile, lines, packing, quality, simjoin, suffix, tokenise, topk, warc
 from hanweave.llm.queries import tokenizer_file
 
-DOCS = "doc_id long, text string, rid string, hit string"
+DOCS = "doc_id long, text string, rid string, hit string, t string, kept_id string, starts string"
+EXTRA = ["rid", "hit", "t", "kept_id", "starts"]
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "x", None) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "x", None, "t", None, "s") for i, t in rows], DOCS)
 
 
 ODD = [(None, "null id"), (1, None), (2, ""), (3, "  \n "), (4, "one"), (5, "same text here for all"), (5, "same text here for all"), (6, "日本語 \U00020000 \x00 x"), (7, "word " * 3000)]
@@ -110,7 +111,7 @@ def test_lines(spark):
     rng = random.Random(4)
     rows = [(i, "\n".join(rng.choices("abc", k=rng.randint(0, 12)))) for i in range(60)] + [(99, None), (100, ""), (101, "\n\n\n\n")]
     got = lines.dedup_lines(docs(spark, rows))
-    assert got.columns == ["doc_id", "text", "rid", "hit", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", *EXTRA, "n_lines", "n_removed"]
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect() if r.text is not None) == sorted(r for r in brute_lines(rows) if r[1] is not None)
     twice = lines.dedup_lines(docs(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "a\nb\nc\nd"), (None, "a\nb\nc")]))
     assert sorted(r.n_removed for r in twice.collect()) == [0, 3, 3, 3]
@@ -203,7 +204,7 @@ def test_near_duplicates(spark):
     key = lambda r: (-1 if r[0] is None else r[0], r[1])
     assert sorted(((r.doc_id, r.n_links) for r in got), key=key) == sorted(((i, n) for (i, _), n in zip(rows, brute_links(rows))), key=key)
     kept = simjoin.keep_one(docs(spark, rows), leaf_rows=6)
-    assert kept.columns == ["doc_id", "text", "rid", "hit"]
+    assert kept.columns == ["doc_id", "text", *EXTRA]
     assert kept.count() == len({r.class_id for r in got if r.doc_id not in (1, 2, 3)}) + 3 + 0
     assert simjoin.near_duplicates(docs(spark, [])).count() == 0
 
@@ -238,7 +239,18 @@ def test_quality(spark):
     assert np.mean([r.predicted == int(r.doc_id % 3 > 0) for r in held]) > 0.95
     none = quality.classify(docs(spark, ODD), labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
-    assert quality.score(docs(spark, ODD), {"share": 0.25}).columns == ["doc_id", "text", "rid", "hit", "score"]
+    assert quality.score(docs(spark, ODD), {"share": 0.25}).columns == ["doc_id", "text", *EXTRA, "score"]
+
+
+def test_features_are_the_text_alone():
+    texts = [(t or "").encode() for _, t in ODD] + [b" lead", b"trail ", b"one two three one two three", "é!! ü??".encode()]
+
+    def features(own):
+        return quality.passages(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in own])]).astype(np.int64))
+
+    every, ends = features(texts)
+    for i, t in enumerate(texts):
+        assert np.array_equal(every[ends[i] : ends[i + 1]], features([t])[0]), t
 
 
 def test_gradients():
