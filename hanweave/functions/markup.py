@@ -49,20 +49,18 @@ def decoded_references(text: Column) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
-def html5_label(text: Column, name: str) -> Column:
-    return F.regexp_replace(text, r'(?i)<meta(\s+.*?)charset="(.*?)"(.*?)>', f'<meta$1charset="{name}"$3>')
+#: Where charset labels stand in pages: expression, then replacement.  Fixed values.
+LABELS = {
+    "html5": (r'(?i)<meta(\s+.*?)charset="(.*?)"(.*?)>', '<meta$1charset="{}"$3>'),
+    "html4": (r'(?i)<meta\s+(.*?)content="(.*?)charset=(.*?)"(.*?)>', '<meta $1content="$2charset={}"$4>'),
+    "php": (r'(?i)header\("Content-Type:text/html;\s*charset=(.*?)"\);', 'header("Content-Type:text/html; charset={}");'),
+    "css": (r'(?i)@charset "(.*?)"', '@charset "{}"'),
+}
 
 
-def html4_label(text: Column, name: str) -> Column:
-    return F.regexp_replace(text, r'(?i)<meta\s+(.*?)content="(.*?)charset=(.*?)"(.*?)>', f'<meta $1content="$2charset={name}"$4>')
-
-
-def php_label(text: Column, name: str) -> Column:
-    return F.regexp_replace(text, r'(?i)header\("Content-Type:text/html;\s*charset=(.*?)"\);', f'header("Content-Type:text/html; charset={name}");')
-
-
-def css_label(text: Column, name: str) -> Column:
-    return F.regexp_replace(text, r'(?i)@charset "(.*?)"', f'@charset "{name}"')
+def labelled(text: Column, kind: str, name: str) -> Column:
+    pattern, replacement = LABELS[kind]
+    return F.regexp_replace(text, pattern, replacement.format(name))
 
 
 def extension(name: Column) -> Column:
@@ -72,6 +70,6 @@ def extension(name: Column) -> Column:
 
 def relabelled(text: Column, ext: Column, name: str) -> Column:
     """Charset labels for the target's web name, by the file's extension."""
-    html = html4_label(html5_label(text, name), name)
+    html = labelled(labelled(text, "html5", name), "html4", name)
     page = ext.isin("htm", "html", "shtm", "shtml", "asp", "aspx")
-    return F.when(page, html).when(ext == "php", php_label(html, name)).when(ext == "css", css_label(text, name)).otherwise(text)
+    return F.when(page, html).when(ext == "php", labelled(html, "php", name)).when(ext == "css", labelled(text, "css", name)).otherwise(text)
