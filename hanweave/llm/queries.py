@@ -158,6 +158,28 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY ord) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(15 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
+""",
+    "op6_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t\n\x0B\x0C\r ]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)
+), reach AS (
+  SELECT x, y FROM l UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x
+), lowest AS (
+  SELECT x, min(y) AS y FROM reach GROUP BY x
+), links AS (
+  SELECT x, count(*) AS n FROM l GROUP BY x
+)
+SELECT d.doc_id AS doc_id, least(d.doc_id, coalesce(lowest.y, d.doc_id)) AS class_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN lowest ON lowest.x = d.doc_id LEFT JOIN links ON links.x = d.doc_id
 """,
     "op8_decontaminate": r"""
 WITH d AS (
