@@ -7,8 +7,9 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from hanweave.llm import storage
+from hanweave.llm import quality, storage
 from hanweave.llm.queries import ORACLE_SQL, QUERIES, table
+from tests.llm.test_small import BYTE, brute_classes, brute_hits, brute_lines, model
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="test tables are missing")
@@ -32,16 +33,44 @@ def test_query(spark, name):
 
 
 def test_pipeline(spark):
+    """Each stage against brute force over what its predecessor kept."""
     docs = table(spark, DIR, "documents")
-    columns, before = docs.columns, docs.count()
+    columns = docs.columns
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
     for name, stage in corpus_pipeline.STAGES:
+        before = texts(docs)
         docs = storage.materialise(stage(spark, docs, DIR), name)
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert docs.columns == columns
-            after = docs.count()
-            assert 0.7 * before < after <= before
-            before = after
-    assert docs.select("doc_id").distinct().count() == before
+        if name == "best_fit_packing":
+            break
+        assert docs.columns == columns
+        after = texts(docs)
+        assert docs.count() == len(after)
+        rows = sorted(before.items())
+        if name == "quality_classifier":
+            found = quality.classify(table(spark, DIR, "documents"), table(spark, DIR, "labels")).collect()
+            assert after == {i: t for i, t in rows if i in {r.doc_id for r in found if r.predicted}}
+            assert 0.7 * len(before) < len(after) < len(before)
+        if name == "line_dedup":
+            assert after == {i: t for i, t, _, _ in brute_lines(rows)}
+        if name == "ngram_jaccard_join":
+            classes = brute_classes(rows)
+            assert after == {i: t for i, t in rows if classes[i] == i}
+        if name == "benchmark_decontamination":
+            items = [(str(r.item_id), r.text) for r in table(spark, DIR, "benchmark").collect()]
+            assert after == {r[0]: before[r[0]] for r in brute_hits(rows, items) if not r[5]}
+    plain = model(BYTE)
+    sizes = {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in before.items()}
+    got, bins = {}, {}
+    for r in docs.orderBy("sequence_id", "offset").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert bins.get(r.sequence_id, 0) == r.offset
+        bins[r.sequence_id] = r.offset + r.length
+    assert got == sizes and max(bins.values()) <= 2048 and len(bins) <= -(-sum(sizes.values()) // 2048) + 1
+
+
+def test_pipeline_run(spark):
+    whole = corpus_pipeline.run(spark, DIR)
+    assert whole.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and whole.count() > 100
     empty = table(spark, DIR, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DIR).count() == 0
