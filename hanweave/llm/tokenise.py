@@ -13,6 +13,7 @@ for new ones.  Two independent 64-bit hashes tell chunks apart.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
@@ -30,6 +31,9 @@ _ODD[ASCII_ODD] = True
 #: White space and format characters outside ASCII, at which a text is encoded whole.
 _WIDE_ODD = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF, 0x180E], np.uint32)
 
+_SEARCH_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in [*ASCII_ODD, *_WIDE_ODD.tolist()]) + "]")
+_BEFORE_BLANK = re.compile("[^ \t\n\r](?=[ \t\n\r])")
+
 
 class Encoder:
     """One tokenizer file; ``encode`` gives the ids of many texts at once."""
@@ -58,8 +62,28 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids of all texts one after another, number of ids of each text)``."""
+    def encode(self, texts: list[str], long: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts one after another, number of ids of each text)``.
+
+        A text of over ``long`` characters is encoded in stretches, so that memory stays
+        bounded; they end before blanks, where chunks do too.
+        """
+        if all(len(t) <= long for t in texts):
+            return self._encode(texts)
+        out = []
+        for t in texts:
+            parts, at = [t], 0
+            if len(t) > long and not _SEARCH_ODD.search(t):
+                parts = []
+                while at < len(t):
+                    end = _BEFORE_BLANK.search(t, at + long // 4)
+                    parts.append(t[at : end.end() if end else len(t)])
+                    at += len(parts[-1])
+            found = [self._encode([p]) for p in parts]
+            out.append((np.concatenate([ids for ids, _ in found]), np.array([sum(int(n.sum()) for _, n in found)], np.int64)))
+        return np.concatenate([ids for ids, _ in out]), np.concatenate([n for _, n in out])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         low = np.minimum(points, _LOW - 1)

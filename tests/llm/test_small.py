@@ -41,6 +41,8 @@ def test_tokeniser_is_exact(name):
     for _ in range(2):
         ids, sizes = own.encode(texts)
         assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids]
+        again, parts = own.encode(texts, long=8)
+        assert again.tolist() == ids.tolist() and parts.tolist() == sizes.tolist()
         assert sizes.tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
