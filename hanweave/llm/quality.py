@@ -94,7 +94,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     extra = np.zeros((total, EXTRA))
     extra[:, 0] = np.log1p(words)
     extra[:, 1] = np.log1p(size)
-    extra[:, 2] = size / some
+    extra[:, 2] = np.log1p(size / some)
     if len(hashes):
         length = word_end - word_at
         extra[:, 3] = np.sqrt(np.maximum(share(np.minimum(length, 100) ** 2) - share(np.minimum(length, 100)) ** 2, 0))
@@ -207,7 +207,7 @@ def _features(batches):
     for batch in batches:
         for part in _groups(batch):
             x, ends = passages(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
-            blobs = [x[a : b : max(1, -(-(b - a) // TRAIN_PASSAGES))].astype("<f2").tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            blobs = [x[a : b : max(1, -(-(b - a) // TRAIN_PASSAGES))].astype("<f4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "x"])
 
 
@@ -236,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 6000, label_
     sample = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs), "quality-sample")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     found = own.mapInArrow(_features, "doc_id long, label int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_train_docs).collect()
-    rows = [np.frombuffer(r.x, "<f2").reshape(-1, WIDTH) for r in found]
-    x = np.concatenate(rows).astype(np.float32) if rows else np.zeros((0, WIDTH), np.float32)
+    rows = [np.frombuffer(r.x, "<f4").reshape(-1, WIDTH) for r in found]
+    x = np.concatenate(rows) if rows else np.zeros((0, WIDTH), np.float32)
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     return fit(x, bounds, np.array([r.label for r in found], np.float64))
 

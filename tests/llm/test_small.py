@@ -257,6 +257,18 @@ def test_quality(spark):
     assert quality.score(docs(spark, ODD), {"share": 0.25}).columns == ["doc_id", "text", *EXTRA, "score"]
 
 
+def test_quality_with_very_long_words(spark):
+    rng = random.Random(5)
+    good = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(60))
+    own = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, good() if i % 2 else "SPAM!! " * 60) for i in own]
+    rows[0], rows[1] = (own[0], "x" * 100_000), (own[1], " " * 100_000)
+    labels = spark.createDataFrame([(i, i % 2) for i in own], "doc_id long, quality int")
+    got = quality.classify(docs(spark, rows), labels).collect()
+    assert len(got) == len(own) and all(0 <= r.score <= 1 for r in got)
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.doc_id not in own[:2]]) > 0.95
+
+
 def test_features_are_the_text_alone():
     texts = [(t or "").encode() for _, t in ODD] + [b" lead", b"trail ", b"one two three one two three", "é!! ü??".encode()]
 
