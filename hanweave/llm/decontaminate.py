@@ -300,17 +300,22 @@ def _count_words(batches):
         yield pa.record_batch([batch.column(0), pa.array(np.diff(bounds))], names=["id", "n"])
 
 
-def _joined(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
-    """The shuffled path; skewed fingerprints are left to Spark's skew join."""
+def _met(rows: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """Hit runs of ``rows`` (row, text) by a shuffle; skewed fingerprints are left to Spark's skew join."""
     size = items.mapInArrow(_count_words, "id string, n long").filter((F.col("n") > 0) & (F.col("n") < span))
     lengths = tuple(r.n for r in size.select("n").distinct().orderBy("n").collect())  # at most span - 1 values
-    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "decon-docs")
     schema = "m int, mark long, id {} , pos long, left int, near binary"
     known = materialise(items.mapInArrow(_emit(span, k, True, lengths), schema.format("string")), "decon-items")
-    marks = rows.select("row", "text").mapInArrow(_emit(span, k, False, lengths), schema.format("long"))
+    marks = rows.mapInArrow(_emit(span, k, False, lengths), schema.format("long"))
     other = known.select("m", "mark", F.col("id").alias("item"), F.col("left").alias("left_b"), F.col("near").alias("near_b"))
     both = marks.join(other, ["m", "mark"]).select("m", F.col("id").alias("row"), "pos", "left", "near", "item", "left_b", "near_b")
-    runs = both.mapInArrow(_verify(span, k), "row long, begin long, end long, item string").distinct()
+    return both.mapInArrow(_verify(span, k), "row long, begin long, end long, item string")
+
+
+def _joined(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """The shuffled path of ``decontaminate``."""
+    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "decon-docs")
+    runs = _met(rows.select("row", "text"), items, span, k).distinct()
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("begin", F.col("end") - 1))))).cast("long")
     found = runs.groupBy("row").agg(covered.alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
     counted = rows.select("row", "text").mapInArrow(_count_words, "row long, n_words long")
@@ -373,7 +378,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5
     spark = docs.sparkSession
     rows = bounded_items(benchmark, broadcast_words)
     if rows is None:
-        name = free_name(docs, "hit_id")
-        found = decontaminate(docs, benchmark, span, k, broadcast_words).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
-        return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+        # ids may be null or repeated, so rows are told apart by keys of their own
+        key = free_name(docs, "row_key")
+        keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "decon-docs")
+        texts = keyed.select(F.col(key).alias("row"), F.col("text").cast("string").alias("text"))
+        hit = _met(texts, named_items(benchmark), span, k).select(F.col("row").alias(key)).distinct()
+        return keyed.join(hit, key, "left_anti").select(*docs.columns)
     return docs.mapInArrow(_clean(spark.sparkContext.broadcast(Index(rows, span, k))), docs.schema)

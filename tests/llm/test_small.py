@@ -323,6 +323,16 @@ def test_decontamination(spark, bound):
     assert decontaminate.decontaminate(docs(spark, rows), bench.limit(0), broadcast_words=bound).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_clean_rows_with_null_and_repeated_ids(spark, bound):
+    item = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "null id, clean"), (None, None), (4, "x " + item), (4, "clean four"), (4, "clean four"), (5, ""), (6, item + " y"), (7, "clean seven")]
+    clean = decontaminate.keep_clean(docs(spark, rows), bench, broadcast_words=bound)
+    assert clean.columns == ["doc_id", "text", *EXTRA]
+    assert sorted(str((r.doc_id, r.text)) for r in clean.collect()) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+
+
 def brute_bytes(rows, span):
     seen, out = set(), {}
     for i, t in rows:
