@@ -84,7 +84,7 @@ def identities(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _sketch(width: int):
-    """Task: documents to identity hashes and sampled tokens."""
+    """Task: documents (doc_id, text, others) to identity hashes, sampled tokens and the others."""
 
     def run(batches):
         import pyarrow as pa
@@ -104,8 +104,8 @@ def _sketch(width: int):
                 held = pa.FixedSizeListArray.from_arrays(pa.array(tokens.ravel()), TOKENS).cast(pa.list_(pa.int32()))
                 none = ~full
                 yield pa.record_batch(
-                    [part.column(0), pa.array(a.view(np.int64), mask=none), pa.array(b.view(np.int64), mask=none), held],
-                    names=["doc_id", "a", "b", "tokens"],
+                    [part.column(0), pa.array(a.view(np.int64), mask=none), pa.array(b.view(np.int64), mask=none), held, *part.columns[2:]],
+                    names=["doc_id", "a", "b", "tokens", *part.schema.names[2:]],
                 )
 
     return run
@@ -302,15 +302,27 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(new)
 
 
-def near_duplicates(
-    docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, recall: float = 0.99999, branch: int = 3, depth: int = 4, leaf_rows: int = 512
-) -> DataFrame:
-    """Per document (row of doc_id, text): doc_id, class_id, n_links."""
+def _classes(
+    docs: DataFrame, key: str | None = None, num: int = 4, den: int = 5, width: int = 5, recall: float = 0.99999, branch: int = 3, depth: int = 4, leaf_rows: int = 512
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, a, b, rid) and sets (a, b, sid, low, copies, links, root; with a ``key`` of rows best, too).
+
+    ``rid`` is the row's ``key`` if there is one, and ``best`` then the set's first row by id.
+    """
     runs = runs_for(recall, num / den, branch, depth)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialise(rows.mapInArrow(_sketch(width), "doc_id long, a long, b long, tokens array<int>").withColumn("rid", F.monotonically_increasing_id()), "join-rows")
+    schema = "doc_id long, a long, b long, tokens array<int>"
+    if key is None:
+        sketched = rows.mapInArrow(_sketch(width), schema).withColumn("rid", F.monotonically_increasing_id())
+        best = []
+    else:
+        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("rid"))
+        sketched = keyed.mapInArrow(_sketch(width), schema + ", rid long")
+        best = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("best")]
+    sketched = materialise(sketched, "join-rows")
     sets = materialise(
-        sketched.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("rid").alias("sid"), F.min("doc_id").alias("low"), F.min("tokens").alias("tokens"), F.count("*").alias("copies")), "join-sets"
+        sketched.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("rid").alias("sid"), F.min("doc_id").alias("low"), F.min("tokens").alias("tokens"), F.count("*").alias("copies"), *best),
+        "join-sets",
     )
     buckets = leaves(sets.select("sid", "tokens"), runs, branch, depth, leaf_rows)
     # buckets of the same sets need one comparison
@@ -334,8 +346,13 @@ def near_duplicates(
     found = materialise(compared.mapInArrow(_verify(num, den), "sid long, root long, links long"), "join-found")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")))
-    named = sets.select("a", "b", "sid", "low", "copies").join(links, "sid", "left").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = materialise(named, "join-named")
+    named = sets.drop("tokens").join(links, "sid", "left").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return sketched, materialise(named, "join-named")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Per document (row of doc_id, text): doc_id, class_id, n_links."""
+    sketched, named = _classes(docs, **options)
     lowest = materialise(named.groupBy("root").agg(F.min("low").alias("class_id")), "join-lowest")
     resolved = materialise(named.join(lowest, "root").select("a", "b", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-resolved")
     out = sketched.select("doc_id", "a", "b").join(resolved, ["a", "b"], "left")
@@ -343,9 +360,10 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: the one that names it."""
-    found = near_duplicates(docs, **options)
-    name = free_name(docs, "kept_id")
-    ids = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """``docs`` with one row of each class: the first in the input of those with the smallest id."""
+    key = free_name(docs, "kept_key")
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "join-docs")
+    sketched, named = _classes(keyed, key, **options)
+    first = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias(key))
+    blank = sketched.filter("a IS NULL").select(F.col("rid").alias(key))
+    return keyed.join(first.unionByName(blank).hint("merge"), key, "left_semi").select(*docs.columns)

@@ -224,6 +224,23 @@ def test_near_duplicates(spark):
     assert simjoin.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    words = lambda: [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(60)]
+    one, two, three = words(), words(), words()
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(None, " ".join(one)), (None, near(one)), (None, " ".join(one)), (3, " ".join(two)), (8, near(two)), (None, near(two)), (3, near(three)), (2, " ".join(three)), (5, ""), (5, ""), (None, None)]
+    assert len(set(brute_classes([(i, t) for i, (_, t) in enumerate(rows)]).values())) == 3 + 3  # a blank text is a class
+    for own in (rows, rows[::-1]):
+        kept = simjoin.keep_one(docs(spark, own), leaf_rows=6)
+        assert kept.columns == ["doc_id", "text", *EXTRA]
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        named = [r for r in got if r[1]]
+        assert len(named) == 3 and named.count((3, " ".join(two))) == 1 and named.count((2, " ".join(three))) == 1
+        assert sum(i is None and t in (" ".join(one), near(one)) for i, t in named) == 1
+        assert sorted(str(r) for r in got if not r[1]) == sorted(str(r) for r in rows[-3:])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(40)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]
