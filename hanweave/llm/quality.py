@@ -7,8 +7,8 @@ labels alone, weighs the passages, and a logistic layer scores their weighted su
 bad passage in an otherwise good document so gets the weight that its label asks for.
 
 The model is fitted on the driver on at most ``max_train_docs`` labelled documents (a
-documented bound; those whose id hashes lowest), of which only features are collected,
-of very long ones those of ``TRAIN_PASSAGES`` passages spread evenly over the text.
+documented bound; those whose id hashes lowest), on every passage of each.  Tasks write
+features to files, which the driver copies to a mapped local file and reads in blocks.
 Every whole text is scored, in batches, on the executors.  Labels, language, source and
 id are no inputs.
 
@@ -23,16 +23,18 @@ Defined cases
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hanweave.llm import ragged
+from hanweave.llm import ragged, storage
 from hanweave.llm.simjoin import word_hashes
 from hanweave.llm.storage import materialise
 
 PASSAGE = 64
-TRAIN_PASSAGES = 512
+BLOCK = 1 << 14  # passages whose features training and scoring take at once
 CLASSES = 16
 EXTRA = 14
 WIDTH = CLASSES * CLASSES + EXTRA
@@ -124,8 +126,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _forward(model: dict, x: np.ndarray, bounds: np.ndarray):
-    h = np.tanh(((x - model["mean"]) / model["std"]).clip(-8, 8) @ model["W"] + model["b"])
+def _blocks(model: dict, x: np.ndarray, rows: np.ndarray):
+    """``(slice of rows, their features on the model's scale)``, a block at a time."""
+    for lo in range(0, len(rows), BLOCK):
+        own = x[rows[lo : lo + BLOCK]]
+        yield slice(lo, lo + len(own)), ((own - model["mean"]) / model["std"]).clip(-8, 8)
+
+
+def _forward(model: dict, x: np.ndarray, rows: np.ndarray, bounds: np.ndarray):
+    """All layers over ``rows`` of ``x``, which ``bounds`` cut into bags."""
+    h = np.tanh(np.concatenate([own @ model["W"] for _, own in _blocks(model, x, rows)]) + model["b"])
     t, s = np.tanh(h @ model["V"]), _sigmoid(h @ model["U"])
     e = (t * s) @ model["w"]
     first, sizes = bounds[:-1], np.diff(bounds)
@@ -138,7 +148,7 @@ def _forward(model: dict, x: np.ndarray, bounds: np.ndarray):
 def scores(model: dict, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if "share" in model:
         return np.full(len(bounds) - 1, model["share"])
-    return _sigmoid(_forward(model, x, bounds)[-1].astype(np.float64))
+    return _sigmoid(_forward(model, x, np.arange(len(x)), bounds)[-1].astype(np.float64))
 
 
 def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, hidden: int = 32, gate: int = 16, epochs: int = 30, batch: int = 64, rate: float = 2e-3, decay: float = 1e-4) -> dict:
@@ -147,9 +157,12 @@ def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, hidden: int = 32, gate
         return {"share": float(y.mean()) if len(y) else 0.5}
     rng = np.random.default_rng(7)
     f = x.shape[1]
+    cuts = range(0, len(x), BLOCK)
+    mean = sum(x[lo : lo + BLOCK].sum(0, dtype=np.float64) for lo in cuts) / len(x)
+    spread = sum(((x[lo : lo + BLOCK] - mean) ** 2).sum(0) for lo in cuts) / len(x)
     model = {
-        "mean": x.mean(0),
-        "std": x.std(0) + 1e-3,
+        "mean": mean,
+        "std": np.sqrt(spread) + 1e-3,
         "W": rng.normal(0, 1 / np.sqrt(f), (f, hidden)),
         "b": np.zeros(hidden),
         "V": rng.normal(0, 1 / np.sqrt(hidden), (hidden, gate)),
@@ -167,9 +180,9 @@ def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, hidden: int = 32, gate
         for lo in range(0, len(y), batch):
             docs = order[lo : lo + batch]
             sizes = bounds[docs + 1] - bounds[docs]
-            own = x[ragged.ranges(bounds[docs], sizes)]
+            rows = ragged.ranges(bounds[docs], sizes)
             cut = np.concatenate([[0], np.cumsum(sizes)])
-            h, t, s, a, z, logit = _forward(model, own, cut)
+            h, t, s, a, z, logit = _forward(model, x, rows, cut)
             d = ((_sigmoid(logit) - y[docs]) / len(docs)).astype(np.float32)
             dz = np.repeat(d[:, None] * model["c"], sizes, axis=0)
             da = (dz * h).sum(1)
@@ -177,8 +190,7 @@ def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, hidden: int = 32, gate
             dt = de[:, None] * model["w"] * s * (1 - t * t)
             ds = de[:, None] * model["w"] * t * s * (1 - s)
             dh = (a[:, None] * dz + dt @ model["V"].T + ds @ model["U"].T) * (1 - h * h)
-            xs = ((own - model["mean"]) / model["std"]).clip(-8, 8)
-            grad = {"W": xs.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (de[:, None] * t * s).sum(0), "c": z.T @ d, "o": d.sum()}
+            grad = {"W": sum(own.T @ dh[part] for part, own in _blocks(model, x, rows)), "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (de[:, None] * t * s).sum(0), "c": z.T @ d, "o": d.sum()}
             step += 1
             now = rate * (1 - epoch / epochs)
             for k in names:
@@ -200,15 +212,38 @@ def _groups(batch, limit: int = 1 << 20):
         lo = hi
 
 
-def _features(batches):
-    """Task: labelled documents to their passages' features."""
-    import pyarrow as pa
+def _features(folder: str):
+    """Task: labelled documents to files of their passages' features, and where each one's are."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _groups(batch):
+                x, ends = passages(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
+                uri = storage.write_file(folder, "features", x.astype("<f4").tobytes())
+                columns = [part.column(part.schema.get_field_index(n)) for n in ("doc_id", "digest", "label", "n")]
+                yield pa.record_batch([*columns, pa.array([uri] * part.num_rows), pa.array(ends[:-1]), pa.array(np.diff(ends))], names=["doc_id", "digest", "label", "n", "uri", "first", "size"])
+
+    return run
+
 
-    for batch in batches:
-        for part in _groups(batch):
-            x, ends = passages(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
-            blobs = [x[a : b : max(1, -(-(b - a) // TRAIN_PASSAGES))].astype("<f4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "x"])
+def _mapped(found: list) -> np.ndarray:
+    """Features of all found documents in their order, in a local file that goes with the array."""
+    bounds = np.concatenate([[0], np.cumsum([r.size for r in found])]).astype(np.int64)
+    if not bounds[-1]:
+        return np.zeros((0, WIDTH), np.float32)
+    with tempfile.TemporaryFile() as file:
+        file.truncate(int(bounds[-1]) * WIDTH * 4)
+        x = np.memmap(file, "<f4", "r+", shape=(int(bounds[-1]), WIDTH))
+    by_file: dict[str, list[int]] = {}
+    for i, r in enumerate(found):
+        by_file.setdefault(r.uri, []).append(i)
+    for uri, own in by_file.items():
+        data = np.frombuffer(storage.read_file(uri), "<f4").reshape(-1, WIDTH)
+        for i in own:
+            x[bounds[i] : bounds[i + 1]] = data[found[i].first : found[i].first + found[i].size]
+    return x
 
 
 def _score(shared):
@@ -234,12 +269,20 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 6000, label_
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     # at most max_train_docs rows of two numbers: small enough to broadcast, whatever the input
     sample = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs), "quality-sample")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    found = own.mapInArrow(_features, "doc_id long, label int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_train_docs).collect()
-    rows = [np.frombuffer(r.x, "<f4").reshape(-1, WIDTH) for r in found]
-    x = np.concatenate(rows) if rows else np.zeros((0, WIDTH), np.float32)
-    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    return fit(x, bounds, np.array([r.label for r in found], np.float64))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    own = text.join(F.broadcast(sample), "doc_id")
+    # a repeated id has several texts; equal rows are encoded once and count n times
+    first = own.select("doc_id", "digest").orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(max_train_docs)
+    picked = materialise(first.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "quality-picked")
+    once = own.join(F.broadcast(picked), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    spark = docs.sparkSession
+    folder = storage.fresh_dir(spark, "quality-features")
+    storage.make_dir(spark, folder)
+    manifest = materialise(once.mapInArrow(_features(folder), "doc_id long, digest string, label int, n long, uri string, first long, size long"), "quality-manifest")
+    # at most max_train_docs rows without their features
+    found = [r for r in manifest.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").collect() for _ in range(r.n)]
+    bounds = np.concatenate([[0], np.cumsum([r.size for r in found])]).astype(np.int64)
+    return fit(_mapped(found), bounds, np.array([r.label for r in found], np.float64))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -286,6 +286,31 @@ def test_quality_with_very_long_words(spark):
     assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.doc_id not in own[:2]]) > 0.95
 
 
+def test_training_sees_every_passage(spark, monkeypatch):
+    own = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, " ".join(f"w{j}" for j in range(64 * 600 if i == own[0] else 64 * 2))) for i in own]
+    rows += [(own[1], "another text"), (own[2], rows[2][1])]
+    labels = spark.createDataFrame([(i, i % 2) for i in own], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, bounds, y: seen.append((np.array(x), bounds, y)) or {"share": 0.5})
+    quality.train(docs(spark, rows), labels)
+    x, bounds, y = seen[0]
+    assert sorted(np.diff(bounds)) == sorted([600, 1, *[2] * len(own)]) and len(x) == bounds[-1] and len(y) == len(rows)
+    long = int(np.argmax(np.diff(bounds)))
+    text = rows[0][1].encode()
+    assert np.array_equal(x[bounds[long] : bounds[long + 1]], quality.passages(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
+
+
+def test_blocks_do_not_change_the_model(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, bounds, y = rng.normal(size=(90, 6)).astype(np.float32), np.arange(0, 91, 9), np.tile([0.0, 1.0], 5)
+    x[bounds[:-1][y == 1]] += 4
+    whole = quality.fit(x, bounds, y, hidden=8, gate=4, epochs=5, batch=5)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    cut = quality.fit(x, bounds, y, hidden=8, gate=4, epochs=5, batch=5)
+    assert all(np.allclose(whole[k], cut[k], atol=1e-3) for k in whole)
+
+
 def test_features_are_the_text_alone():
     texts = [(t or "").encode() for _, t in ODD] + [b" lead", b"trail ", b"one two three one two three", "é!! ü??".encode()]
 
