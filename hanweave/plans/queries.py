@@ -393,7 +393,7 @@ def string_properties(spark, sf_dir):
 def tag_groups(spark, sf_dir):
     joined = F.concat_ws("; ", F.split("p_name", " "), F.array(F.lit(""), F.col("p_brand")))
     rows = table(spark, sf_dir, "part").select("p_partkey", names.split_group(joined).alias("g"))
-    return rows.select("p_partkey", F.size("g").cast("long").alias("n"), names.joined_group(names.with_first(F.col("g"), F.lit("第一"))).alias("joined"), F.get("g", F.lit(0)).alias("head"), names.joined_group(F.slice("g", 2, 100)).alias("rest"))
+    return rows.select("p_partkey", F.size("g").cast("long").alias("n"), names.joined_group(names.with_first(F.col("g"), F.lit("第一"))).alias("joined"), F.get("g", F.lit(0)).alias("head"), names.joined_group(F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0)))).alias("rest"))
 
 
 @query

@@ -226,3 +226,12 @@ def test_conflicts(spark):
     assert flags("replace") == [True, True] and flags("skip") == [True, False] and flags("cancel") == [True, False]
     with pytest.raises(ValueError):
         flags("other")
+
+
+def test_tag_groups_keep_every_element(spark, tmp_path):
+    from hanweave.plans import queries
+
+    spark.createDataFrame([(1, " ".join(f"n{i}" for i in range(150)), "b"), (2, "", "c")], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    one_, two = queries.QUERIES["tag_groups"](spark, str(tmp_path)).orderBy("p_partkey").collect()
+    assert (one_.n, one_.head, one_.rest) == (151, "n0", "; ".join([*(f"n{i}" for i in range(1, 150)), "b"]))
+    assert (two.n, two.head, two.rest) == (1, "c", "")
