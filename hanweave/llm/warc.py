@@ -21,6 +21,7 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 
 from pyspark.sql import DataFrame
@@ -75,12 +76,22 @@ def parse(data: bytes) -> dict:
 
 
 def dictionary(records: list[bytes], size: int, sample_bytes: int) -> bytes:
-    """A dictionary from records spread evenly over the archive, ``sample_bytes`` at most in all."""
+    """A dictionary from stretches spread evenly over all records, about ``sample_bytes`` in all.
+
+    A stretch is at most 128 KiB, and short enough that there are 8 of them wherever the
+    records have 8 bytes.  Where those are too little to train on, the last ``size`` bytes
+    of the samples are the dictionary.
+    """
     import zstandard
 
     total = sum(map(len, records))
-    step = max(1, -(-total // sample_bytes))
-    samples = [r[: 128 << 10] for r in records[::step]]
+    length = max(1, min(128 << 10, total // 8))
+    stretches = [(r, at) for r in records for at in range(0, len(r), length)]
+    step = max(1, min(-(-total // sample_bytes), len(stretches) // 8))
+    # one of every step at a random place, so that no place within records is always left out
+    rng = random.Random(7)
+    picks = [min(k + rng.randrange(step), len(stretches) - 1) for k in range(0, len(stretches), step)]
+    samples = [r[at : at + length] for r, at in (stretches[k] for k in picks)]
     if len(samples) >= 8:
         try:
             return zstandard.train_dictionary(size, samples, level=3).as_bytes()

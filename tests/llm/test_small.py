@@ -68,6 +68,24 @@ def test_warc_pack():
     assert [(o, r) for o, r in warc.unpack(data)] == list(zip(offsets, records))
 
 
+def test_warc_dictionary_of_few_large_records(monkeypatch):
+    import zstandard
+
+    seen = []
+    train = zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **o: seen.append(samples) or train(size, samples, **o))
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("abcdefgh<>/", k=9)).encode() for _ in range(400)]
+    records = [b" ".join(rng.choices(vocab, k=60_000)) for _ in range(5)]
+    words = warc.dictionary(records, 64 << 10, 1 << 20)
+    samples = seen[0]
+    assert len(samples) >= 8 and words[:4] == b"\x37\xa4\x30\xec"
+    assert sum(map(len, samples)) <= (1 << 20) + (128 << 10)
+    assert any(s not in r[: 128 << 10] for s in samples for r in records if s in r)  # beyond a record's beginning
+    data, offsets = warc.pack(records, sample_bytes=1 << 20)
+    assert [r for _, r in warc.unpack(data)] == records
+
+
 def test_code_lengths():
     rng = np.random.default_rng(0)
     for n, bits in ((1, 5), (2, 1), (5, 3), (300, 9), (300, 18)):
