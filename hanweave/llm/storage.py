@@ -4,16 +4,56 @@ A task never publishes a file by its name alone: it writes under a fresh random
 name and returns that name as a row, and the rows become visible only when Spark
 commits the manifest table.  A lost or repeated attempt leaves an orphan that no
 manifest lists.
+
+An operator makes its folders inside a ``scope``, which deletes them at its end but for
+those that the lazy result still reads.
 """
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCOPE: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("scope", default=None)
+_PLACE = "_hanweave_folder"
+#: Schemes of Hadoop's connectors that Arrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+class Scope:
+    """Folders made while an operator runs, and which of them outlive it."""
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *held: DataFrame | str) -> None:
+        """Tables of ``materialise``, or folders, that the result reads."""
+        self.kept |= {x if isinstance(x, str) else getattr(x, _PLACE) for x in held}
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Delete at the end what was made inside and isn't kept; the rest passes to the scope around."""
+    outer, own = _SCOPE.get(), Scope()
+    token = _SCOPE.set(own)
+    try:
+        yield own
+    except BaseException:
+        own.kept = set()
+        raise
+    finally:
+        _SCOPE.reset(token)
+        for path in own.made:
+            if path not in own.kept:
+                remove(spark, path)
+            elif outer is not None:
+                outer.made.append(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +74,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/hanweave/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing has used; it goes with the scope around."""
+    path = f"{shared_dir(spark)}/hanweave/{name}-{uuid.uuid4().hex}"
+    if _SCOPE.get() is not None:
+        _SCOPE.get().made.append(path)
+    return path
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -50,7 +93,9 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """Write ``df`` as a table in the shared folder and read it again."""
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(out, _PLACE, path)
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -71,7 +116,8 @@ def file_system(uri: str):
     """``(filesystem, path)`` for use inside a task; file, S3, GCS and HDFS folders work."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else "file://" + uri.removeprefix("file:"))
 
 
 def write_file(folder: str, name: str, data: bytes) -> str:

@@ -135,11 +135,20 @@ def test_lines(spark):
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect() if r.text is not None) == sorted(r for r in brute_lines(rows) if r[1] is not None)
     twice = lines.dedup_lines(docs(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "a\nb\nc\nd"), (None, "a\nb\nc")]))
     assert sorted(r.n_removed for r in twice.collect()) == [0, 3, 3, 3]
+    equal = lines.dedup_lines(docs(spark, [(2, "x\ny\nz"), (2, "x\ny\nz"), (None, "p\nq\nr"), (None, "p\nq\nr"), (0, "p\nq\nr")]))
+    assert sorted((str(r.doc_id), r.text) for r in equal.collect()) == [("0", ""), ("2", ""), ("2", "x\ny\nz"), ("None", ""), ("None", "p\nq\nr")]
     assert lines.dedup_lines(docs(spark, [])).count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_many_lines_in_one_text(spark):
+    """Linear work: splitting again for each kept line would take hours here."""
+    text = "\n".join(f"line {i % 50_000}" for i in range(200_000))
+    r = lines.dedup_lines(docs(spark, [(1, text)])).first()
+    assert (r.n_lines, r.n_removed, len(r.text.split("\n"))) == (200_000, 150_000, 50_000)
+
+
 def test_packing(spark):
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 700)
