@@ -206,6 +206,33 @@ WITH d AS (
 SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(l), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
+""",
+    "op9_suffix_dedup": """
+WITH b AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents
+), w AS (
+  SELECT doc_id, i, t[i : i + 99] AS g
+  FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 98)) AS i FROM b WHERE octet_length(t) >= 100)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM later
+), runs AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi
+  FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, lo, hi FROM runs UNION ALL SELECT doc_id, octet_length(t) + 1, NULL FROM b
+), gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS x, lo AS y FROM cuts
+), kept AS (
+  SELECT b.doc_id AS doc_id, string_agg(CASE WHEN y > x THEN hex(t[x : y - 1]) ELSE '' END, '' ORDER BY x) AS k
+  FROM b JOIN gaps ON b.doc_id = gaps.doc_id GROUP BY b.doc_id
+), n AS (
+  SELECT doc_id, sum(hi - lo) AS n, count(*) AS s FROM runs GROUP BY doc_id
+)
+SELECT b.doc_id AS doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans,
+  sha256(from_hex(k)) AS kept_sha256
+FROM b JOIN kept ON b.doc_id = kept.doc_id LEFT JOIN n ON b.doc_id = n.doc_id
 """,
     "op10_topk": """
 WITH v AS (

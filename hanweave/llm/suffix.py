@@ -7,23 +7,30 @@ one place, so they are dealt to tasks such that equal strings of ``span`` bytes
 1. Every window of ``span`` bytes is owned by its smallest gram of ``GRAM`` bytes (by
    hash, leftmost at ties); equal windows have equal owners at equal offsets.  Only
    owners whose gram occurs at least twice in the corpus matter further.
-2. The windows of one owner form a unit, a stretch of text.  Of equal units all but the
-   first go; a grouped minimum with combining in tasks finds it, whatever their number.
-3. Distinct units around the same gram are suffix-sorted together; with common prefixes
-   cut at ``span``, the previous and next smaller positions in suffix order tell whether
-   a window has an earlier match.
+2. The windows of one owner form a unit, a stretch of text.  Equal units are one place of
+   the suffix order with several positions: all positions but the first have an earlier
+   match of at least ``span`` bytes.  A grouped minimum with combining in tasks finds the
+   first, whatever their number, and the later ones go.
+3. The windows of distinct units around the same gram are put into suffix order together,
+   with the lengths of the common prefixes of neighbours.  The previous and the next place
+   in that order that hold a smaller text position give each window its longest previous
+   factor (``previous_factors``); common prefixes are cut at ``span``, since a factor
+   counts from there on.  Windows whose factor has ``span`` bytes go.
 4. Where a gram has over ``group`` distinct units, they are halved by the windows'
    offset to the owner, equal halves meet in step 2 again, and so on down to single
    windows; so no task gets an unbounded group.
 
 Tables hold the texts in chunks of whole documents; what tasks need to know about a chunk
-is a file named by it in the shared folder, so texts are never shuffled.
+is a file named by it in the shared folder, so texts are never shuffled.  Every chunk has
+such a file, an empty one if there is nothing to know: an absent file is an error.
 
 Defined cases
 -------------
 * A null or empty text has no bytes.  Texts shorter than ``span`` lose nothing.
 * Null doc_ids come before all others.  Of rows that share a doc_id, the one that comes
-  first in the chunk table counts as earlier.
+  first in the chunk table counts as earlier; so of equal rows one stays whole.
+* Very long texts make a chunk of their own, which is worked on in segments of 1 MB.
+* Only doc_id and text of the input are read, so other columns can't clash.
 * Every row gives a row; an empty table gives none.
 """
 
@@ -218,21 +225,19 @@ def _side(folder: str):
     return run
 
 
-def _side_files(rows: DataFrame, name: str) -> str:
-    """Write (chunk, blob) rows as one file a chunk and return the folder."""
+def _side_files(rows: DataFrame, chunks: DataFrame, name: str) -> str:
+    """Write (chunk, blob) rows as one file for every chunk, empty where it has none, and return the folder."""
     spark = rows.sparkSession
     folder = storage.fresh_dir(spark, name)
     storage.make_dir(spark, folder)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_side(folder), "n long").agg(F.sum("n")).collect()
+    every = rows.unionByName(chunks.select("chunk", F.lit(b"").alias("blob")))
+    every.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_side(folder), "n long").agg(F.sum("n")).collect()
     return folder
 
 
 def _side_file(folder: str, chunk: int) -> bytes:
-    try:
-        return storage.read_file(f"{folder}/{chunk}")
-    except FileNotFoundError:
-        return b""
+    return storage.read_file(f"{folder}/{chunk}")
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,12 +378,11 @@ def _hash(blobs: list[bytes], more, which: int) -> np.ndarray:
     return ragged.mix(h + np.asarray(more).astype(np.uint64) * _M[1 - which]).view(np.int64)
 
 
-def previous_factors(text: np.ndarray, starts: np.ndarray, group: np.ndarray, rank: np.ndarray, span: int) -> np.ndarray:
-    """Whether each suffix (of its group) shares ``span`` bytes with one of smaller rank.
+def suffix_order(text: np.ndarray, starts: np.ndarray, group: np.ndarray, rank: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(order, common)``: suffixes by group and their first ``span`` bytes, ties by rank.
 
-    Suffixes are sorted by group, their first ``span`` bytes, then rank.  With common
-    prefixes cut at ``span``, the previous smaller rank of a suffix with a full common
-    prefix is the neighbour before it, and no next smaller rank is in its run.
+    ``common[i]`` is the length of the common prefix, cut at ``span``, of places i - 1 and
+    i; 0 where a group begins.
     """
     width = -(-span // 8)
     window = np.zeros((len(starts), width * 8), np.uint8)
@@ -386,10 +390,55 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, group: np.ndarray, ra
     words = window.view(">u8").astype(np.uint64)
     order = np.lexsort((rank, *(words[:, i] for i in reversed(range(width))), group))
     words, group = words[order], group[order]
-    full = np.zeros(len(starts), bool)
-    full[1:] = (group[1:] == group[:-1]) & (words[1:] == words[:-1]).all(axis=1)
-    out = np.zeros(len(starts), bool)
-    out[order] = full
+    common = np.zeros(len(starts), np.int64)
+    if len(starts) > 1:
+        differ = words[1:] ^ words[:-1]
+        first = np.argmax(differ != 0, axis=1)
+        word = differ[np.arange(len(first)), first]
+        # zero bytes before the first byte that differs, in a word whose first byte is its highest
+        same = 8 * first
+        for cut in range(1, 8):
+            same += word >> np.uint64(64 - 8 * cut) == 0
+        common[1:] = np.where(word == 0, span, np.minimum(same, span)) * (group[1:] == group[:-1])
+    return order, common
+
+
+def smaller_neighbours(rank: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(places, common prefixes)`` of the previous smaller rank of each place; -1 and 0 for none.
+
+    All places between a place and its candidate have a larger rank, and so has what lies
+    between the candidate and its own; so a candidate of a larger rank is replaced by its
+    own candidate, and distances double.  A common prefix of 0 can't grow again: such a
+    place has no factor on that side.
+    """
+    n = len(rank)
+    near = np.arange(-1, n - 1)
+    low = common.copy()
+    near[low == 0] = -1
+    going = np.flatnonzero(near >= 0)
+    while len(going):
+        going = going[rank[near[going]] > rank[going]]
+        at = near[going]
+        least, to = np.minimum(low[going], low[at]), near[at]
+        none = (least == 0) | (to < 0)
+        low[going], near[going] = np.where(none, 0, least), np.where(none, -1, to)
+        going = going[~none]
+    return near, low
+
+
+def previous_factors(text: np.ndarray, starts: np.ndarray, group: np.ndarray, rank: np.ndarray, span: int) -> np.ndarray:
+    """Each suffix's longest previous factor in its group, cut at ``span``.
+
+    ``rank`` orders the suffixes by where they start in the corpus.  The longest match with
+    an earlier start lies at the nearest smaller rank before or after in suffix order.
+    """
+    order, common = suffix_order(text, starts, group, rank, span)
+    place = rank[order]
+    _, before = smaller_neighbours(place, common)
+    # the same from the other end: what place i shares with i + 1 is common[i + 1]
+    _, after = smaller_neighbours(place[::-1], np.append(common[1:], 0)[::-1])
+    out = np.zeros(len(starts), np.int64)
+    out[order] = np.maximum(before, after[::-1])
     return out
 
 
@@ -406,7 +455,7 @@ def _factors(span: int, windows: int = 100_000):
         place = at - base[owner] + start[owner]
         rank = np.zeros(len(at), np.int64)
         rank[np.lexsort((place, tag[owner], okey[owner]))] = np.arange(len(at))
-        hit = np.flatnonzero(previous_factors(text, at, keys[owner], rank, span))
+        hit = np.flatnonzero(previous_factors(text, at, keys[owner], rank, span) >= span)
         chunk, di = (np.array([r[i] for r in rows], np.int64)[owner[hit]] for i in (3, 4))
         names, doc = np.unique(np.stack([chunk, di], 1), axis=0, return_inverse=True) if len(hit) else (np.zeros((0, 2), np.int64), hit)
         doc, lo, hi = merged(doc.ravel(), place[hit], place[hit] + span)
@@ -484,17 +533,27 @@ def remove_repeats(docs: DataFrame, span: int = 100, chunk_bytes: int = 1 << 20,
     if span <= GRAM:
         raise ValueError(f"span must be over {GRAM}")
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = materialise(rows.mapInArrow(_chunk(chunk_bytes), CHUNKS), "suffix-chunks", "uncompressed")
-    n_chunks = chunks.count()
-    if not n_chunks:
-        return spark.createDataFrame([], "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    with storage.scope(spark) as made:
+        chunks = materialise(rows.mapInArrow(_chunk(chunk_bytes), CHUNKS), "suffix-chunks", "uncompressed")
+        n_chunks = chunks.count()
+        if not n_chunks:
+            return spark.createDataFrame([], "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        with storage.scope(spark) as work:
+            gone = _side_files(_covered(chunks, n_chunks, span, chunk_bytes, group).mapInArrow(_spans, "chunk long, blob binary"), chunks, "suffix-spans")
+            work.keep(gone)
+        made.keep(chunks, gone)
+    return chunks.mapInArrow(_cut(gone), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def _covered(chunks: DataFrame, n_chunks: int, span: int, chunk_bytes: int, group: int) -> DataFrame:
+    """All stretches (chunk, di, start, end) that windows with an earlier start cover."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a bucket holds the hashes of about 32 MB of text, at least 64 buckets
     buckets = max(64, n_chunks * chunk_bytes >> 25)
     owners = chunks.mapInArrow(_owners(span, buckets), "bucket int, chunk long, hashes binary, several binary")
     repeated = owners.repartition(buckets, "bucket").mapInArrow(_repeated, "chunk long, blob binary")
-    flags = _side_files(repeated, "suffix-flags")
+    flags = _side_files(repeated, chunks, "suffix-flags")
     units = materialise(chunks.mapInArrow(_units(span, flags), UNITS), "suffix-units")
     covered = [units.filter("covered").select("chunk", "di", "start", "end")]
     now = units.filter("NOT covered")
@@ -513,7 +572,7 @@ def remove_repeats(docs: DataFrame, span: int = 100, chunk_bytes: int = 1 << 20,
         several = materialise(left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-several")
         contested = left.join(several.hint("merge"), "key").select(*[c.split()[0] for c in CONTESTED.split(", ")])
         if first:  # only now are bytes needed, and of these units alone
-            wanted = _side_files(contested.mapInArrow(_wanted, "chunk long, blob binary"), "suffix-wanted")
+            wanted = _side_files(contested.mapInArrow(_wanted, "chunk long, blob binary"), chunks, "suffix-wanted")
             contested, first = chunks.mapInArrow(_fetch(wanted), CONTESTED), False
         contested = materialise(contested, "suffix-contested")
         small = contested.filter(F.col("n") <= group).drop("n").repartition(parts, "key").sortWithinPartitions("key")
@@ -525,5 +584,4 @@ def remove_repeats(docs: DataFrame, span: int = 100, chunk_bytes: int = 1 << 20,
     every = covered[0]
     for part in covered[1:]:
         every = every.unionByName(part)
-    gone = _side_files(every.mapInArrow(_spans, "chunk long, blob binary"), "suffix-spans")
-    return chunks.mapInArrow(_cut(gone), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return every

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hanweave.llm import chat, decontaminate, idfile, lines, packing, quality, simjoin, suffix, tokenise, topk, warc
+from hanweave.llm import chat, decontaminate, idfile, lines, packing, quality, simjoin, storage, suffix, tokenise, topk, warc
 from hanweave.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, rid string, hit string, t string, kept_id string, starts string"
@@ -417,6 +417,38 @@ def brute_bytes(rows, span):
     return out
 
 
+def test_longest_previous_factors():
+    """Suffix order, common prefixes and factors against their definitions."""
+    rng = np.random.default_rng(5)
+    for span in (3, 9, 16):
+        for signs in (2, 4):
+            text = rng.integers(97, 97 + signs, 260).astype(np.uint8)
+            starts = rng.permutation(260 - span)
+            group = rng.integers(0, 3, len(starts))
+            rank = rng.permutation(len(starts))
+            own = [bytes(text[s : s + span]) for s in starts]
+
+            def shared(i, j):
+                return next((k for k in range(span) if own[i][k] != own[j][k]), span)
+
+            order, common = suffix.suffix_order(text, starts, group, rank, span)
+            assert order.tolist() == sorted(range(len(starts)), key=lambda i: (group[i], own[i], rank[i]))
+            assert common.tolist() == [0] + [shared(i, j) if group[i] == group[j] else 0 for i, j in zip(order[1:], order[:-1])]
+            found = suffix.previous_factors(text, starts, group, rank, span)
+            want = [max((shared(i, j) for j in range(len(starts)) if group[i] == group[j] and rank[j] < rank[i]), default=0) for i in range(len(starts))]
+            assert found.tolist() == want
+
+
+def test_a_lost_side_file_is_an_error(spark):
+    text = "".join(random.Random(2).choices("abcdefgh ", k=900))
+    found = suffix.remove_repeats(docs(spark, [(1, text), (2, text)]))
+    before = {f for f in found.sparkSession.sparkContext._jvm.java.io.File(storage.shared_dir(spark).removeprefix("file://") + "/hanweave").list() if "spans" in f}
+    for name in before:
+        storage.remove(spark, f"{storage.shared_dir(spark)}/hanweave/{name}")
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        found.count()
+
+
 def test_suffix(spark):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(300)]
@@ -433,6 +465,7 @@ def test_suffix(spark):
     got = suffix.remove_repeats(docs(spark, rows), chunk_bytes=4000, group=6).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
     odd = suffix.remove_repeats(docs(spark, ODD)).collect()
+    assert sorted(r.n_removed for r in odd if r.doc_id == 7) == [14995] and sum(r.n_removed for r in odd) == 14995
     assert len(odd) == len(ODD) and suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
