@@ -7,14 +7,17 @@ occurrence of a window is hit.
 
 Fingerprints: of every ``span - k + 1`` consecutive k-gram hashes the smallest are
 kept, in items and documents alike, so each shared span of ``span`` words shares a
-fingerprint.  Equal fingerprints are extended by up to ``span - k`` words to either
-side over the words' own hashes (64 bits a word), which finds all windows around
-them and no others.  Items shorter than ``span`` have their whole text as their
-only gram.
-
-Fingerprints of the benchmark are sent to all executors where they are at most
+fingerprint.  Around a document's fingerprint that the benchmark has too, the hit is
+extended window by window: each of the ``span - k + 1`` windows that hold the gram is
+looked up among the benchmark's windows (two 64-bit hashes), which finds all of them and
+no others.  Windows are grouped beforehand: a window that very many items share is one
+entry with a list of items, so a passage common to many items and many documents costs
+each document one lookup a window, and never a pair an item.  Items shorter than ``span``
+have their whole text as their only gram and window.
+
+Windows of the benchmark are sent to all executors where it has at most
 ``broadcast_words`` words, a checked and fixed bound; beyond it both sides'
-fingerprints are joined through a shuffle, and the results are the same.
+fingerprints, then windows, are joined through shuffles, and the results are the same.
 
 Defined cases
 -------------
@@ -23,6 +26,10 @@ Defined cases
 * Every row of documents gives a row, repeated ids too (each with its own text);
   null ids stay null.  Rows of the benchmark with one id count as one item, with the
   windows of all its rows; a null id is written as ``null``.
+* Ties of gram hashes in a window keep all their places, on both sides alike.
+* Very long texts: tasks take about 1 MB of text at once, a longer text by itself, whole.
+* ``decontaminate`` reads doc_id and text alone, so other columns can't clash;
+  ``keep_clean`` returns all columns of its input and no others.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanweave.llm import ragged
-from hanweave.llm.storage import free_name, materialise
+from hanweave.llm.storage import free_name, materialise, scope
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -77,94 +84,112 @@ def _marks(hashes: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.n
     return pos, grams[pos]
 
 
+def window_hashes(hashes: np.ndarray, starts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the ``m`` words from each start."""
+    out = [np.zeros(len(starts), np.uint64) for _ in range(2)]
+    for j in range(m):
+        own = hashes[starts + j]
+        for h, by in zip(out, (ragged.M1, ragged.M2)):
+            h *= by
+            h += own
+    return ragged.mix(out[0]), ragged.mix(out[1] + np.uint64(m))
+
+
+def _around(at: np.ndarray, first: np.ndarray, stop: np.ndarray, reach: int, span: int) -> np.ndarray:
+    """Starts of all windows of ``span`` words, within their text, that hold the gram at ``at``."""
+    starts = (at[:, None] - np.arange(reach + 1)).ravel()
+    first, stop = np.repeat(first, reach + 1), np.repeat(stop, reach + 1)
+    return np.unique(starts[(starts >= first) & (starts + span <= stop)])
+
+
 class Index:
-    """Windows of a benchmark: words' hashes, items, and fingerprints by gram length."""
+    """A benchmark's fingerprints and windows, each window once with the list of its items."""
 
     def __init__(self, items: list[tuple[str, bytes]], span: int, k: int):
-        self.span, self.k, self.w = span, k, span - k + 1
+        self.span, self.k = span, k
         self.names = [name for name, _ in items]
         data = np.frombuffer(b"".join(text for _, text in items), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(text) for _, text in items])]).astype(np.int64)
-        self.hashes, bounds = words(data, offsets)
-        self.owner = np.repeat(np.arange(len(items)), np.diff(bounds))
-        self.first, self.stop = bounds[:-1], bounds[1:]
+        hashes, bounds = words(data, offsets)
         sizes = np.diff(bounds)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        pos, marks = _marks(self.hashes, bounds, k, self.w)
-        keep = sizes[self.owner[pos]] >= span if len(pos) else np.zeros(0, bool)
-        self._add(0, pos[keep], marks[keep])
-        for m in np.unique(sizes[(sizes > 0) & (sizes < span)]):
-            at = self.first[sizes == m]
-            grams = ragged.gram_hashes(self.hashes, int(m))
-            self._add(int(m), at, grams[at])
-
-    def _add(self, m: int, pos: np.ndarray, marks: np.ndarray) -> None:
-        order = np.argsort(marks, kind="stable")
-        if len(order):
-            self.tables[m] = (marks[order], pos[order])
-
-
-def _pairs(marks: np.ndarray, at: np.ndarray, known: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document position, benchmark position) of equal fingerprints."""
-    lo = np.searchsorted(known, marks, "left")
-    n = np.searchsorted(known, marks, "right") - lo
-    return np.repeat(at, n), pos[ragged.ranges(lo, n)]
-
-
-def _extended(hashes, first, stop, dp, index: Index, bp) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of at least ``span`` equal words around fingerprint pairs: begin, end, item."""
-    reach, k = index.span - index.k, index.k
-    item = index.owner[bp]
-    left = np.zeros(len(dp), np.int64)
-    right = np.zeros(len(dp), np.int64)
-    for side, step in ((left, -1), (right, 1)):
-        going = np.arange(len(dp))
-        for j in range(1, reach + 1):
-            a = dp[going] + (k - 1 + j if step > 0 else -j)
-            b = bp[going] + (k - 1 + j if step > 0 else -j)
-            ok = (a < stop[going]) & (b < index.stop[item[going]]) if step > 0 else (a >= first[going]) & (b >= index.first[item[going]])
-            a, b, going = a[ok], b[ok], going[ok]
-            same = hashes[a] == index.hashes[b]
-            going = going[same]
-            side[going] = j
-            if not len(going):
-                break
-    # the gram's own words, against collisions of gram hashes
-    same = np.ones(len(dp), bool)
-    for j in range(k):
-        same &= hashes[dp + j] == index.hashes[bp + j]
-    keep = same & (left + k + right >= index.span)
-    return (dp - left)[keep], (dp + k + right)[keep], item[keep]
+        owner = np.repeat(np.arange(len(items)), sizes)
+        #: by length of the gram (0: k-grams of long items): marks; windows' length, two hashes and list
+        self.tables: dict[int, tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: places of the distinct lists in ``members``
+        self.first, self.members = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self._known: dict[tuple[int, int, int], int] = {}
+        pos, marks = _marks(hashes, bounds, k, span - k + 1)
+        long_ = sizes >= span
+        keep = long_[owner[pos]] if len(pos) else np.zeros(0, bool)
+        starts = np.flatnonzero(long_[owner]) if len(owner) else np.zeros(0, np.int64)
+        starts = starts[starts + span <= bounds[1:][owner[starts]]] if len(starts) else starts
+        self._add(0, span, marks[keep], hashes, starts, owner)
+        for m in np.unique(sizes[(sizes > 0) & ~long_]):
+            at = bounds[:-1][sizes == m]
+            self._add(int(m), int(m), ragged.gram_hashes(hashes, int(m))[at], hashes, at, owner)
+
+    def _add(self, m: int, size: int, marks: np.ndarray, hashes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> None:
+        if not len(starts):
+            return
+        a, b = window_hashes(hashes, starts, size)
+        item = owner[starts]
+        order = np.lexsort((item, b, a))
+        a, b, item = a[order], b[order], item[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        one = new | np.concatenate([[True], item[1:] != item[:-1]])  # an item once a window
+        a, b, item, new = a[one], b[one], item[one], new[one]
+        at = np.flatnonzero(new)
+        count = np.diff(np.append(at, len(item)))
+        signs = [np.add.reduceat(ragged.mix(item.astype(np.uint64) * by + ragged.M1), at) for by in (ragged.M1, ragged.M2)]
+        lists = np.zeros(len(at), np.int64)
+        members = [self.members]
+        first = list(self.first)
+        for i, key in enumerate(zip(count.tolist(), signs[0].tolist(), signs[1].tolist())):
+            if key not in self._known:
+                self._known[key] = len(first) - 1
+                members.append(item[at[i] : at[i] + count[i]])
+                first.append(first[-1] + count[i])
+            lists[i] = self._known[key]
+        self.first, self.members = np.array(first, np.int64), np.concatenate(members)
+        self.tables[m] = (np.unique(marks), size, a[at], b[at], lists)
+
+    def items_of(self, lists) -> list[str]:
+        """Names of all items of some lists, sorted, each once."""
+        places = np.unique(np.concatenate([self.members[self.first[i] : self.first[i + 1]] for i in lists]))
+        return sorted({self.names[i] for i in places.tolist()})
 
 
 def _hits(hashes: np.ndarray, bounds: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All hit runs in a batch of documents: begin, end (word positions), item."""
-    begins, ends, items = [], [], []
-    owner_stop = np.repeat(bounds[1:], np.diff(bounds))
-    owner_first = np.repeat(bounds[:-1], np.diff(bounds))
-    for m, (known, pos) in index.tables.items():
+    """All windows of a batch of documents that the benchmark has: begin, end (word positions), list of items."""
+    begins, ends, lists = [], [], []
+    sizes = np.diff(bounds)
+    stop, first = np.repeat(bounds[1:], sizes), np.repeat(bounds[:-1], sizes)
+    reach = index.span - index.k
+    for m, (known, size, a, b, own) in index.tables.items():
         if m == 0:
-            at, marks = _marks(hashes, bounds, index.k, index.w)
+            at, marks = _marks(hashes, bounds, index.k, reach + 1)
         else:
             marks = ragged.gram_hashes(hashes, m)
             at = np.arange(len(marks))
-            inside = at + m <= owner_stop[at] if len(at) else np.zeros(0, bool)
+            inside = at + m <= stop[at] if len(at) else np.zeros(0, bool)
             at, marks = at[inside], marks[inside]
-        near = np.minimum(np.searchsorted(known, marks), len(known) - 1)
-        found = known[near] == marks
-        dp, bp = _pairs(marks[found], at[found], known, pos)
-        if m == 0:
-            b, e, i = _extended(hashes, owner_first[dp], owner_stop[dp], dp, index, bp)
-        else:
-            same = np.ones(len(dp), bool)
-            for j in range(m):
-                same &= hashes[dp + j] == index.hashes[bp + j]
-            b, e, i = dp[same], dp[same] + m, index.owner[bp[same]]
-        begins.append(b)
-        ends.append(e)
-        items.append(i)
+        at = at[known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks]
+        starts = _around(at, first[at], stop[at], reach, size) if m == 0 else at
+        x, y = window_hashes(hashes, starts, size)
+        near = np.minimum(np.searchsorted(a, x), len(a) - 1)
+        # windows of equal first hashes are next to each other; more than one is next to impossible
+        while True:
+            more = (a[near] == x) & (b[near] < y) & (near + 1 < len(a))
+            more[more] = a[near[more] + 1] == x[more]
+            if not more.any():
+                break
+            near[more] += 1
+        same = (a[near] == x) & (b[near] == y)
+        begins.append(starts[same])
+        ends.append(starts[same] + size)
+        lists.append(own[near[same]])
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate([none, *x]) for x in (begins, ends, items))
+    return tuple(np.concatenate([none, *x]) for x in (begins, ends, lists))
 
 
 def digest(names: list[str]) -> str:
@@ -181,29 +206,36 @@ def _scan(shared):
         import pyarrow as pa
 
         index: Index = shared.value
+        met: dict[tuple, tuple[int, str]] = {}  # lists of items that documents have met, to their number and digest
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                data, offsets = ragged.text_bytes(part.column(1))
-                hashes, bounds = words(data, offsets)
-                begin, end, item = _hits(hashes, bounds, index)
+            for part in ragged.slices(batch):
+                hashes, bounds = words(*ragged.text_bytes(part.column(1)))
+                begin, end, lists = _hits(hashes, bounds, index)
                 step = np.zeros(len(hashes) + 1, np.int64)
                 np.add.at(step, begin, 1)
                 np.add.at(step, end, -1)
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
                 n_hit = covered[bounds[1:]] - covered[bounds[:-1]]
                 doc = np.searchsorted(bounds, begin, "right") - 1
-                names: dict[int, set[str]] = {}
-                for d, i in np.unique(np.stack([doc, item], 1), axis=0):
-                    names.setdefault(int(d), set()).add(index.names[i])
-                own = [names.get(i, ()) for i in range(part.num_rows)]
+                own: dict[int, list[int]] = {}
+                for d, i in np.unique(np.stack([doc, lists], 1), axis=0).tolist():
+                    own.setdefault(d, []).append(i)
+                found = [(0, NONE)] * part.num_rows
+                for d, key in own.items():
+                    key = tuple(key)
+                    if key not in met:
+                        if len(met) > 10_000:
+                            met.clear()
+                        names = index.items_of(key)
+                        met[key] = (len(names), digest(names))
+                    found[d] = met[key]
                 yield pa.record_batch(
                     [
                         part.column(0).cast(pa.int64()),
                         pa.array(np.diff(bounds)),
                         pa.array(n_hit),
-                        pa.array([len(x) for x in own], pa.int64()),
-                        pa.array([digest(list(x)) if x else NONE for x in own], pa.string()),
+                        pa.array([n for n, _ in found], pa.int64()),
+                        pa.array([x for _, x in found], pa.string()),
                         pa.array(n_hit > 0),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
@@ -212,8 +244,11 @@ def _scan(shared):
     return run
 
 
+WINDOWS = "array<struct<pos: long, a: long, b: long>>"
+
+
 def _emit(span: int, k: int, whole: bool, lengths: tuple[int, ...]):
-    """Task for the shuffled path: a row for each fingerprint, with the words around it.
+    """Task for the shuffled path: a row for each fingerprint, with the windows around it.
 
     ``whole``: benchmark rows, whose short items are one gram; else documents, which
     emit the grams of all short lengths that the benchmark has.
@@ -224,10 +259,8 @@ def _emit(span: int, k: int, whole: bool, lengths: tuple[int, ...]):
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                data, offsets = ragged.text_bytes(part.column(1))
-                hashes, bounds = words(data, offsets)
+            for part in ragged.slices(batch):
+                hashes, bounds = words(*ragged.text_bytes(part.column(1)))
                 sizes = np.diff(bounds)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 jobs = [(0, *_marks(hashes, bounds, k, reach + 1))]
@@ -241,89 +274,81 @@ def _emit(span: int, k: int, whole: bool, lengths: tuple[int, ...]):
                     jobs.append((m, at, grams[at]))
                 for m, at, marks in jobs:
                     own = owner[at] if len(at) else np.zeros(0, np.int64)
-                    size = k if m == 0 else m
-                    more = reach if m == 0 else 0
-                    a = np.maximum(at - more, bounds[:-1][own])
-                    b = np.minimum(at + size + more, bounds[1:][own])
-                    near = [hashes[x:y].tobytes() for x, y in zip(a, b)]
+                    size, more = (span, reach + 1) if m == 0 else (m, 1)
+                    starts = at[:, None] - np.arange(more)
+                    inside = (starts >= bounds[:-1][own][:, None]) & (starts + size <= bounds[1:][own][:, None])
+                    starts = starts[inside]
+                    a, b = window_hashes(hashes, starts, size)
+                    pos = starts - np.repeat(bounds[:-1][own], inside.sum(axis=1))
+                    items = pa.StructArray.from_arrays([pa.array(pos), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["pos", "a", "b"])
+                    cut = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
                     yield pa.record_batch(
-                        [
-                            pa.array(np.full(len(at), m, np.int32)),
-                            pa.array(marks.view(np.int64)),
-                            part.column(0).take(pa.array(own)),
-                            pa.array(at - bounds[:-1][own]),
-                            pa.array((at - a).astype(np.int32)),
-                            pa.array(near, pa.binary()),
-                        ],
-                        names=["m", "mark", "id", "pos", "left", "near"],
+                        [pa.array(np.full(len(at), m, np.int32)), pa.array(marks.view(np.int64)), part.column(0).take(pa.array(own)), pa.ListArray.from_arrays(pa.array(cut), items)],
+                        names=["m", "mark", "id", "windows"],
                     )
 
     return run
 
 
-def _verify(span: int, k: int):
-    """Task: joined fingerprints to hit runs."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out: list[tuple[int, int, int, str]] = []
-            for m, row, pos, left, near, name, left_b, near_b in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(near, np.uint64), np.frombuffer(near_b, np.uint64)
-                size = k if m == 0 else m
-                if not np.array_equal(a[left : left + size], b[left_b : left_b + size]):
-                    continue
-                lo = 0
-                while lo < min(left, left_b) and a[left - lo - 1] == b[left_b - lo - 1]:
-                    lo += 1
-                hi = 0
-                while left + size + hi < len(a) and left_b + size + hi < len(b) and a[left + size + hi] == b[left_b + size + hi]:
-                    hi += 1
-                if m or lo + size + hi >= span:
-                    out.append((row, pos - (0 if m else lo), pos + size + (0 if m else hi), name))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.record_batch(
-                [pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int64()), pa.array(list(cols[2]), pa.int64()), pa.array(list(cols[3]), pa.string())],
-                names=["row", "begin", "end", "item"],
-            )
-
-    return run
-
-
 def _count_words(batches):
     import pyarrow as pa
 
     for batch in batches:
-        data, offsets = ragged.text_bytes(batch.column(1))
-        _, bounds = words(data, offsets)
-        yield pa.record_batch([batch.column(0), pa.array(np.diff(bounds))], names=["id", "n"])
+        for part in ragged.slices(batch):
+            _, bounds = words(*ragged.text_bytes(part.column(1)))
+            yield pa.record_batch([part.column(0), pa.array(np.diff(bounds))], names=["id", "n"])
 
 
-def _met(rows: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
-    """Hit runs of ``rows`` (row, text) by a shuffle; skewed fingerprints are left to Spark's skew join."""
+def _met(rows: DataFrame, items: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of ``rows`` (row, text) that the benchmark has, and the lists of items.
+
+    The first is (row, begin, end, list), the second (list, item).  Neither join has more
+    than one match a row, so Spark's skew join can split a hot fingerprint or window.
+    """
     size = items.mapInArrow(_count_words, "id string, n long").filter((F.col("n") > 0) & (F.col("n") < span))
     lengths = tuple(r.n for r in size.select("n").distinct().orderBy("n").collect())  # at most span - 1 values
-    schema = "m int, mark long, id {} , pos long, left int, near binary"
+    schema = "m int, mark long, id {}, windows " + WINDOWS
     known = materialise(items.mapInArrow(_emit(span, k, True, lengths), schema.format("string")), "decon-items")
-    marks = rows.mapInArrow(_emit(span, k, False, lengths), schema.format("long"))
-    other = known.select("m", "mark", F.col("id").alias("item"), F.col("left").alias("left_b"), F.col("near").alias("near_b"))
-    both = marks.join(other, ["m", "mark"]).select("m", F.col("id").alias("row"), "pos", "left", "near", "item", "left_b", "near_b")
-    return both.mapInArrow(_verify(span, k), "row long, begin long, end long, item string")
+    spread = known.select("m", F.col("id").alias("item"), F.explode("windows").alias("w")).select("m", "w.a", "w.b", "item").distinct()
+    pairs = materialise(spread, "decon-windows")
+    # equal lists of items are one: told apart by their number and two sums of hashes
+    sums = [F.sum(F.xxhash64(F.lit(i), "item").cast("decimal(38,0)")).alias(n) for i, n in enumerate("xy")]
+    signed = pairs.groupBy("m", "a", "b").agg(F.count("*").alias("n"), *sums)
+    windows = materialise(signed.select("m", "a", "b", F.sha2(F.concat_ws(",", "n", "x", "y"), 256).alias("list")), "decon-lists")
+    named = windows.groupBy("list").agg(F.min(F.struct("m", "a", "b")).alias("w")).select("list", "w.*")
+    members = materialise(pairs.join(named.hint("merge"), ["m", "a", "b"]).select("list", "item"), "decon-members")
+    marks = rows.mapInArrow(_emit(span, k, False, lengths), schema.format("long")).join(known.select("m", "mark").distinct(), ["m", "mark"], "left_semi")
+    around = marks.select("m", F.col("id").alias("row"), F.explode("windows").alias("w")).select("m", "row", "w.*").distinct()
+    end = F.col("pos") + F.when(F.col("m") == 0, F.lit(span)).otherwise(F.col("m"))
+    hits = around.join(windows, ["m", "a", "b"]).select("row", F.col("pos").alias("begin"), end.alias("end"), "list")
+    return materialise(hits, "decon-hits"), members
 
 
 def _joined(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
     """The shuffled path of ``decontaminate``."""
-    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "decon-docs")
-    runs = _met(rows.select("row", "text"), items, span, k).distinct()
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("begin", F.col("end") - 1))))).cast("long")
-    found = runs.groupBy("row").agg(covered.alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
-    counted = rows.select("row", "text").mapInArrow(_count_words, "row long, n_words long")
+    with scope(docs.sparkSession) as made:
+        rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "decon-docs")
+        hits, members = _met(rows.select("row", "text"), items, span, k)
+        runs = F.sort_array(F.collect_set(F.struct("begin", "end")))
+        per = hits.groupBy("row").agg(runs.alias("runs"), F.sort_array(F.collect_set("list")).alias("lists"))
+        # words in the union of the windows, in order of their beginnings
+        start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+
+        def add(s, w):
+            return F.struct(F.greatest(s["upto"], w["end"]).alias("upto"), (s["n"] + F.greatest(w["end"] - F.greatest(s["upto"], w["begin"]), F.lit(0))).alias("n"))
+
+        per = materialise(per.select("row", F.aggregate("runs", start, add)["n"].alias("n_hit"), "lists", F.sha2(F.concat_ws(",", "lists"), 256).alias("sign")), "decon-rows")
+        # documents that meet the same lists share one union of items
+        signs = per.groupBy("sign").agg(F.min("lists").alias("lists")).select("sign", F.explode("lists").alias("list"))
+        named = signs.join(members, "list").groupBy("sign").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        named = materialise(named.select("sign", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")), "decon-named")
+        counted = materialise(rows.select("row", "text").mapInArrow(_count_words, "row long, n_words long"), "decon-words")
+        found = materialise(per.select("row", "n_hit", "sign").join(named, "sign").drop("sign"), "decon-found")
+        made.keep(rows, counted, found)
     out = rows.select("row", "doc_id").join(counted, "row").join(found, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items_), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(NONE)).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 
@@ -362,8 +387,7 @@ def _clean(shared):
 
         index: Index = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in ragged.slices(batch):
                 hashes, bounds = words(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
                 begin, _, _ = _hits(hashes, bounds, index)
                 hit = np.zeros(part.num_rows, bool)
@@ -378,10 +402,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5
     spark = docs.sparkSession
     rows = bounded_items(benchmark, broadcast_words)
     if rows is None:
-        # ids may be null or repeated, so rows are told apart by keys of their own
-        key = free_name(docs, "row_key")
-        keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "decon-docs")
-        texts = keyed.select(F.col(key).alias("row"), F.col("text").cast("string").alias("text"))
-        hit = _met(texts, named_items(benchmark), span, k).select(F.col("row").alias(key)).distinct()
+        with scope(spark) as made:
+            # ids may be null or repeated, so rows are told apart by keys of their own
+            key = free_name(docs, "row_key")
+            keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "decon-docs")
+            texts = keyed.select(F.col(key).alias("row"), F.col("text").cast("string").alias("text"))
+            hits, _ = _met(texts, named_items(benchmark), span, k)
+            hit = materialise(hits.select(F.col("row").alias(key)).distinct(), "decon-found")
+            made.keep(keyed, hit)
         return keyed.join(hit, key, "left_anti").select(*docs.columns)
     return docs.mapInArrow(_clean(spark.sparkContext.broadcast(Index(rows, span, k))), docs.schema)

@@ -32,6 +32,16 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch, name: str = "text", limit: int = 1 << 20):
+    """Slices of an Arrow batch of about ``limit`` bytes of text (a longer text by itself), to bound memory."""
+    _, offsets = text_bytes(batch.column(batch.schema.get_field_index(name)))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All of ``start .. start+size-1`` for each pair, one after another."""
     total = int(sizes.sum())
