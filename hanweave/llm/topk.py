@@ -4,11 +4,13 @@ Every (query, candidate) pair is scored in blocks.  Rounds of global score
 histograms narrow, for each query, the interval that holds its k-th best score;
 a last pass keeps what lies on or above it and ranks that by score, then id.
 
-Queries go to the executors in chunks of at most ``query_block`` rows, so what is
-broadcast has a fixed bound.  In a round each partition reports only the bins on
-or above its own k-th best, since the global k-th best can't lie below; and in the
-last pass at most ``k`` rows a query, because no partition can contribute more.
-A vector that many rows share therefore costs no more than any other.
+Vectors are quantised once, into a table that every scan reads.  Queries go to the
+executors in blocks of at most ``query_block`` rows, so what is broadcast has a fixed
+bound.  In a round each partition reports only the bins on or above its own k-th best,
+since the global k-th best can't lie below; Spark sums them, finds the bin of each
+query's k-th best, and sends one row a query to the driver.  In the last pass a partition
+gives at most ``k`` rows a query, because none can contribute more.  A vector that many
+rows share therefore costs no more than any other.
 
 Defined cases
 -------------
@@ -18,6 +20,8 @@ Defined cases
   are no candidates.  Repeated query ids give one query (the smallest vector);
   repeated candidate rows stay separate candidates.
 * Scores beyond the range of a long are clamped to it.
+* Equal scores go to the smaller id, and of equal ids each row counts.
+* Only the two named columns are read, so other columns can't clash.
 * No vectors or no queries: no rows.
 """
 
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hanweave.llm.storage import materialise
+from hanweave.llm.storage import fresh_dir, materialise, scope
 
 LONG = 2**63 - 1
 EXACT = float(2**53)
@@ -44,8 +48,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False))
 
 
-def _blocks(batch, rows: int = 512):
-    """``(ids, matrix)`` blocks of equal dimension from an Arrow batch of (id, vec)."""
+def _blocks(batch, queries: int, cells: int = 1 << 20):
+    """``(ids, matrix)`` blocks of equal dimension from an Arrow batch of (id, vec); a block has about ``cells`` scores."""
+    rows = max(16, cells // max(queries, 1))
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     vectors = batch.column(1)
     offsets = vectors.offsets.to_numpy()
@@ -89,13 +94,17 @@ def _histogram(shared, k: int, bins: int):
     def run(batches):
         import pyarrow as pa
 
-        groups, low, width = shared.value
+        groups, low, width, going = shared.value
         counts = np.zeros((len(low), bins + 1), np.int64)  # the last bin: above the interval
         for batch in batches:
-            for size, ids, block in _blocks(batch):
+            for size, ids, block in _blocks(batch, len(low)):
                 if size not in groups:
                     continue
                 at, own, matrix = groups[size]
+                open_ = going[at]
+                if not open_.any():
+                    continue
+                at, own, matrix = at[open_], own[open_], matrix[open_]
                 s = _scores(matrix, block)
                 # differences of longs may exceed a long; both bounds are compared first
                 lo, wd = low[at][:, None], width[at][:, None]
@@ -117,7 +126,7 @@ def _select(shared, k: int):
     def run(batches):
         import pyarrow as pa
 
-        groups, low, _ = shared.value
+        groups, low, _, _ = shared.value
         best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def cut(q: int) -> None:
@@ -126,7 +135,7 @@ def _select(shared, k: int):
             best[q] = [(s[order], i[order])]
 
         for batch in batches:
-            for size, ids, block in _blocks(batch):
+            for size, ids, block in _blocks(batch, len(low)):
                 if size not in groups:
                     continue
                 at, own, matrix = groups[size]
@@ -155,13 +164,13 @@ def top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     scale: int = 1024,
-    query_block: int = 2048,
-    bins: int = 1024,
+    query_block: int = 4096,
+    bins: int = 512,
 ) -> DataFrame:
     """The ``k`` best candidates of each query: query_id, rank, vec_id, score.
 
     ``queries`` has the columns of ``vectors``; ``query_block`` bounds what one pass
-    broadcasts, and the table of vectors is scanned a few times a block.
+    broadcasts, and the table of quantised vectors is scanned a few times a block.
     """
     spark = vectors.sparkSession
 
@@ -169,51 +178,50 @@ def top_k(
         kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
         return kept.filter(F.col("id").isNotNull() & usable(F.col("v"))).select("id", quantised(F.col("v"), scale).alias("v"))
 
-    candidates = prepared(vectors)
-    asked = materialise(prepared(queries).groupBy("id").agg(F.min("v").alias("v")), "topk-queries")
-    total = asked.count()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    most = candidates.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0] or 0.0
-    chunks = -(-total // query_block)
-    parts = []
-    for chunk in range(chunks):
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).orderBy("id").collect() if chunks > 1 else asked.orderBy("id").collect()
-        if not mine:
-            continue
-        groups = _grouped(mine)
-        sums = [sum(abs(x) for x in row[1]) for row in mine]
-        bound = [min(LONG // 2 - bins - 1, int(s * (most + 1)) + 1) for s in sums]
-        low = np.array([-b for b in bound], np.int64)
-        if most * max([0, *sums]) * 2 >= LONG // 2:
-            low[:] = -LONG  # scores may be clamped: one interval over all longs
-        width = np.array([-(-(min(LONG, 2 * b + 1)) // bins) for b in bound], np.int64)
-        need = np.full(len(mine), k, np.int64)
-        open_ = width >= 1
-        while open_.any():
-            shared = spark.sparkContext.broadcast((groups, low, width))
-            found = candidates.mapInArrow(_histogram(shared, k, bins), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).collect()
-            counts = np.zeros((len(mine), bins + 1), np.int64)
-            for row in found:
-                counts[row.q, row.bin] = row.n
-            down = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
-            for q in np.flatnonzero(open_):
-                # the highest bin with at least k rows on or above it; bins pruned by a task lie below it
-                enough = np.flatnonzero(down[q] >= need[q])
-                if not len(enough):
-                    open_[q] = False  # fewer than k candidates in all: every one stays
-                elif enough[-1] == bins or width[q] == 1 or down[q, enough[-1]] <= 4 * k:
-                    low[q] = min(LONG, int(low[q]) + int(enough[-1]) * int(width[q]))
-                    open_[q] = False
-                else:
-                    low[q] = int(low[q]) + int(enough[-1]) * int(width[q])
-                    width[q] = -(-int(width[q]) // bins)
-            shared.unpersist()
-        shared = spark.sparkContext.broadcast((groups, low, width))
-        parts.append(candidates.mapInArrow(_select(shared, k), "query_id long, vec_id long, score long"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    with scope(spark) as made:
+        asked = materialise(prepared(queries).groupBy("id").agg(F.min("v").alias("v")), "topk-queries")
+        total = asked.count()
+        if not total:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        candidates = materialise(prepared(vectors), "topk-vectors")
+        most = candidates.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0] or 0.0
+        chunks = -(-total // query_block)
+        out, schema = fresh_dir(spark, "topk-found"), "query_id long, vec_id long, score long"
+        for chunk in range(chunks):
+            mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).orderBy("id").collect()
+            if mine:
+                shared = spark.sparkContext.broadcast(_located(candidates, mine, most, k, bins))
+                candidates.mapInArrow(_select(shared, k), schema).write.mode("append").parquet(out)
+                shared.unpersist()
+        made.keep(out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    ranked = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = spark.read.schema(schema).parquet(out).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _located(candidates: DataFrame, mine: list, most: float, k: int, bins: int) -> tuple:
+    """A block of queries with a bound for each on or above which its k best scores lie."""
+    spark = candidates.sparkSession
+    groups = _grouped(mine)
+    sums = [sum(abs(x) for x in row[1]) for row in mine]
+    bound = [min(LONG // 2 - bins - 1, int(s * (most + 1)) + 1) for s in sums]
+    low = np.array([-b for b in bound], np.int64)
+    if most * max([0, *sums]) * 2 >= LONG // 2:
+        low[:] = -LONG  # scores may be clamped: one interval over all longs
+    width = np.array([-(-(min(LONG, 2 * b + 1)) // bins) for b in bound], np.int64)
+    going = np.ones(len(mine), bool)
+    down = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
+    while going.any():
+        shared = spark.sparkContext.broadcast((groups, low, width, going))
+        counts = candidates.mapInArrow(_histogram(shared, k, bins), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        # the highest bin with at least k rows on or above it, a row a query; bins pruned by a task lie below it
+        found = counts.withColumn("down", down).filter(F.col("down") >= k).groupBy("q").agg(F.max(F.struct("bin", "down")).alias("m")).select("q", "m.*").collect()
+        again = np.zeros(len(mine), bool)  # a query without such a bin has fewer than k candidates: every one stays
+        for q, place, n in found:
+            low[q] = min(LONG, int(low[q]) + place * int(width[q]))
+            if place < bins and width[q] > 1 and n > 4 * k:
+                again[q] = True
+                width[q] = -(-int(width[q]) // bins)
+        going &= again
+        shared.unpersist()
+    return groups, low, width, going
