@@ -2,7 +2,8 @@
 
 Documents are tokenised once.  Global counts of ids give one length-limited code
 (package-merge), sent to all tasks; its size is bound by the vocabulary.  Documents are
-then coded, dealt by ranges of doc_id and written in ascending order.
+then coded, dealt by ranges of (doc_id, a hash of their bits) to one partition each, and
+written in ascending order, so ids that many rows share are dealt too.
 
 File: ``HWID`` magic, the code lengths of all ids, then independent blocks.  A block has
 its documents' ids and numbers of ids, a bit offset for every ``STRIDE`` ids of a
@@ -13,8 +14,10 @@ all stretches between checkpoints of a block at the same time through one table
 Defined cases
 -------------
 * A null or empty text holds the end id only.
-* Repeated doc_ids are documents of their own, ordered by number of ids, then bits.  Null
-  doc_ids come first.
+* Every row is a document of its own: repeated doc_ids, equal rows too, ordered by a hash
+  of their bits, then their bits.  Null doc_ids come first.
+* Very long texts are encoded in stretches and held whole as coded bits, in one block.
+* Only doc_id and text are read, so other columns can't clash.
 * An empty table gives no files and no rows.
 """
 
@@ -186,6 +189,13 @@ def _counts(batches):
     yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
 
+def dealt(ids: np.ndarray, mark: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The part of each id among sorted cuts; an id that is cut several times is dealt by its mark (32 bits)."""
+    lo, hi = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    # between two cuts an id has one part; from the first to the last of equal cuts it has several
+    return np.where(hi - lo > 1, lo + 1 + ((mark * (hi - lo - 1)) >> 32), hi)
+
+
 def _encode(shared):
     """Task: groups of ids to coded documents, each with the file that its id falls to."""
 
@@ -200,16 +210,18 @@ def _encode(shared):
                 data, at, inside = coded(ids, sizes, lengths, codes)
                 first = np.cumsum(sizes) - sizes
                 marks = [inside[f : f + n : STRIDE].astype("<i8").tobytes() for f, n in zip(first.tolist(), sizes.tolist())]
-                part = np.searchsorted(cuts, np.array([NO_ID if d is None else d for d in doc_ids], np.int64), "right")
+                bits = [data[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                mark = np.array([zlib.crc32(x) for x in bits], np.int64)
                 yield pa.record_batch(
                     [
-                        pa.array(part.astype(np.int32)),
+                        pa.array(dealt(np.array([NO_ID if d is None else d for d in doc_ids], np.int64), mark, cuts).astype(np.int32)),
                         pa.array(doc_ids, pa.int64()),
+                        pa.array(mark),
                         pa.array(sizes),
                         pa.array(marks, pa.binary()),
-                        pa.array([data[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()),
+                        pa.array(bits, pa.binary()),
                     ],
-                    names=["part", "doc_id", "n", "marks", "bits"],
+                    names=["part", "doc_id", "mark", "n", "marks", "bits"],
                 )
 
     return run
@@ -262,8 +274,8 @@ def read_blocks(data: bytes):
         yield [None if z else int(i) for i, z in zip(ids, null)], sizes, decoder.decode(body, starts, counts)
 
 
-def _write(shared, folder: str, block_ids: int):
-    """Task: coded documents in order to one file a part; a row for each file."""
+def _write(shared, folder: str, file_ids: int, block_ids: int):
+    """Task: a part's coded documents in order to files of about ``file_ids`` ids; a row for each file."""
 
     def run(batches):
         import pyarrow as pa
@@ -272,23 +284,24 @@ def _write(shared, folder: str, block_ids: int):
         head = header(lengths)
         out: list[bytes] = []
         held: list[tuple] = []
-        state = {"part": None, "ids": 0, "docs": 0, "block": 0}
+        state = {"part": None, "file": 0, "ids": 0, "docs": 0, "block": 0}
 
         def close():
             if held:
                 out.append(block(held))
                 held.clear()
             uri = storage.write_file(folder, f"part-{state['part']:06d}", b"".join(out))
-            row = [[state["part"]], [uri], [state["docs"]], [state["ids"]]]
+            row = [[state["part"]], [state["file"]], [uri], [state["docs"]], [state["ids"]]]
             out.clear()
-            return pa.record_batch([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "file", "docs", "ids"])
+            return pa.record_batch([pa.array(x, k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "place", "file", "docs", "ids"])
 
         for b in batches:
-            for part, doc_id, n, marks, bits in zip(*(c.to_pylist() for c in b.columns)):
-                if part != state["part"]:
+            for part, doc_id, _, n, marks, bits in zip(*(c.to_pylist() for c in b.columns)):
+                if part != state["part"] or state["ids"] >= file_ids:
                     if state["part"] is not None:
                         yield close()
-                    state |= {"part": part, "ids": 0, "docs": 0, "block": 0}
+                    place = state["file"] + 1 if part == state["part"] else 0
+                    state |= {"part": part, "file": place, "ids": 0, "docs": 0, "block": 0}
                     out.append(head)
                 held.append((doc_id, n, marks, bits))
                 state["ids"] += n
@@ -304,32 +317,37 @@ def _write(shared, folder: str, block_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int = 2, max_bits: int = 18, file_ids: int = 32 << 20, block_ids: int = 1 << 19) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, end_id: int = 2, max_bits: int = 18, file_ids: int = 8 << 20, block_ids: int = 1 << 19) -> DataFrame:
     """Write all documents (doc_id, text) to token-id files in the shared folder.
 
-    Returns the manifest in the files' order: part, file, docs, ids.
+    Returns the manifest in the files' order: part, place (in the part), file, docs, ids.
     """
     spark = docs.sparkSession
-    manifest = "part int, file string, docs long, ids long"
+    manifest = "part int, place int, file string, docs long, ids long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = storage.materialise(rows.mapInArrow(_tokenise(path, end_id), "doc_ids array<long>, sizes array<long>, planes binary, counts binary"), "ids-groups", "uncompressed")
-    found = groups.filter("counts IS NOT NULL").select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    if not found:
-        return spark.createDataFrame([], manifest)
-    counts = np.zeros(max(r.id for r in found) + 1, np.int64)
-    for r in found:
-        counts[r.id] = r.n
-    lengths = code_lengths(counts, max_bits)
-    size = int(counts[end_id])
-    parts = max(-(-int(counts.sum()) // file_ids), min(4 * spark.sparkContext.defaultParallelism, -(-size // 1000)))
-    marks = [i / parts for i in range(1, parts)]
-    cuts = rows.select(F.percentile_approx("doc_id", marks, 100 * parts)).first()[0] if marks else []
-    shared = spark.sparkContext.broadcast((lengths, np.array(sorted(set(cuts or [])), np.int64)))
-    folder = storage.fresh_dir(spark, "ids")
-    storage.make_dir(spark, folder)
-    done = groups.filter("planes IS NOT NULL").select("doc_ids", "sizes", "planes").mapInArrow(_encode(shared), "part int, doc_id long, n long, marks binary, bits binary")
-    dealt = done.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "bits")
-    return storage.materialise(dealt.mapInArrow(_write(shared, folder, block_ids), manifest), "ids-manifest")
+    with storage.scope(spark) as made:
+        groups = storage.materialise(rows.mapInArrow(_tokenise(path, end_id), "doc_ids array<long>, sizes array<long>, planes binary, counts binary"), "ids-groups", "uncompressed")
+        # at most one row an id of the vocabulary
+        found = groups.filter("counts IS NOT NULL").select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        if not found:
+            return spark.createDataFrame([], manifest)
+        counts = np.zeros(max(r.id for r in found) + 1, np.int64)
+        for r in found:
+            counts[r.id] = r.n
+        lengths = code_lengths(counts, max_bits)
+        parts = -(-int(counts.sum()) // file_ids)
+        marks = [i / parts for i in range(1, parts)]
+        ids = groups.filter("planes IS NOT NULL").select(F.explode("doc_ids").alias("d")).select(F.coalesce("d", F.lit(NO_ID)).alias("d"))
+        cuts = ids.select(F.percentile_approx("d", marks, 100 * parts)).first()[0] if marks else []
+        # equal cuts mark ids that fill several parts
+        shared = spark.sparkContext.broadcast((lengths, np.array(sorted(cuts), np.int64)))
+        folder = storage.fresh_dir(spark, "ids")
+        storage.make_dir(spark, folder)
+        done = groups.filter("planes IS NOT NULL").select("doc_ids", "sizes", "planes").mapInArrow(_encode(shared), "part int, doc_id long, mark long, n long, marks binary, bits binary")
+        spread = done.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "mark", "bits")
+        out = storage.materialise(spread.mapInArrow(_write(shared, folder, file_ids, block_ids), manifest), "ids-manifest")
+        made.keep(folder, out)
+    return out
 
 
 def _read(batches):
@@ -350,6 +368,6 @@ def _read(batches):
 def read_digests(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
     spark = manifest.sparkSession
-    base = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    base = F.coalesce(F.sum("ids").over(Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     placed = manifest.select("file", base.alias("base")).repartition(max(1, min(manifest.count(), 64 * spark.sparkContext.defaultParallelism)))
     return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -100,7 +100,7 @@ def test_code_lengths():
 def test_token_files(spark):
     plain = model(WORD)
     got = idfile.read_digests(idfile.write_ids(docs(spark, ODD), tokenizer_file(WORD), block_ids=1000)).collect()
-    want = sorted(((-1 if i is None else i, plain.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in ODD), key=lambda r: r[0])
+    want = sorted(((-1 if i is None else i, plain.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in ODD), key=lambda r: r[0])  # equal ids have equal texts here
     start = 0
     for r, (i, ids) in zip(sorted(got, key=lambda r: r.start), want):
         assert (-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens) == (i, start, len(ids))
@@ -110,6 +110,26 @@ def test_token_files(spark):
     assert idfile.read_digests(idfile.write_ids(docs(spark, []), tokenizer_file(WORD))).count() == 0
 
 
+def test_dealing_of_ids():
+    cuts, mark = np.array([5, 9, 9, 9, 20]), np.arange(0, 1 << 32, 1 << 28)
+    parts = [idfile.dealt(np.full(16, i), mark, cuts) for i in (-3, 5, 7, 9, 10, 20, 30)]
+    assert [sorted(set(p.tolist())) for p in parts] == [[0], [1], [1], [2, 3], [4], [5], [5]]
+    assert all((np.diff(p) >= 0).all() for p in parts)  # marks in order, parts in order
+
+
+def test_token_files_of_one_hot_id(spark):
+    rows = [(None if i % 3 else 7, f"w{i} " * (i % 5)) for i in range(300)] + [(i, "x y") for i in range(20)]
+    manifest = idfile.write_ids(docs(spark, rows), tokenizer_file(WORD), file_ids=150, block_ids=40)
+    assert manifest.count() > 8 and max(r.ids for r in manifest.collect()) < 400
+    got = sorted(idfile.read_digests(manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(-1 if i is None else i for i, _ in rows)
+    plain = model(WORD)
+    crc = lambda t: zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((i, r.ids_crc32) for i, r in zip(ids, got)) == sorted((-1 if i is None else i, crc(t)) for i, t in rows)
+
+
 def brute_lines(rows, span=3):
     seen, out = set(), []
     for i, t in rows:
