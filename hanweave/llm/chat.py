@@ -1,10 +1,12 @@
 """Reply trees to formatted conversations, in DataFrame operations only.
 
 Messages form trees through ``parent_id``.  Iterative self-joins double a table of
-ancestor pointers: after round r each message knows its ancestor 2^r steps up, so the
-root-to-leaf paths of trees of depth d take about log2(d) rounds, each written to the
-shared folder so that plans don't grow.  Branches (leaves) are ranked by the sum of
-scores on their path, ties by leaf id, and each chosen path becomes one conversation.
+ancestor pointers: after round r each message knows its ancestor 2^r steps up and the sum
+of scores on the way, so trees of depth d take about log2(d) rounds, each written to the
+shared folder so that plans don't grow.  Leaves climb to their root over these tables,
+longest jumps first, a row a leaf; that gives the score of each branch.  Branches are
+ranked by it, ties by leaf id, and only the chosen ones are spread into the messages of
+their path, again over the tables; each becomes one conversation.
 
 Template, one turn after another::
 
@@ -23,7 +25,11 @@ Defined cases
 * A message whose parent is null, itself or absent is a root; messages on a cycle
   have no root and give no path.
 * Rows with a null tree or message id take no part.  Of repeated message ids in one
-  tree the row with the smallest (parent, role, text) counts.
+  tree, equal rows too, the row with the smallest (parent, role, text) counts.  Turns of a
+  conversation all count, repeated ones too (``chains``).
+* Very long texts are values of one row; a path is put together in one task, since it is
+  one conversation, and no larger group is.
+* Only the named columns are read, so other columns can't clash.
 * An empty table gives no rows.
 """
 
@@ -33,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hanweave.llm.storage import materialise
+from hanweave.llm.storage import materialise, scope
 
 TEXT_CONTROL = r"(\\|###|</turn>)"
 ROLE_CONTROL = r"(\\|###|</turn>|:)"
@@ -61,45 +67,58 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None) -> DataFra
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     ]
-    rows = messages.select(columns).filter("tree_id IS NOT NULL AND msg_id IS NOT NULL")
-    one = rows.groupBy("tree_id", "msg_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("m"))
-    nodes = materialise(one.select("tree_id", "msg_id", "m.*"), "chat-nodes")
-    ids = nodes.select("tree_id", F.col("msg_id").alias("parent_id"))
-    # a parent that is null, the message itself or absent makes a root
-    inner = nodes.filter(F.col("parent_id") != F.col("msg_id")).join(ids, ["tree_id", "parent_id"], "left_semi")
-    links = materialise(inner.select("tree_id", "msg_id", F.col("parent_id").alias("up")), "chat-links")
-    leaves = nodes.join(links.select("tree_id", F.col("up").alias("msg_id")), ["tree_id", "msg_id"], "left_anti").select("tree_id", F.col("msg_id").alias("leaf_id"))
-    # pairs of (leaf, ancestor, distance): each round adds those 2^r .. 2^(r+1)-1 steps up
-    reached = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("msg_id"), F.lit(0).cast("long").alias("up_by"))
-    jump, step, left = links, 1, links.count()
-    parts = [materialise(reached, "chat-reached")]
-    while left:
-        known = parts[0]
-        for part in parts[1:]:
-            known = known.unionByName(part)
-        higher = known.join(jump, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", F.col("up").alias("msg_id"), (F.col("up_by") + step).alias("up_by"))
-        parts.append(materialise(higher, "chat-reached"))
-        twice = jump.select("tree_id", F.col("msg_id").alias("low"), F.col("up").alias("msg_id")).join(jump, ["tree_id", "msg_id"])
-        jump = materialise(twice.select("tree_id", F.col("low").alias("msg_id"), "up"), "chat-jump")
-        step, before, left = 2 * step, left, jump.count()
-        if left == before:
-            break  # pointers in trees get fewer each round: all that are left lead to cycles
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    if left:
-        every = every.join(jump.select("tree_id", F.col("msg_id").alias("leaf_id")), ["tree_id", "leaf_id"], "left_anti")
-    if max_branches is not None:
-        scored = every.join(nodes.select("tree_id", "msg_id", "score"), ["tree_id", "msg_id"]).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("path_score"))
-        order = Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id")
-        chosen = scored.withColumn("branch_rank", F.row_number().over(order)).filter(F.col("branch_rank") <= max_branches)
-        every = every.join(chosen.select("tree_id", "leaf_id"), ["tree_id", "leaf_id"], "left_semi")
-    whole = every.join(nodes, ["tree_id", "msg_id"])
+    spark = messages.sparkSession
+    with scope(spark) as made:
+        rows = messages.select(columns).filter("tree_id IS NOT NULL AND msg_id IS NOT NULL")
+        one = rows.groupBy("tree_id", "msg_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("m"))
+        nodes = materialise(one.select("tree_id", "msg_id", "m.*"), "chat-nodes")
+        ids = nodes.select("tree_id", F.col("msg_id").alias("parent_id"))
+        # a parent that is null, the message itself or absent makes a root
+        inner = nodes.filter(F.col("parent_id") != F.col("msg_id")).join(ids, ["tree_id", "parent_id"], "left_semi")
+        links = materialise(inner.select("tree_id", "msg_id", F.col("parent_id").alias("up"), F.col("score").alias("sum")), "chat-links")
+        leaves = nodes.join(links.select("tree_id", F.col("up").alias("msg_id")), ["tree_id", "msg_id"], "left_anti").select("tree_id", F.col("msg_id").alias("leaf_id"))
+        # jumps[r]: the ancestor 2^r steps up, and the scores from the message up to below that ancestor
+        jumps, left = [links], links.count()
+        while left:
+            now = jumps[-1]
+            low = now.select("tree_id", F.col("msg_id").alias("low"), F.col("up").alias("msg_id"), F.col("sum").alias("below"))
+            twice = low.join(now, ["tree_id", "msg_id"]).select("tree_id", F.col("low").alias("msg_id"), "up", (F.col("below") + F.col("sum")).alias("sum"))
+            twice = materialise(twice, "chat-jump")
+            before, left = left, twice.count()
+            if left == before:
+                # pointers in trees get fewer each round: all that are left lead to cycles
+                leaves = leaves.join(twice.select("tree_id", F.col("msg_id").alias("leaf_id")), ["tree_id", "leaf_id"], "left_anti")
+                break
+            jumps.append(twice)
+        leaves = materialise(leaves, "chat-leaves")
+        if max_branches is not None:
+            leaves = materialise(_best_leaves(leaves, jumps, nodes, max_branches), "chat-chosen")
+        # messages of the chosen paths: each round adds those 2^r .. 2^(r+1)-1 steps up
+        known = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("msg_id"), F.lit(0).cast("long").alias("up_by"))
+        parts = [known]
+        for r, jump in enumerate(jumps):
+            higher = known.join(jump, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", F.col("up").alias("msg_id"), (F.col("up_by") + (1 << r)).alias("up_by"))
+            parts.append(materialise(higher, "chat-reached"))
+            known = known.unionByName(parts[-1])
+        whole = materialise(known.join(nodes, ["tree_id", "msg_id"]), "chat-whole")
+        made.keep(whole)
     path = Window.partitionBy("tree_id", "leaf_id")
     out = whole.withColumn("path_score", F.sum("score").over(path)).withColumn("ord", F.max("up_by").over(path) - F.col("up_by"))
     return out.select("tree_id", "leaf_id", "path_score", "ord", "msg_id", "role", "text")
 
 
+def _best_leaves(leaves: DataFrame, jumps: list[DataFrame], nodes: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best leaves of each tree (tree_id, leaf_id) by the sum of scores up to their root."""
+    at = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("msg_id"), F.lit(0.0).alias("path_score"))
+    for jump in reversed(jumps):
+        moved = at.join(jump, ["tree_id", "msg_id"], "left")
+        at = moved.select("tree_id", "leaf_id", F.coalesce("up", "msg_id").alias("msg_id"), (F.col("path_score") + F.coalesce("sum", F.lit(0.0))).alias("path_score"))
+    scored = at.join(nodes.select("tree_id", "msg_id", "score"), ["tree_id", "msg_id"]).withColumn("path_score", F.col("path_score") + F.col("score"))
+    # a window with a limit on its rank: tasks keep n rows a tree before the shuffle
+    order = Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id")
+    return scored.withColumn("branch_rank", F.row_number().over(order)).filter(F.col("branch_rank") <= n).select("tree_id", "leaf_id")
+
+
 def format_paths(paths: DataFrame, learned: str = "assistant") -> DataFrame:
     """One row a path: tree_id, leaf_id, branch_rank, path_score, formatted, loss_spans."""
     head = F.concat(F.lit("### "), escaped(F.col("role"), ROLE_CONTROL), F.lit(":\n"))

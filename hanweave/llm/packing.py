@@ -6,12 +6,15 @@ to partitions of bounded size and packed by best-fit decreasing.  Lower bounds f
 feasible functions certify the number of sequences, of a partition and of all together.
 Where a partition has a gap to its bound, or the total to its own, the pieces in the
 sequences that are not full are pooled across partitions, dealt anew, and packed again,
-as long as that saves sequences.
+until the bound is met or a round saves no sequence.
 
 Defined cases
 -------------
 * A null or empty text has no ids but the end id, and so is a piece of length 1.
 * Every row is a document of its own, repeated ids too.  A null doc_id stays null.
+* Ties of length keep the order of (doc_id, piece, start), ties of room go to any sequence.
+* Very long texts are encoded in stretches and cut into as many pieces as they need.
+* Only doc_id and text are read, so other columns can't clash.
 * An empty table packs into nothing.  Lengths lie between 1 and the capacity.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanweave.llm import tokenise
-from hanweave.llm.storage import materialise
+from hanweave.llm.storage import materialise, scope
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -137,7 +140,7 @@ def _pack(capacity: int, round_: int):
         held = held.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]).combine_chunks()
         lengths = held["length"].to_numpy()
         which, place, fill = best_fit(lengths, capacity)
-        base = (round_ << 56) + (TaskContext.get().partitionId() << 24)
+        base = (round_ << 48) + (TaskContext.get().partitionId() << 24)
         n, bound = len(fill), lower_bound(lengths, capacity)
         out = [held[c].combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
         out = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in out]
@@ -150,43 +153,37 @@ def _pack(capacity: int, round_: int):
 PACKED = PIECES + ", sequence_id long, offset long, fill long, bins long, bound long"
 
 
-def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = 65536, rounds: int = 6) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = 65536) -> DataFrame:
     """Place pieces: their columns, sequence_id, offset, and the certificate columns.
 
     fill is the sequence's length, bins and bound the number of sequences of the
     partition that packed it and the lower bound on that number.
     """
     columns = [x.split()[0] for x in PIECES.split(", ")]
-    pool = materialise(rows.select(*columns), "pack-pieces")
-    settled: list[DataFrame] = []
-    before = None
-    # at most one row a length: the histogram's size is bound by the capacity
-    count = np.zeros(capacity + 1, np.int64)
-    for row in pool.groupBy("length").count().collect():
-        count[row.length] = row["count"]
-    least, total = bound_of(count, capacity), 0
-    for r in range(rounds):
-        n = pool.count()
-        if not n:
-            break
-        parts = -(-n // partition_pieces)
-        packed = materialise(pool.select(*columns).repartition(parts).mapInArrow(_pack(capacity, r), PACKED), "pack-packed")
-        used = packed.filter("offset = 0").count()
-        if before is not None and used >= before:
-            settled.append(pool)  # as the last round had placed them
-            pool = None
-            break
-        total += used - (before or 0)
-        open_ = (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | F.lit(total > least))
-        settled.append(packed.filter(~open_))
-        pool = packed.filter(open_)
-        before = pool.filter("offset = 0").count()
-    if pool is not None and settled:
-        settled.append(pool)
-    if not settled:
-        return rows.sparkSession.createDataFrame([], PACKED)
+    with scope(rows.sparkSession) as made:
+        pool = materialise(rows.select(*columns), "pack-pieces")
+        # at most one row a length: the histogram's size is bound by the capacity
+        count = np.zeros(capacity + 1, np.int64)
+        for row in pool.groupBy("length").count().collect():
+            count[row.length] = row["count"]
+        least, n, total, before, round_ = bound_of(count, capacity), int(count.sum()), 0, None, 0
+        settled: list[DataFrame] = []
+        while n:
+            parts = -(-n // partition_pieces)
+            packed = materialise(pool.select(*columns).repartition(parts).mapInArrow(_pack(capacity, round_), PACKED), "pack-packed")
+            used = packed.filter("offset = 0").count()
+            if before is not None and used >= before:
+                break  # a round that saves nothing: the pool stays as the round before had placed it
+            made.keep(packed)
+            total += used - (before or 0)
+            open_ = (F.col("fill") < capacity) & ((F.col("bins") > F.col("bound")) | F.lit(total > least))
+            settled.append(packed.filter(~open_))
+            pool = packed.filter(open_)
+            n, before, round_ = pool.count(), pool.filter("offset = 0").count(), round_ + 1
+        if not settled:
+            return rows.sparkSession.createDataFrame([], PACKED)
     out = settled[0]
-    for more in settled[1:]:
+    for more in [*settled[1:], pool]:
         out = out.unionByName(more)
     return out
 

@@ -8,13 +8,18 @@ with it, so any record can be read by itself.  A task gathers up to
 Payloads of at least ``min_revisit`` bytes that are equal are stored once: the record
 with the smallest id is a response, the others are revisits that name it.  Equal
 payloads are found by digest with a grouped minimum, so a payload shared by very many
-rows costs each task one row; only digests that occur twice or more are joined back.
+rows costs each task one row; only digests that occur twice or more are joined back, by a
+merge join at every size: whole payloads are shuffled once, and a broadcast that only
+small inputs get doesn't hide it.  Spark's skew join splits a hot digest's rows.
 
 Defined cases
 -------------
 * A null payload is empty.  A null URL is written as an empty header value.
 * Rows with the smallest id of an equal group are responses, repeated ids too.  Rows
   whose id is null are revisits where some row with an id has the payload.
+* Very long payloads: a record is held whole by the task that writes or reads it; archives
+  end with the record that reaches ``archive_bytes``.  An empty payload is a response.
+* Only page_id, url and html are read, so other columns can't clash.
 * An empty table gives no archives and no rows.
 """
 
@@ -202,15 +207,18 @@ def write_archives(pages: DataFrame, min_revisit: int = 100, archive_bytes: int
     Returns the manifest, a row for each archive: archive, bytes, records.
     """
     spark = pages.sparkSession
-    folder = storage.fresh_dir(spark, "warc")
-    storage.make_dir(spark, folder)
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    shared = rows.filter(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = storage.materialise(shared.filter("n > 1 AND first IS NOT NULL").select("digest", "first"), "warc-firsts")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None).cast("long")).otherwise(F.col("first"))
-    whole = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    return storage.materialise(whole.mapInArrow(_write(folder, archive_bytes), "archive string, bytes long, records long"), "warc-manifest")
+    with storage.scope(spark) as made:
+        folder = storage.fresh_dir(spark, "warc")
+        storage.make_dir(spark, folder)
+        payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+        rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+        shared = rows.filter(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+        firsts = storage.materialise(shared.filter("n > 1 AND first IS NOT NULL").select("digest", "first"), "warc-firsts")
+        refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None).cast("long")).otherwise(F.col("first"))
+        whole = rows.join(firsts.hint("merge"), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+        out = storage.materialise(whole.mapInArrow(_write(folder, archive_bytes), "archive string, bytes long, records long"), "warc-manifest")
+        made.keep(folder, out)
+    return out
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
