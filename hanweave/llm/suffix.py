@@ -29,7 +29,7 @@ Defined cases
 * A null or empty text has no bytes.  Texts shorter than ``span`` lose nothing.
 * Null doc_ids come before all others.  Of rows that share a doc_id, the one that comes
   first in the chunk table counts as earlier; so of equal rows one stays whole.
-* Very long texts make a chunk of their own, which is worked on in segments of 1 MB.
+* Very long texts make a chunk of their own, which is worked on in segments of 256 KB.
 * Only doc_id and text of the input are read, so other columns can't clash.
 * Every row gives a row; an empty table gives none.
 """
@@ -52,7 +52,7 @@ WANTED = ("key", "di", "start", "end", "anchor", "lo", "hi", "n")
 SPANS = "chunk long, di int, start long, end long"
 _M = (ragged.M1, ragged.M2)
 _INVERSE = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in _M)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def _chunk(chunk_bytes: int):
@@ -442,7 +442,7 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, group: np.ndarray, ra
     return out
 
 
-def _factors(span: int, windows: int = 100_000):
+def _factors(span: int, windows: int = 50_000):
     """Task: rows ordered by key to the stretches of windows with an earlier match."""
 
     def solve(rows: list[tuple]):
