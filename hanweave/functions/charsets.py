@@ -6,10 +6,8 @@ Characters that a charset can't hold become ``?``, malformed bytes U+FFFD.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Names as users give them to names the JVM has.
 ALIASES = {
@@ -28,8 +26,11 @@ ALIASES = {
     "iso-8859-1": "ISO-8859-1",
     "latin1": "ISO-8859-1",
 }
-#: The one charset that the JVM lacks.
+#: The one charset that the JVM lacks: GB2312 in seven bits, between ``~{`` and ``~}``.
 HZ = "hz-gb-2312"
+#: Bytes of GB2312 as Latin-1 signs, and the same without their highest bit.
+_HIGH = "".join(map(chr, range(0xA1, 0xFF)))
+_SEVEN = "".join(map(chr, range(0x21, 0x7F)))
 
 
 def canonical(name: str) -> str:
@@ -41,14 +42,24 @@ def canonical(name: str) -> str:
     return ALIASES[low]
 
 
-@F.pandas_udf(T.BinaryType())
-def _hz_encode(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else s.encode("hz", "replace"))
+def _hz_encode(text: Column) -> Column:
+    data = F.decode(F.encode(F.replace(text, F.lit("~"), F.lit("~~")), "GB2312"), "ISO-8859-1")
+    return F.encode(F.translate(F.regexp_replace(data, "([¡-þ]+)", "~{$1~}"), _HIGH, _SEVEN), "ISO-8859-1")
 
 
-@F.pandas_udf(T.StringType())
-def _hz_decode(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else bytes(b).decode("hz", "replace"))
+def _hz_decode(data: Column) -> Column:
+    """A stretch ends with ``~}`` or the text; ``~~`` is a tilde, ``~`` before a line feed nothing, and all else malformed."""
+
+    def one(t: Column) -> Column:
+        inner = F.regexp_replace(t, r"^~\{|~\}\z", "")
+        pairs = F.decode(F.encode(F.translate(inner, _SEVEN, _HIGH), "ISO-8859-1"), "GB2312")
+        plain = F.regexp_replace(t, "[\x80-ÿ]", "\ufffd")
+        return F.when(F.startswith(t, F.lit("~{")), pairs).when(t == "~~", "~").when(t == "~\n", "").when(t == "~", "\ufffd").otherwise(plain)
+
+    signs = F.decode(data, "ISO-8859-1")
+    tokens = F.regexp_extract_all(signs, F.lit(r"(?s)(~\{(?:[!-}][!-~]|(?!~\}).)*+(?:~\}|\z)|~~|~\n|[^~]+|~)"), F.lit(1))
+    plain = F.regexp_replace(signs, "[\x80-ÿ]", "\ufffd")
+    return F.when(F.contains(signs, F.lit("~")), F.array_join(F.transform(tokens, one), "")).otherwise(plain)
 
 
 def encode(text: Column, charset: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hanweave.functions import charsets, tables
-from hanweave.operators.dictionary import Compiled, replace_words, token_pattern
+from hanweave.operators.dictionary import Compiled, marked_replaced, quoted, replace_words, token_pattern
 
 NONE, TO_TRADITIONAL, TO_SIMPLIFIED = 0, 1, 2
 
@@ -22,12 +22,24 @@ def blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"[^\s\u0085   -     　]")
 
 
+#: Noncharacters that stand for reserved words while characters are mapped.
+_HELD = [chr(0x10FFFE - 0x10000 * i + j) for i in range(16) for j in range(2)] + [chr(c) for c in range(0xFDD3, 0xFDF0)]
+
+
 def _mapped(text: Column, pairs: tuple[str, str], reserved: Sequence[str]) -> Column:
+    """Characters by table; reserved words, found in one pass, are held as one sign each meanwhile."""
     if not reserved:
         return F.translate(text, *pairs)
     tokens = F.regexp_extract_all(text, F.lit(token_pattern(reserved)), F.lit(1))
     kept = F.array(*[F.lit(w) for w in reserved])
-    return F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(kept, t), t).otherwise(F.translate(t, *pairs))), "")
+    by_token = F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(kept, t), t).otherwise(F.translate(t, *pairs))), "")
+    if len(reserved) > len(_HELD):
+        return by_token
+    signs = _HELD[: len(reserved)]
+    held = F.translate(marked_replaced(text, list(zip(reserved, signs))), *pairs)
+    for word, sign in zip(reserved, signs):
+        held = F.replace(held, F.lit(sign), F.lit(word))
+    return F.when(text.rlike("[" + "".join(signs) + "]"), by_token).otherwise(held)
 
 
 def to_traditional(text: Column, reserved: Sequence[str] = ()) -> Column:
@@ -78,3 +90,23 @@ def full_width(text: Column) -> Column:
 
 def half_width(text: Column) -> Column:
     return F.translate(text, tables.FULL, tables.HALF)
+
+
+def replaced_in_order(text: Column, before: Sequence[tuple[str, str]], after: Sequence[tuple[str, str]], protect: Sequence[str], inner) -> Column:
+    """``inner`` between two lists of replacements, with protected words left as they are by all three.
+
+    Each list is one pass in its own order.  Protected words stand apart: what is between
+    them is converted by itself.
+    """
+
+    def whole(t: Column) -> Column:
+        out = marked_replaced(t, list(before)) if before else t
+        out = inner(out)
+        return marked_replaced(out, list(after)) if after else out
+
+    if not protect:
+        return whole(text)
+    words = sorted(protect, key=lambda w: -len(w))
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s)({'|'.join(map(quoted, words))}|(?:(?!{'|'.join(map(quoted, words))}).)+)"), F.lit(1))
+    kept = F.array(*[F.lit(w) for w in words])
+    return F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(kept, t), t).otherwise(whole(t))), "")

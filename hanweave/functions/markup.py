@@ -30,25 +30,36 @@ def hex_references(text: Column) -> Column:
     return _references(text, lambda code: F.concat(F.lit("&#x"), F.hex(code), F.lit(";")))
 
 
-def decoded_references(text: Column) -> Column:
-    """The inverse of both; what is no reference stays."""
+#: Stands for an ampersand while other references are decoded; a noncharacter, which no text should hold.
+_HELD = "\ufdd0"
 
-    def char(hexa: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
 
+def _numbers_decoded(text: Column) -> Column:
     def one(t: Column) -> Column:
-        number = F.substring(t, 3, 100)
-        digits = F.regexp_extract(t, "^&#([0-9]{1,7});$", 1)
-        hexa = F.regexp_extract(t, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
-        valid = lambda h: F.conv(h, 16, 10).cast("long") <= 0x10FFFF
-        asked = F.when(digits != "", F.conv(digits, 10, 16)).when(hexa != "", hexa)
-        named = F.when(t == "&amp;", "&").when(t == "&lt;", "<").when(t == "&gt;", ">").when(t == "&quot;", '"')
-        return named.when(~F.startswith(t, F.lit("&#")), t).when(asked.isNull() | F.isnull(number), t).when(valid(asked), char(asked)).otherwise(t)
-
-    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot);|[^&]+|&)"), F.lit(1))
+        body = F.substr(t, F.lit(3), F.length(t) - 3)
+        hexa = F.when(F.lower(F.substring(body, 1, 1)) == "x", F.substr(body, F.lit(2))).otherwise(F.conv(body, 10, 16))
+        valid = F.conv(hexa, 16, 10).cast("long") <= 0x10FFFF
+        return F.when(~F.startswith(t, F.lit("&#")), t).when(valid, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")).otherwise(t)
+
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});|[^&]+|&)"), F.lit(1))
     return F.array_join(F.transform(tokens, one), "")
 
 
+def decoded_references(text: Column) -> Column:
+    """The inverse of both; what is no reference stays, and nothing is decoded twice."""
+
+    def whole(t: Column) -> Column:
+        # named ones first, so that numbers can't make them
+        named = t
+        for name, sign in (("&amp;", _HELD), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+            named = F.replace(named, F.lit(name), F.lit(sign))
+        numbers = F.when(F.contains(named, F.lit("&#")), _numbers_decoded(named)).otherwise(named)
+        return F.replace(numbers, F.lit(_HELD), F.lit("&"))
+
+    apart = F.array_join(F.transform(F.split(text, _HELD, -1), whole), _HELD)
+    return F.when(F.contains(text, F.lit(_HELD)), apart).otherwise(whole(text))
+
+
 #: Where charset labels stand in pages: expression, then replacement.  Fixed values.
 LABELS = {
     "html5": (r'(?i)<meta(\s+.*?)charset="(.*?)"(.*?)>', '<meta$1charset="{}"$3>'),
@@ -63,6 +74,11 @@ def labelled(text: Column, kind: str, name: str) -> Column:
     return F.regexp_replace(text, pattern, replacement.format(name))
 
 
+def has_label_rule(ext: Column, labels: Column) -> Column:
+    """Whether an extension is in a settings document's list of labelled ones (with dots, lower case)."""
+    return F.array_contains(labels, F.concat(F.lit("."), ext))
+
+
 def extension(name: Column) -> Column:
     """The lower-case extension of a path or URL, without the dot; empty if it has none."""
     return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)(?:[?#][^/]*)?$", 1))

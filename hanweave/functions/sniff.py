@@ -1,7 +1,9 @@
 """Which legacy charset a text was written in, from byte statistics.
 
-The bytes are split by a regular expression over their hex digits: a lead byte takes the
-next byte with it, valid or not; a lead byte at the end and other high bytes don't count.
+Bytes are read as Latin-1, a sign a byte, and split by regular expressions: a lead byte
+takes the next byte with it, valid or not; a lead byte at the end and other high bytes
+don't count.  One pass keeps the pairs alone, so text that is mostly ASCII costs little
+more than that pass.
 """
 
 from __future__ import annotations
@@ -11,20 +13,18 @@ from pyspark.sql import functions as F
 
 from hanweave.functions import charsets
 
-BIG5_TOKENS = "((?:[89A-E][0-9A-F]|F[0-9A-E])[0-9A-F]{2}|[0-7][0-9A-F]|[0-9A-F]{2})"
-GBK_TOKENS = "((?:A[1-9A-F]|[B-E][0-9A-F]|F[0-7])[0-9A-F]{2}|[0-7][0-9A-F]|[0-9A-F]{2})"
-
-_X = "[0-9A-F]"
-_LOW = f"[4-6]{_X}|7[0-9A-E]"
-_BIG5_TRAIL = f"(?:{_LOW}|A[1-9A-F]|[B-E]{_X}|F[0-9A-E])"
-_GBK_TRAIL = f"(?:A[1-9A-F]|[B-E]{_X}|F[0-9A-E])"
-#: Areas of two-byte characters as expressions on four hex digits: signs, common, rare.
+#: Lead bytes.
+BIG5_LEAD = "\x80-\xfe"
+GBK_LEAD = "\xa1-\xf7"
+_BIG5_TRAIL = "[@-~\xa1-\xfe]"
+_GBK_TRAIL = "[\xa1-\xfe]"
+#: Areas of two-byte characters: signs, common, rare.
 BIG5_AREAS = (
-    f"(?:A[12]{_BIG5_TRAIL}|A3(?:{_LOW}|A[1-9A-F]|B{_X}))",
-    f"(?:(?:A[4-9A-F]|B{_X}|C[0-5]){_BIG5_TRAIL}|C6(?:{_LOW}))",
-    f"(?:(?:C[9A-F]|[DE]{_X}|F[0-8]){_BIG5_TRAIL}|F9(?:{_LOW}|A[1-9A-F]|[BC]{_X}|D[0-5]))",
+    f"[\xa1\xa2]{_BIG5_TRAIL}|\xa3[@-~\xa1-\xbf]",
+    f"[\xa4-\xc5]{_BIG5_TRAIL}|\xc6[@-~]",
+    f"[\xc9-\xf8]{_BIG5_TRAIL}|\xf9[@-~\xa1-\xd5]",
 )
-GBK_AREAS = (f"A[1-9]{_GBK_TRAIL}", f"(?:[BC]{_X}|D[0-7]){_GBK_TRAIL}", f"(?:D[89A-F]|E{_X}|F[0-7]){_GBK_TRAIL}")
+GBK_AREAS = (f"[\xa1-\xa9]{_GBK_TRAIL}", f"[\xb0-\xd7]{_GBK_TRAIL}", f"[\xd8-\xf7]{_GBK_TRAIL}")
 
 
 def bind(value: Column, body) -> Column:
@@ -32,17 +32,18 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _report(data: Column, tokens: str, areas: tuple[str, str, str]) -> Column:
-    """Counts over the tokens set apart by blanks, and the share that speaks against the charset."""
+def _report(data: Column, lead: str, areas: tuple[str, str, str]) -> Column:
+    """Counts of signs and pairs by area, and the share that speaks against the charset."""
+
+    def kept(signs: Column) -> Column:
+        pairs = F.regexp_replace(signs, f"(?s)([{lead}].)|[^{lead}]+|[{lead}]", "$1")
+        plain = F.regexp_replace(signs, f"(?s)[{lead}].|[\x80-\xff]", "")
+        return F.struct(pairs.alias("pairs"), F.length(plain).alias("ascii"))
 
-    def counted(t: Column) -> Column:
-        count = lambda pattern: F.regexp_count(t, F.lit(f" {pattern}(?= )"))
-        found = [count(a) for a in areas]
-        return F.struct(
-            count(f"[0-7]{_X}").alias("ascii"),
-            *[c.alias(n) for c, n in zip(found, ("symbol", "common", "rare"))],
-            count(_X + "{4}").alias("pairs"),
-        )
+    def counted(r: Column) -> Column:
+        count = lambda area: (F.length(F.regexp_replace(r["pairs"], f"(?s)({area})|..", "$1")) / 2).cast("int")
+        found = [F.when(r["pairs"] == "", 0).otherwise(count(a)) for a in areas]
+        return F.struct(r["ascii"].alias("ascii"), *[c.alias(n) for c, n in zip(found, ("symbol", "common", "rare"))], (F.length(r["pairs"]) / 2).cast("int").alias("pairs"))
 
     def scored(r: Column) -> Column:
         unknown = r["pairs"] - r["symbol"] - r["common"] - r["rare"]
@@ -50,17 +51,16 @@ def _report(data: Column, tokens: str, areas: tuple[str, str, str]) -> Column:
         bad = F.when(total == 0, F.lit(0.0)).otherwise((r["rare"] + 3 * unknown) / total).cast("float")
         return F.struct(*[r[n].alias(n) for n in ("ascii", "symbol", "common", "rare")], unknown.alias("unknown"), bad.alias("bad_smell"))
 
-    apart = F.concat(F.lit(" "), F.regexp_replace(F.hex(data), tokens, "$1 "))
-    return bind(bind(apart, counted), scored)
+    return bind(bind(bind(F.decode(data, "ISO-8859-1"), kept), counted), scored)
 
 
 def big5_report(data: Column) -> Column:
     """Counts of ASCII, signs, common, rare and unknown characters by Big5's areas."""
-    return _report(data, BIG5_TOKENS, BIG5_AREAS)
+    return _report(data, BIG5_LEAD, BIG5_AREAS)
 
 
 def gbk_report(data: Column) -> Column:
-    return _report(data, GBK_TOKENS, GBK_AREAS)
+    return _report(data, GBK_LEAD, GBK_AREAS)
 
 
 def best(scores: Column) -> Column:
@@ -81,3 +81,22 @@ def sniffed(text: Column) -> Column:
         return best(F.array(*[r["bad_smell"] for r in reports]))
 
     return bind(both, scored)
+
+
+def sniffed_bytes(data: Column) -> Column:
+    """The same for bytes: 0 if Big5's rules fit no worse than GBK's, 2 if GBK's fit better, -1: can't tell."""
+    found = best(F.array(big5_report(data)["bad_smell"], gbk_report(data)["bad_smell"]))
+    return bind(found, lambda x: F.when(x == 1, F.lit(2)).otherwise(x))
+
+
+def decoded_by_sniffing(data: Column, default: str = "big5") -> Column:
+    """Bytes as text in the charset that their statistics speak for; ``default`` where they can't tell."""
+    kind = sniffed_bytes(data)
+    big5, gbk, other = (charsets.decode(data, c) for c in ("big5", "gbk", default))
+    return F.when(kind == 0, big5).when(kind == 2, gbk).otherwise(other)
+
+
+def unless_already(text: Column, target: str, converted: Column) -> Column:
+    """``converted``, but the text itself where it seems to be in the target charset (big5 or gbk) already."""
+    there = (0, 1) if charsets.canonical(target) == charsets.canonical("big5") else (2, 3)
+    return F.when(sniffed(text).isin(*there), text).otherwise(converted)

@@ -10,15 +10,18 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hanweave.operators.ranks import ranked_by
+
 SCHEMA = "ln long, enable boolean, type string, simplified string, simplified_priority int, traditional string, traditional_priority int"
 RESERVED_PRIORITY = 9999
-#: Above this many words an alternation costs too much at each position; a lookup by first character takes over.
-ALTERNATION_LIMIT = 500
+#: Most words that a plan holds as literals; larger vocabularies are joined (``replace_by_table``).
+MOST_LITERALS = 2000
+#: Noncharacters that mark words while they are replaced.
+_OPEN, _CLOSE = "\ufdd1", "\ufdd2"
 
 
 @dataclass(frozen=True)
@@ -39,70 +42,107 @@ def first_rows(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 
+def _enabled_words(rows: DataFrame, to_traditional: bool) -> DataFrame:
+    key, value = ("simplified", "traditional") if to_traditional else ("traditional", "simplified")
+    kept = first_rows(rows, key).filter("enable").withColumn("length", utf16_length(F.col(key)))
+    same = (F.col("simplified_priority") == RESERVED_PRIORITY) & (F.col("traditional_priority") == RESERVED_PRIORITY) & (F.col("simplified") == F.col("traditional"))
+    return kept.select(F.col(key).alias("word"), F.col(value).alias("replacement"), F.col(f"{key}_priority").alias("priority"), "length", "ln", same.alias("reserved"))
+
+
 def compiled_table(rows: DataFrame, to_traditional: bool = True) -> DataFrame:
     """Enabled words of one direction: word, replacement, priority, ln, rank, reserved.
 
     Rank is the match order: priority, then length, both falling, then file order.
     """
-    key, value = ("simplified", "traditional") if to_traditional else ("traditional", "simplified")
-    kept = first_rows(rows, key).filter("enable").withColumn("length", utf16_length(F.col(key)))
-    same = (F.col("simplified_priority") == RESERVED_PRIORITY) & (F.col("traditional_priority") == RESERVED_PRIORITY) & (F.col("simplified") == F.col("traditional"))
-    out = kept.select(F.col(key).alias("word"), F.col(value).alias("replacement"), F.col(f"{key}_priority").alias("priority"), "length", "ln", same.alias("reserved"))
-    # a vocabulary is edited by hand: its one sorted partition stays small
-    rank = F.row_number().over(Window.orderBy(F.desc("priority"), F.desc("length"), F.asc("ln")))
-    return out.withColumn("rank", rank)
+    return ranked_by(_enabled_words(rows, to_traditional), F.struct(-F.col("priority"), -F.col("length"), F.col("ln")))
+
 
+def compile_words(rows: DataFrame, to_traditional: bool = True, most: int = MOST_LITERALS) -> Compiled:
+    """The vocabulary on the driver, for use as literals; reserved words come from the Traditional side.
+
+    A vocabulary of over ``most`` rows is an error, found before anything is collected.
+    """
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"over {most} words are too many for literals; use replace_by_table")
 
-def compile_words(rows: DataFrame, to_traditional: bool = True) -> Compiled:
-    """The vocabulary on the driver, for use as literals; reserved words come from the Traditional side."""
-    pairs = [(r.word, r.replacement) for r in compiled_table(rows, to_traditional).orderBy("rank").collect() if r.word]
-    reserved = [r.word for r in compiled_table(rows, False).filter("reserved").orderBy("rank").collect() if r.word]
+    def ordered(found: DataFrame) -> list:
+        return sorted((r for r in found.collect() if r.word), key=lambda r: (-r.priority, -r.length, r.ln))
+
+    pairs = [(r.word, r.replacement) for r in ordered(_enabled_words(rows, to_traditional))]
+    reserved = [r.word for r in ordered(_enabled_words(rows, False).filter("reserved"))]
     return Compiled(tuple(pairs), tuple(sorted(reserved, key=lambda w: -len(w))))
 
 
+def quoted(word: str) -> str:
+    return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", word)
+
+
 def token_pattern(words: Sequence[str]) -> str:
     """One group that matches a word (the first in order), a run without first letters, or a character."""
-    quoted = [re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", w) for w in words]
     heads = "".join(sorted({re.sub(r"([\\^\[\]&\-])", r"\\\1", w[0]) for w in words}))
-    return "(?s)(" + "|".join(quoted) + f"|[^{heads}]+|.)"
+    return "(?s)(" + "|".join(map(quoted, words)) + f"|[^{heads}]+|.)"
 
 
-def _by_first(pairs: tuple[tuple[str, str], ...]):
-    heads: dict[str, list[tuple[str, str]]] = {}
-    for word, value in pairs:
-        heads.setdefault(word[0], []).append((word, value))
+def word_pattern(words: Sequence[str]) -> str:
+    """Any of the words, the first in order; a look at the first letter spares most places the alternatives."""
+    heads = "".join(sorted({re.sub(r"([\\^\[\]&\-])", r"\\\1", w[0]) for w in words}))
+    return f"(?=[{heads}])(?:" + "|".join(map(quoted, words)) + ")"
+
 
-    @F.pandas_udf("string")
-    def replaced(text: pd.Series) -> pd.Series:
-        def one(s):
-            if s is None:
-                return None
-            out, at = [], 0
-            while at < len(s):
-                for word, value in heads.get(s[at], ()):
-                    if s.startswith(word, at):
-                        out.append(value)
-                        at += len(word)
-                        break
-                else:
-                    out.append(s[at])
-                    at += 1
-            return "".join(out)
+def marked_replaced(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Words in one pass: an expression marks them, then each marked word is replaced as a plain string.
 
-        return text.map(one)
+    Marks are noncharacters, so no replacement can make a marked word; text that holds one
+    goes token by token (``_by_tokens``).
+    """
+    first = dict(reversed(pairs))  # of a repeated word the first counts
+    out = F.regexp_replace(text, word_pattern(list(dict.fromkeys(w for w, _ in pairs))), f"{_OPEN}$0{_CLOSE}")
+    for word, value in first.items():
+        out = F.replace(out, F.lit(_OPEN + word + _CLOSE), F.lit(value))
+    return F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)), _by_tokens(text, pairs)).otherwise(out)
 
-    return replaced
+
+def _by_tokens(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in dict(reversed(pairs)).items() for x in pair])
+    tokens = F.regexp_extract_all(text, F.lit(token_pattern([w for w, _ in pairs])), F.lit(1))
+    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
 
 
 def replace_words(text: Column, words: Compiled) -> Column:
     """All words in one pass, leftmost first, at each place the first in match order; no cascading."""
-    if not words.pairs:
-        return text
-    if len(words.pairs) > ALTERNATION_LIMIT:
-        return _by_first(words.pairs)(text)
-    table = F.create_map(*[F.lit(x) for pair in dict(reversed(words.pairs)).items() for x in pair])
-    tokens = F.regexp_extract_all(text, F.lit(token_pattern([w for w, _ in words.pairs])), F.lit(1))
-    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
+    return marked_replaced(text, words.pairs) if words.pairs else text
+
+
+def replace_by_table(rows: DataFrame, table: DataFrame, text: str = "text", out: str = "replaced") -> DataFrame:
+    """The same for a vocabulary of any size: ``table`` has word, replacement and rank (match order).
+
+    Stretches of a text that begin with a word's first letter and have the length of a word
+    with that letter are joined with the table; of what is found the leftmost, then first
+    in order, is taken, and so on behind it.  Rows need an ``id``; a null text stays null.
+    """
+    words = table.filter("word <> ''").select("word", "replacement", "rank")
+    most = words.agg(F.max(F.length("word"))).first()[0] or 0
+    # a row for each first letter, with the lengths of its words
+    heads = words.groupBy(F.substring("word", 1, 1).alias("head")).agg(F.collect_set(F.length("word")).alias("lengths"))
+
+    def stretches(signs: Column) -> Column:
+        return F.transform(signs, lambda c, i: F.struct(i.alias("at"), c.alias("head"), F.array_join(F.slice(signs, i + 1, most), "").alias("s")))
+
+    every = F.get(F.transform(F.array(F.split(text, "")), stretches), F.lit(0))
+    letters = rows.select("id", F.explode(every).alias("x")).select("id", "x.*")
+    asked = letters.join(heads, "head").select("id", "at", F.explode(F.transform("lengths", lambda n: F.substr("s", F.lit(1), n))).alias("word"))
+    best = asked.join(words, "word").groupBy("id", "at").agg(F.min(F.struct("rank", "word", "replacement")).alias("m"))
+    found = best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", F.length("m.word").alias("n"), F.col("m.replacement").alias("value")))).alias("_found"))
+    joined = rows.join(found, "id", "left")
+    start = F.struct(F.lit(0).alias("upto"), F.lit("").alias("done"))
+
+    def step(s, w):
+        taken = F.struct((w["at"] + w["n"]).alias("upto"), F.concat(s["done"], F.substr(F.col(text), s["upto"] + 1, w["at"] - s["upto"]), w["value"]).alias("done"))
+        return F.when(w["at"] >= s["upto"], taken).otherwise(s)
+
+    whole = F.aggregate("_found", start, step, lambda s: F.concat(s["done"], F.substr(F.col(text), s["upto"] + 1, F.length(text))))
+    return joined.withColumn(out, F.coalesce(whole, F.col(text))).drop("_found")
 
 
 def replace_by_join(rows: DataFrame, tokens: str, table: DataFrame) -> DataFrame:
@@ -128,8 +168,7 @@ def search(rows: DataFrame, text: str) -> DataFrame:
 
 def editor_ranked(rows: DataFrame, side: str = "simplified") -> DataFrame:
     """Rows with their place in the editor: priority, length, text, all falling."""
-    order = Window.orderBy(F.desc(f"{side}_priority"), F.desc(utf16_length(F.col(side))), F.desc(side), "ln")
-    return rows.withColumn("rank", F.row_number().over(order))
+    return ranked_by(rows, F.struct(F.col(f"{side}_priority"), utf16_length(F.col(side)), F.col(side), -F.col("ln")), descending=True)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

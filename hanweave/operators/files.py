@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from hanweave.operators.ranks import ranked_by
 
 
 def extension_pattern(wildcard: str) -> str:
@@ -52,7 +53,7 @@ def refined(rows: DataFrame, wildcards: Sequence[str], name: str = "name") -> Da
 
 def ranked(rows: DataFrame) -> DataFrame:
     """File lists in the order (path, is_file, name), as a rank."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("path", "is_file", "name", "id")))
+    return ranked_by(rows, F.struct("path", "is_file", "name", "id"))
 
 
 def resolve_conflicts(rows: DataFrame, existing: DataFrame, policy: str, target: str = "target") -> DataFrame:
@@ -81,7 +82,7 @@ def rename_plan(paths: DataFrame, convert) -> DataFrame:
     parts = F.split("path", "/")
     new = F.array_join(F.transform(parts, convert), "/")
     moved = paths.select(F.col("path").alias("old_path"), new.alias("new_path"), F.size(parts).alias("depth")).filter("old_path <> new_path")
-    return moved.withColumn("step", F.row_number().over(Window.orderBy(F.desc("depth"), "old_path")))
+    return ranked_by(moved, F.struct(-F.col("depth"), F.col("old_path")), "step")
 
 
 def tree_rows(paths: DataFrame) -> DataFrame:
@@ -94,6 +95,12 @@ def tree_rows(paths: DataFrame) -> DataFrame:
 
 
 def post_order(nodes: DataFrame) -> DataFrame:
-    """Tree nodes with their place in the reversed post-order walk: a node comes before all below it."""
-    key = F.concat("path", F.lit("/\U0010ffff"))
-    return nodes.withColumn("walk", F.row_number().over(Window.orderBy(F.desc(key))))
+    """Tree nodes with their place in the reversed post-order walk: a node comes before all below it.
+
+    The walk takes folders before files, each by name, and what is below a node before the
+    node; reversed, a node's files come first, then its folders, names falling.
+    """
+    parts = F.split("path", "/")
+    # folders sort below files, and the highest sign puts a node behind all below it
+    flags = F.transform(parts, lambda name, i: F.concat(F.when((i == F.size(parts) - 1) & F.col("is_file"), "1").otherwise("0"), name))
+    return ranked_by(nodes, F.struct(F.concat(flags, F.array(F.lit("\U0010ffff"))).alias("walk")), "walk", descending=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,7 @@ from hanweave.functions import actions, charsets, convert, markup, names, sniff,
 from hanweave.operators import dictionary, files, lookups
 from hanweave.session import with_charsets
 from hanweave.sources import settings
-from hanweave.sources.text import preview
+from hanweave.sources.text import encoded, listing, preview, read_text, write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +74,21 @@ def page_labels_by_extension(spark, sf_dir):
 PATTERNS = ("*7", "*.com*1", "*/en/*", "*#top")
 
 
+EXTRA_LABELS = settings.DEFAULT_LABELS + "|.css"
+
+
+@query
+def relabel_by_extension(spark, sf_dir):
+    """Pages as web, PHP and style files and one that has no rule: labels follow the settings' list."""
+    heads = {"HTML": "", "php": '<?php header("Content-Type:text/html;  charset=utf-8"); ?>', "css": '@charset "utf-8"; ', "txt": '@charset "utf-8"; '}
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("head")) for k, v in heads.items()]))
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", kinds.alias("k")).select("page_id", "k.kind", F.concat("k.head", "html").alias("text"))
+    named = rows.withColumn("ext", markup.extension(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit("."), F.col("kind"))))
+    labels = F.split(F.lit(EXTRA_LABELS), r"\|")
+    text = F.when(markup.has_label_rule(F.col("ext"), labels), markup.relabelled(F.col("text"), F.col("ext"), "big5")).otherwise(F.col("text"))
+    return named.select("page_id", "ext", text.alias("text"))
+
+
 @query
 def url_pattern_filter(spark, sf_dir):
     return files.refined(table(spark, sf_dir, "pages").select("page_id", "url"), PATTERNS, "url")
@@ -117,13 +134,24 @@ def file_list_rank(spark, sf_dir):
     return files.ranked(_file_list(spark, sf_dir)).select("id", "rank")
 
 
+def _targets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A file list with target paths, and the paths that exist already."""
+    target = lambda c: F.concat(F.lit("out/"), F.col(c).cast("string"))
+    return _file_list(spark, sf_dir).withColumn("target", target("id")), table(spark, sf_dir, "part").filter("p_size > 25").select(target("p_partkey").alias("target"))
+
+
 @query
 def conflict_skip(spark, sf_dir):
-    rows = _file_list(spark, sf_dir).withColumn("target", F.concat(F.lit("out/"), "name"))
-    there = table(spark, sf_dir, "part").filter("p_size > 25").select(F.concat(F.lit("out/"), "p_name").alias("target"))
+    rows, there = _targets(spark, sf_dir)
     return files.writable(files.resolve_conflicts(rows, there, "skip")).select("id", "target", "target_exists")
 
 
+@query
+def conflict_replace(spark, sf_dir):
+    rows, there = _targets(spark, sf_dir)
+    return files.writable(files.resolve_conflicts(rows, there, "replace")).select("id", "target", "target_exists")
+
+
 @query
 def conflict_cancel(spark, sf_dir):
     rows = _file_list(spark, sf_dir).withColumn("target", F.concat(F.lit("out/"), F.col("id").cast("string")))
@@ -252,6 +280,31 @@ def vocab_by_join(spark, sf_dir):
     return dictionary.replace_by_join(rows, "t", found.unionByName(colours)).select("id", "replaced")
 
 
+@query
+def vocab_by_table(spark, sf_dir):
+    """The vocabulary as a table that is joined, as one too large for literals would be."""
+    rows = chinese(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    return dictionary.replace_by_table(rows, dictionary.compiled_table(vocabulary(spark))).select(F.col("id").alias("doc_id"), F.col("replaced").alias("text"))
+
+
+BEFORE, AFTER, PROTECT = [("license", "licence"), ("the ", "THE "), ("the", "DIE")], [("e,", "E;"), ("THE", "La")], ["and the", "other"]
+
+
+@query
+def replace_lists(spark, sf_dir):
+    """Replacements before and after a conversion, with protected words."""
+    text = convert.replaced_in_order(F.col("text"), BEFORE, AFTER, PROTECT, convert.full_width)
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query
+def dictionary_file(spark, sf_dir):
+    """The vocabulary saved to a file and loaded again."""
+    path = _work_dir(spark, "dictionary")
+    dictionary.save(vocabulary(spark), path)
+    return dictionary.load(spark, path).drop("ln")
+
+
 @query
 def dict_compile_s2t(spark, sf_dir):
     return dictionary.compiled_table(vocabulary(spark), True)
@@ -281,7 +334,7 @@ def dictionary_lines(spark, sf_dir):
     return dictionary.parse_lines(lines.unionByName(broken))
 
 
-# --- transcoding (no SQL oracle: DuckDB has no legacy charsets) ----------------------------
+# --- transcoding -------------------------------------------------------------------------
 
 
 def _transcoded(name: str) -> Query:
@@ -308,6 +361,28 @@ def mojibake_repair(spark, sf_dir):
     return rows.select("doc_id", charsets.repair_latin1(broken, "gbk").alias("text"))
 
 
+def written(spark, sf_dir) -> DataFrame:
+    """Documents as bytes of two charsets: Simplified in GBK, or Traditional in Big5, by language."""
+    simplified = F.col("lang").isin("en", "fr")
+    rows = table(spark, sf_dir, "documents").select("doc_id", convert.sinified(F.col("text")).alias("text"), simplified.alias("simplified"))
+    return rows.select("doc_id", F.when(F.col("simplified"), charsets.encode(F.col("text"), "gbk")).otherwise(charsets.encode(F.translate("text", *TRADITIONAL), "big5")).alias("data"))
+
+
+@query
+def decode_by_sniffing(spark, sf_dir):
+    """Bytes without a declared charset: sniffed, decoded, and converted to Traditional."""
+    text = sniff.decoded_by_sniffing(F.col("data"))
+    return written(with_charsets(spark), sf_dir).select("doc_id", sniff.sniffed_bytes(F.col("data")).alias("kind"), convert.convert(text, convert.TO_TRADITIONAL).alias("text"))
+
+
+@query
+def transcode_unless_big5(spark, sf_dir):
+    """The re-reading of ``a1``, but only where the text doesn't seem to be Big5 already."""
+    rows = table(with_charsets(spark), sf_dir, "documents").select("doc_id", "lang", convert.sinified(F.col("text")).alias("text"))
+    rows = rows.select("doc_id", F.when(F.col("lang").isin("en", "fr"), F.col("text")).otherwise(F.translate("text", *TRADITIONAL)).alias("text"))
+    return rows.select("doc_id", sniff.unless_already(F.col("text"), "big5", actions.registry()["a1"](F.col("text"))).alias("text"))
+
+
 @query
 def transfer_between(spark, sf_dir):
     return chinese(with_charsets(spark), sf_dir).select("doc_id", charsets.transfer(F.col("text"), "gbk", "big5").alias("text"))
@@ -338,14 +413,15 @@ def tag_results(spark, sf_dir):
 
 @query
 def module_antijoin(spark, sf_dir):
-    known = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select("n_name", (F.col("n_nationkey") % 4 == 0).alias("enabled"))
+    known = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select("n_name", (F.col("n_regionkey") == 1).alias("enabled"))
     return lookups.with_missing(known, table(spark, sf_dir, "nation").select("n_name"), "n_name")
 
 
 def _maps(spark, sf_dir):
+    """Two overlapping maps that together hold every customer."""
     c = table(spark, sf_dir, "customer")
-    pick = lambda m: c.filter(F.col("c_custkey") % m == 0).select(F.col("c_custkey").alias("key"), F.concat(F.col("c_mktsegment"), F.lit(f"-{m}")).alias("value"))
-    return pick(2), pick(3)
+    pick = lambda m, some: c.filter(some).select(F.col("c_custkey").alias("key"), F.concat(F.col("c_mktsegment"), F.lit(f"-{m}")).alias("value"))
+    return pick("old", "c_acctbal >= 1000"), pick("new", "c_acctbal < 4000")
 
 
 @query
@@ -408,22 +484,38 @@ def name_caps(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 245).alias("name"), F.substring("text", 1, 500).alias("line"))
 
 
-@query
-def stream_convert_events(spark, sf_dir):
-    """All events through a file stream into a table, once each."""
-    from hanweave.streaming import convert as streaming
-
-    events = table(spark, sf_dir, "events")
+def _work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors see; only a local master may do without the setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
+        shared = "file://" + tempfile.mkdtemp(prefix="hanweave-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def files_round_trip(spark, sf_dir):
+    """Every page written as two files, UTF-8 with a mark and UTF-16, found by wildcards and read again."""
+    base = _work_dir(spark, "files")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), "html")
+    rows = pages.select(F.concat(F.lit(f"{base}/a/"), "name", F.lit(".txt")).alias("target"), encoded(F.col("html"), "utf-8", bom=True).alias("data")).unionByName(
+        pages.select(F.concat(F.lit(f"{base}/b/"), "name", F.lit(".log")).alias("target"), encoded(F.col("html"), "unicode", bom=True).alias("data"))
+    )
+    write_files(rows).agg(F.sum("bytes")).collect()
+    found = listing(spark, base, ["*.txt", "*.log"]).select("path", "length")
+    texts = read_text(spark, f"{base}/a", "utf-8", glob="*.txt").unionByName(read_text(spark, base, "unicode", glob="*.log", recursive=True))
+    name = F.element_at(F.split("path", "/"), -1)
+    return texts.join(found, "path").select(F.substring_index(name, ".", 1).cast("long").alias("page_id"), markup.extension(name).alias("ext"), "length", "text")
 
-        shared = "file://" + tempfile.mkdtemp(prefix="hanweave-stream-")
-    import uuid
 
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+@query
+def stream_convert_events(spark, sf_dir):
+    """All events through a file stream into a table, once each."""
+    from hanweave.streaming import convert as streaming
+
+    events = table(spark, sf_dir, "events")
+    base = _work_dir(spark, "stream")
     stream = streaming.text_stream(spark, sf_dir, events.schema, glob="events.parquet")
     done = streaming.converted(stream.select("event_id", "event_type", "props"), "event_type", convert.sinified)
     streaming.write_available(done, f"{base}/out", f"{base}/state").awaitTermination()

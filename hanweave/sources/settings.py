@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCHEMA = "MaxLengthPreview int, FileConvert struct<DefaultPath:string,TypeFilter:string,FixLabel:string,UnicodeAddBom:boolean>, VocabularyCorrection boolean"
-DEFAULT_FILTER = "<Text|*.txt>/<Web|*.htm;*.html;*.shtm;*.shtml;*.asp;*.aspx;*.php;*.css>"
-DEFAULT_LABELS = ".htm|.html|.shtm|.shtml|.asp|.aspx|.php|.css"
+#: The keys above, and the defaults.  Fixed values; ``.aspx`` is what a misspelt entry meant.
+DEFAULT_FILTER = "<常用文字檔案|*.txt;*.log;*.ini;*.inf;*.bat;*.cmd;*.srt;*.ass;*.lang>/<常用網頁文件|*.htm;*.html;*.php;*.asp;*.css;*.js>/<音頻文件|*.mp3>"
+DEFAULT_LABELS = ".htm|.html|.shtm|.shtml|.asp|.aspx|.php"
 
 
 def parsed(document: Column) -> Column:

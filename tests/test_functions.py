@@ -46,15 +46,101 @@ def test_vocabulary_order(spark):
     assert replace(signs, "a.b*[ axb ^-]\n") == "x axb y\n"
 
 
-def test_large_vocabulary_agrees(spark):
-    rows = [(i, True, "D", f"{chr(97 + i % 26)}{i % 7}", i % 5, f"<{i}>", 0) for i in range(700)]
+def test_vocabulary_forms_agree(spark):
+    """Marks, tokens and the join with a table, on overlapping words of random texts."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, True, "D", "".join(rng.choices("abc1", k=rng.randint(1, 4))), rng.randint(0, 3), f"<{i}>", 0) for i in range(60)]
+    table = dictionary.compiled_table(vocabulary(spark, rows))
     w = words(spark, rows)
-    small = dictionary.Compiled(w.pairs[:100], ())
-    df = spark.createDataFrame([("a1b2c3 zz y6a0\n",), (None,), ("",)], "c string")
-    got = df.select(dictionary.replace_words(F.col("c"), small).alias("a"), dictionary._by_first(small.pairs)(F.col("c")).alias("b")).collect()
-    assert all(r.a == r.b for r in got)
-    many = dictionary.Compiled(tuple((f"k{i}", str(i)) for i in range(600)), ())
-    assert one(spark, "zz k7", lambda c: dictionary.replace_words(c, many)) == "zz 7"
+    assert [p[0] for p in w.pairs] == [r.word for r in table.orderBy("rank").collect()]
+    texts = ["".join(rng.choices("abc12 \n𠀀", k=rng.randint(0, 50))) for _ in range(80)] + ["", None, "a\ufdd1b\ufdd2c", "zzz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    by_table = {r.id: r.replaced for r in dictionary.replace_by_table(df, table).collect()}
+
+    def plain(t):
+        out, at = "", 0
+        while at < len(t):
+            hit = next(((x, v) for x, v in w.pairs if t.startswith(x, at)), None)
+            out, at = (out + hit[1], at + len(hit[0])) if hit else (out + t[at], at + 1)
+        return out
+
+    for r in df.select("id", dictionary.replace_words(F.col("text"), w).alias("a"), dictionary._by_tokens(F.col("text"), w.pairs).alias("b")).collect():
+        want = None if texts[r.id] is None else plain(texts[r.id])
+        assert (r.a, r.b, by_table[r.id]) == (want, want, want), texts[r.id]
+
+
+def test_large_vocabulary_is_no_literal(spark):
+    rows = vocabulary(spark, [(i, True, "D", f"w{i}", 1, "x", 1) for i in range(12)])
+    with pytest.raises(ValueError, match="replace_by_table"):
+        dictionary.compile_words(rows, most=10)
+
+
+def test_protected_lists(spark):
+    convert_ = lambda v: one(spark, v, lambda c: convert.replaced_in_order(c, [("aa", "b"), ("a", "c")], [("B", "x")], ["keep a", "keep"], F.upper))
+    assert convert_("aaa keep aa") == "xC keep aA".replace("keep aA", "keep aC")
+    assert convert_("bkeepb") == "xkeepx" and convert_(None) is None and convert_("") == ""
+
+
+def test_ranks(spark):
+    """Places of a total order over several buckets, with a hot first key."""
+    import random
+
+    from hanweave.operators.ranks import ranked_by
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, rng.randint(0, 9)]), rng.choice([None, "a", "b", str(rng.random())]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "a int, b string, id long")
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
+    for down in (False, True):
+        got = ranked_by(df, F.struct("a", "b", "id"), descending=down, buckets=7, sample=50).orderBy("rank").collect()
+        assert [tuple(r)[:3] for r in got] == (want[::-1] if down else want) and [r.rank for r in got] == list(range(1, 901))
+    assert ranked_by(df.limit(0), F.struct("id")).count() == 0
+    assert ranked_by(df.limit(1), F.struct("id")).first().rank == 1
+
+
+def test_tree_walk(spark):
+    """Against a recursive walk: folders before files, children before their node, all reversed."""
+    paths = ["r/b/x.txt", "r/b/a/1", "r/b/a b/2", "r/z.txt", "r/a.txt", "r/c/d/3", "r/b/y"]
+    nodes = files.tree_rows(spark.createDataFrame([(p,) for p in paths], "path string"))
+    tree = {}
+    for p in paths:
+        at = tree
+        for part in p.split("/"):
+            at = at.setdefault(part, {})
+
+    def walk(prefix, name, below):
+        path = f"{prefix}/{name}" if prefix else name
+        for child in sorted(below, key=lambda c: (not below[c], c)):
+            yield from walk(path, child, below[child])
+        yield path
+
+    want = list(walk("", "r", tree["r"]))[::-1]
+    assert [r.path for r in files.post_order(nodes).orderBy("walk").collect()] == want
+
+
+def test_hz_against_the_codec(spark):
+    texts = ["abc", "汉字~和 tilde", "~~", "a汉b字\n汉", "", "é汉", "　。"]
+    df = spark.createDataFrame([(t, t.encode("hz", "replace")) for t in texts], "t string, d binary")
+    for r in df.select("t", "d", charsets.encode(F.col("t"), "hz").alias("e"), charsets.decode(F.col("d"), "hz").alias("back")).collect():
+        assert bytes(r.e) == bytes(r.d) and r.back == bytes(r.d).decode("hz")
+    odd = spark.createDataFrame([(b"a~\nb",), (b"~{VP",), (b"x\xb9y",), (b"~x",)], "d binary").select(charsets.decode(F.col("d"), "hz").alias("t")).collect()
+    assert [r.t for r in odd] == ["ab", "中", "x\ufffdy", "\ufffdx"]
+    plan = df.select(charsets.decode(charsets.encode(F.col("t"), "hz"), "hz"))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
+def test_references_are_decoded_once(spark):
+    for text, want in (("&amp;lt;", "&lt;"), ("&#38;lt;", "&lt;"), ("&amp;#65;", "&#65;"), ("&amp&#59;", "&amp;"), ("&#x26;amp;", "&amp;"), ("&#1114112;", "&#1114112;"), ("&#X1F600;&#;&#x;", "😀&#;&#x;"), ("\ufdd0&amp;\ufdd0", "\ufdd0&\ufdd0"), ("&lt;&gt;&quot;&&&", '<>"&&&')):
+        assert one(spark, text, markup.decoded_references) == want, text
+
+
+def test_sniffed_bytes(spark):
+    text = "软体电脑头发计机网络数库语转换简汉国学经济东门"
+    df = spark.createDataFrame([(text.encode("gbk"),), (one(spark, text, convert.to_traditional).encode("cp950"),), (b"plain",), (b"",)], "d binary")
+    got = df.select(sniff.sniffed_bytes(F.col("d")).alias("k"), sniff.decoded_by_sniffing(F.col("d")).alias("t")).collect()
+    assert [r.k for r in got] == [2, 0, -1, -1] and [r.t for r in got] == [text, one(spark, text, convert.to_traditional), "plain", ""]
 
 
 def test_reserved(spark):
