@@ -1,43 +1,51 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words.  Each passage gets a vector of
-surface features (frequencies of pairs of byte classes, shape and repetition of its
-words) and is encoded by a dense layer; gated attention, learnt from the documents'
-labels alone, weighs the passages, and a logistic layer scores their weighted sum.  A
-bad passage in an otherwise good document so gets the weight that its label asks for.
+frequencies of pairs of byte classes, hashed frequencies of its words, and the shape and
+repetition of its words, and is encoded by a dense layer; gated attention, learnt from the
+documents' labels alone, weighs the passages, and a logistic layer scores their weighted
+sum.  A bad passage in an otherwise good document so gets the weight that its label asks
+for.
 
 The model is fitted on the driver on at most ``max_train_docs`` labelled documents (a
-documented bound; those whose id hashes lowest), on every passage of each.  Tasks write
-features to files, which the driver copies to a mapped local file and reads in blocks.
-Every whole text is scored, in batches, on the executors.  Labels, language, source and
-id are no inputs.
+documented bound on rows; those whose id hashes lowest), on every passage of each.  Tasks
+write the features of ``BATCH`` documents to one file in the shared folder; the driver
+reads a file, and of that ``BLOCK`` passages, at a time.  Every whole text is scored, in
+batches, on the executors.  Labels, language, source and id are no inputs.
 
 Defined cases
 -------------
 * A null or empty text is one passage without words.
+* Very long texts are scored and learnt from whole.  A word without end is one word of one
+  passage: lengths enter as logarithms or cut, so all features and scores are finite.
 * Labels that are null, or whose id is null, teach nothing; of repeated labels of an id
   the mean counts, rounded to nearest (ties to 1).  Without labels of both kinds all
   scores are the share of label 1, or 0.5 without any.
-* Every row of documents gives a row.  An empty table gives none.
+* Every row of documents gives a row; equal texts have equal scores, and equal labelled
+  rows count as often as they occur.  Other columns pass through ``score`` whatever their
+  names, but for one named score, which it replaces.  An empty table gives none.
 """
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hanweave.llm import ragged, storage
 from hanweave.llm.simjoin import word_hashes
 from hanweave.llm.storage import materialise
 
 PASSAGE = 64
-BLOCK = 1 << 14  # passages whose features training and scoring take at once
+BATCH = 64  # documents of a step of training
+BLOCK = 1 << 14  # passages whose features training takes at once
 CLASSES = 16
+HASHED = 256
 EXTRA = 14
-WIDTH = CLASSES * CLASSES + EXTRA
+WIDTH = CLASSES * CLASSES + HASHED + EXTRA
 _CLASS = np.full(256, 15, np.uint8)  # other signs
 _CLASS[0x61:0x7B] = 0
 for _c in b"aeiouy":
@@ -89,6 +97,10 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         out[:, : CLASSES * CLASSES] = np.sqrt(count.reshape(total, -1) / np.maximum(size, 1)[:, None])
     words = np.bincount(at, minlength=total).astype(np.float64)
     some = np.maximum(words, 1)
+    if len(hashes):
+        bucket = (hashes >> np.uint64(40)).astype(np.int64) % HASHED
+        count = np.bincount(at * HASHED + bucket, minlength=total * HASHED)
+        out[:, CLASSES * CLASSES : CLASSES * CLASSES + HASHED] = np.sqrt(count.reshape(total, -1) / some[:, None])
 
     def share(flags: np.ndarray, where: np.ndarray = at) -> np.ndarray:
         return np.bincount(where, flags.astype(np.float64), total) / some
@@ -118,7 +130,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         extra[:, 11] = share(tail >= 6)
     for j, c in enumerate((2, 10)):
         extra[:, 12 + j] = np.bincount(owner, kind == c, total) / np.maximum(size, 1)
-    out[:, CLASSES * CLASSES :] = extra
+    out[:, CLASSES * CLASSES + HASHED :] = extra
     return out, ends
 
 
@@ -126,16 +138,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _blocks(model: dict, x: np.ndarray, rows: np.ndarray):
-    """``(slice of rows, their features on the model's scale)``, a block at a time."""
-    for lo in range(0, len(rows), BLOCK):
-        own = x[rows[lo : lo + BLOCK]]
+def _blocks(model: dict, x):
+    """``(slice, features on the model's scale)``, a block of passages at a time."""
+    for lo in range(0, len(x), BLOCK):
+        own = x[lo : lo + BLOCK]
         yield slice(lo, lo + len(own)), ((own - model["mean"]) / model["std"]).clip(-8, 8)
 
 
-def _forward(model: dict, x: np.ndarray, rows: np.ndarray, bounds: np.ndarray):
-    """All layers over ``rows`` of ``x``, which ``bounds`` cut into bags."""
-    h = np.tanh(np.concatenate([own @ model["W"] for _, own in _blocks(model, x, rows)]) + model["b"])
+def _forward(model: dict, x, bounds: np.ndarray):
+    """All layers over the passages ``x``, which ``bounds`` cut into bags."""
+    h = np.tanh(np.concatenate([own @ model["W"] for _, own in _blocks(model, x)]) + model["b"])
     t, s = np.tanh(h @ model["V"]), _sigmoid(h @ model["U"])
     e = (t * s) @ model["w"]
     first, sizes = bounds[:-1], np.diff(bounds)
@@ -148,18 +160,41 @@ def _forward(model: dict, x: np.ndarray, rows: np.ndarray, bounds: np.ndarray):
 def scores(model: dict, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if "share" in model:
         return np.full(len(bounds) - 1, model["share"])
-    return _sigmoid(_forward(model, x, np.arange(len(x)), bounds)[-1].astype(np.float64))
-
-
-def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, hidden: int = 32, gate: int = 16, epochs: int = 30, batch: int = 64, rate: float = 2e-3, decay: float = 1e-4) -> dict:
-    """Adam on the logistic loss; gradients through the gated attention by hand."""
+    return _sigmoid(_forward(model, x, bounds)[-1].astype(np.float64))
+
+
+def gradients(model: dict, x, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the mean logistic loss by each weight of the model, through the gated attention."""
+    sizes = np.diff(bounds)
+    h, t, s, a, z, logit = _forward(model, x, bounds)
+    d = ((_sigmoid(logit) - y) * weight / weight.sum()).astype(h.dtype)
+    dz = np.repeat(d[:, None] * model["c"], sizes, axis=0)
+    da = (dz * h).sum(1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, bounds[:-1]), sizes))
+    dt = de[:, None] * model["w"] * s * (1 - t * t)
+    ds = de[:, None] * model["w"] * t * s * (1 - s)
+    dh = (a[:, None] * dz + dt @ model["V"].T + ds @ model["U"].T) * (1 - h * h)
+    return {
+        "W": sum(own.T @ dh[part] for part, own in _blocks(model, x)), "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds,
+        "w": (de[:, None] * t * s).sum(0), "c": z.T @ d, "o": d.sum(),
+    }
+
+
+def fit(bags: list[tuple], hidden: int = 32, gate: int = 16, epochs: int = 30, rate: float = 2e-3, decay: float = 1e-4) -> dict:
+    """A model by Adam; each of ``bags`` is a step: (passages, bounds, labels, weights).
+
+    Passages may be any array that can be sliced; a block of them is held at a time.
+    """
+    y = np.concatenate([np.zeros(0), *(own for _, _, own, _ in bags)])
+    weight = np.concatenate([np.zeros(0), *(own for _, _, _, own in bags)])
     if len(np.unique(y)) < 2:
-        return {"share": float(y.mean()) if len(y) else 0.5}
+        return {"share": float((y * weight).sum() / weight.sum()) if len(y) else 0.5}
     rng = np.random.default_rng(7)
-    f = x.shape[1]
-    cuts = range(0, len(x), BLOCK)
-    mean = sum(x[lo : lo + BLOCK].sum(0, dtype=np.float64) for lo in cuts) / len(x)
-    spread = sum(((x[lo : lo + BLOCK] - mean) ** 2).sum(0) for lo in cuts) / len(x)
+    cuts = [(x, lo) for x, *_ in bags for lo in range(0, len(x), BLOCK)]
+    total = sum(len(x) for x, *_ in bags)
+    mean = sum(x[lo : lo + BLOCK].sum(0, dtype=np.float64) for x, lo in cuts) / total
+    spread = sum(((x[lo : lo + BLOCK] - mean) ** 2).sum(0) for x, lo in cuts) / total
+    f = len(mean)
     model = {
         "mean": mean,
         "std": np.sqrt(spread) + 1e-3,
@@ -176,74 +211,87 @@ def fit(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, hidden: int = 32, gate
     m1, m2 = ({k: np.zeros_like(model[k]) for k in names} for _ in range(2))
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(y))
-        for lo in range(0, len(y), batch):
-            docs = order[lo : lo + batch]
-            sizes = bounds[docs + 1] - bounds[docs]
-            rows = ragged.ranges(bounds[docs], sizes)
-            cut = np.concatenate([[0], np.cumsum(sizes)])
-            h, t, s, a, z, logit = _forward(model, x, rows, cut)
-            d = ((_sigmoid(logit) - y[docs]) / len(docs)).astype(np.float32)
-            dz = np.repeat(d[:, None] * model["c"], sizes, axis=0)
-            da = (dz * h).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, cut[:-1]), sizes))
-            dt = de[:, None] * model["w"] * s * (1 - t * t)
-            ds = de[:, None] * model["w"] * t * s * (1 - s)
-            dh = (a[:, None] * dz + dt @ model["V"].T + ds @ model["U"].T) * (1 - h * h)
-            grad = {"W": sum(own.T @ dh[part] for part, own in _blocks(model, x, rows)), "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (de[:, None] * t * s).sum(0), "c": z.T @ d, "o": d.sum()}
+        now = rate * (1 - epoch / epochs)
+        for i in rng.permutation(len(bags)):
+            grad = gradients(model, *bags[i])
             step += 1
-            now = rate * (1 - epoch / epochs)
             for k in names:
                 g = grad[k] + decay * model[k]
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.999 * m2[k] + 0.001 * g * g
                 model[k] = (model[k] - now * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    if not all(np.isfinite(v).all() for v in model.values()):
+        raise ArithmeticError("the model has weights that aren't finite")
     return model
 
 
-def _groups(batch, limit: int = 1 << 20):
-    """Slices of a batch of about ``limit`` bytes of text, so that memory stays bounded."""
-    column = batch.column(batch.schema.get_field_index("text"))
-    _, offsets = ragged.text_bytes(column)
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
+class Stored:
+    """Passages' features in a file of the shared folder, read a slice at a time; the last slice stays."""
+
+    def __init__(self, uri: str, n: int):
+        self.uri, self.n = uri, n
+        self.at, self.held = None, None
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        lo, hi, _ = part.indices(self.n)
+        if self.at != (lo, hi):
+            self.held = np.frombuffer(storage.read_part(self.uri, lo * WIDTH * 4, (hi - lo) * WIDTH * 4), "<f4").reshape(-1, WIDTH)
+            self.at = (lo, hi)
+        return self.held
 
 
-def _features(folder: str):
-    """Task: labelled documents to files of their passages' features, and where each one's are."""
+def _features(rows: int = 4096):
+    """Task: labelled documents to their passages' features, in rows of at most so many passages."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in _groups(batch):
+            for part in ragged.slices(batch):
                 x, ends = passages(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
-                uri = storage.write_file(folder, "features", x.astype("<f4").tobytes())
-                columns = [part.column(part.schema.get_field_index(n)) for n in ("doc_id", "digest", "label", "n")]
-                yield pa.record_batch([*columns, pa.array([uri] * part.num_rows), pa.array(ends[:-1]), pa.array(np.diff(ends))], names=["doc_id", "digest", "label", "n", "uri", "first", "size"])
+                for i, (place, label, n) in enumerate(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("place", "label", "n")))):
+                    for k, lo in enumerate(range(ends[i], ends[i + 1], rows)):
+                        own = x[lo : min(lo + rows, ends[i + 1])]
+                        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                        yield pa.record_batch([pa.array([v], t) for v, t in zip((place, k, label, n, len(own), own.astype("<f4").tobytes()), kinds)], names=["place", "k", "label", "n", "size", "data"])
 
     return run
 
 
-def _mapped(found: list) -> np.ndarray:
-    """Features of all found documents in their order, in a local file that goes with the array."""
-    bounds = np.concatenate([[0], np.cumsum([r.size for r in found])]).astype(np.int64)
-    if not bounds[-1]:
-        return np.zeros((0, WIDTH), np.float32)
-    with tempfile.TemporaryFile() as file:
-        file.truncate(int(bounds[-1]) * WIDTH * 4)
-        x = np.memmap(file, "<f4", "r+", shape=(int(bounds[-1]), WIDTH))
-    by_file: dict[str, list[int]] = {}
-    for i, r in enumerate(found):
-        by_file.setdefault(r.uri, []).append(i)
-    for uri, own in by_file.items():
-        data = np.frombuffer(storage.read_file(uri), "<f4").reshape(-1, WIDTH)
-        for i in own:
-            x[bounds[i] : bounds[i + 1]] = data[found[i].first : found[i].first + found[i].size]
-    return x
+def _batched(folder: str):
+    """Task: features ordered by (place, k) to one file for each ``BATCH`` places; a row for each file."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def files():
+            at, row, out, close = None, None, None, None
+            for batch in batches:
+                for place, _, label, n, size, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    if place // BATCH != at:
+                        if row:
+                            close.__exit__(None, None, None)
+                            yield row
+                        at, close = place // BATCH, storage.new_file(folder, "features")
+                        uri, out = close.__enter__()
+                        row = {"batch": at, "uri": uri, "places": [], "sizes": [], "labels": [], "weights": []}
+                    if not row["places"] or row["places"][-1] != place:
+                        for k, v in (("places", place), ("sizes", 0), ("labels", label), ("weights", n)):
+                            row[k].append(v)
+                    row["sizes"][-1] += size
+                    out.write(data)
+            if row:
+                close.__exit__(None, None, None)
+                yield row
+
+        for row in files():
+            kinds = [pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 3]
+            yield pa.record_batch([pa.array([row[k]], t) for k, t in zip(("batch", "uri", "sizes", "labels", "weights"), kinds)], names=["batch", "uri", "sizes", "labels", "weights"])
+
+    return run
 
 
 def _score(shared):
@@ -251,7 +299,7 @@ def _score(shared):
         import pyarrow as pa
 
         for batch in batches:
-            for part in _groups(batch):
+            for part in ragged.slices(batch):
                 x, ends = passages(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
                 yield pa.record_batch([*part.columns, pa.array(scores(shared.value, x, ends), pa.float64())], names=[*part.schema.names, "score"])
 
@@ -267,22 +315,31 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 6000, label_
     """A model from labels of rows that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    # at most max_train_docs rows of two numbers: small enough to broadcast, whatever the input
-    sample = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs), "quality-sample")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    own = text.join(F.broadcast(sample), "doc_id")
-    # a repeated id has several texts; equal rows are encoded once and count n times
-    first = own.select("doc_id", "digest").orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(max_train_docs)
-    picked = materialise(first.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "quality-picked")
-    once = own.join(F.broadcast(picked), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     spark = docs.sparkSession
-    folder = storage.fresh_dir(spark, "quality-features")
-    storage.make_dir(spark, folder)
-    manifest = materialise(once.mapInArrow(_features(folder), "doc_id long, digest string, label int, n long, uri string, first long, size long"), "quality-manifest")
-    # at most max_train_docs rows without their features
-    found = [r for r in manifest.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").collect() for _ in range(r.n)]
-    bounds = np.concatenate([[0], np.cumsum([r.size for r in found])]).astype(np.int64)
-    return fit(_mapped(found), bounds, np.array([r.label for r in found], np.float64))
+    with storage.scope(spark):
+        # at most max_train_docs rows of two numbers: small enough to broadcast, whatever the input
+        sample = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs), "quality-sample")
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        own = materialise(text.join(F.broadcast(sample), "doc_id").withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "quality-texts")
+        # a repeated id has several texts; equal rows are encoded once and count n times
+        order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("digest")]
+        first = own.select("doc_id", "digest").orderBy(*order).limit(max_train_docs)
+        picked = first.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+        # one window over at most max_train_docs rows of ids
+        picked = materialise(picked.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")), "quality-picked")
+        once = own.join(F.broadcast(picked), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+        folder = storage.fresh_dir(spark, "quality-features")
+        storage.make_dir(spark, folder)
+        rows = once.mapInArrow(_features(), "place long, k long, label int, n long, size long, data binary")
+        steps = math.ceil(max_train_docs / BATCH)
+        dealt = rows.repartition(steps, F.floor(F.col("place") / BATCH)).sortWithinPartitions("place", "k")
+        manifest = materialise(dealt.mapInArrow(_batched(folder), "batch long, uri string, sizes array<long>, labels array<long>, weights array<long>"), "quality-manifest")
+        # a row for each step, of at most BATCH documents' numbers, without their features
+        bags = []
+        for r in manifest.orderBy("batch").collect():
+            bounds = np.concatenate([[0], np.cumsum(r.sizes)]).astype(np.int64)
+            bags.append((Stored(r.uri, int(bounds[-1])), bounds, np.array(r.labels, np.float64), np.array(r.weights, np.float64)))
+        return fit(bags)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

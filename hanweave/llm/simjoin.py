@@ -9,10 +9,11 @@ splits the sets on the shared token that a random order puts first (a minhash);
 over ``leaf_rows`` sets whose members share little are split again on ``branch`` further
 sampled tokens, down to ``depth`` levels.  Small buckets are compared by brute force, and
 so are large ones of truly similar sets or of the last level, in pairs of blocks that
-bound every task.  The number of runs follows from ``recall``: with probability at least
-that, a pair at the threshold meets in some leaf.  What meets is checked on the whole
-sets (48-bit shingle hashes), so no link is wrong, and pairs that meet in several leaves
-count in the first of them only.
+bound every task in rows and in shingles.  The number of runs follows from ``recall``:
+with about that probability a pair at the threshold meets in some leaf (the estimate takes
+tokens as independent; the tests measure it on planted pairs).  What meets is checked on
+the whole sets (48-bit shingle hashes), so no link is wrong, and pairs that meet in
+several leaves count in the first of them only.
 
 Links are kept as counts and as a spanning forest of each leaf, never as all pairs;
 classes come from alternating large-star and small-star rounds over those edges.
@@ -20,8 +21,14 @@ classes come from alternating large-star and small-star rounds over those edges.
 Defined cases
 -------------
 * A null, empty or blank text has no words: no links, a class of its own.
-* Every row is a document; repeated rows are copies of one another.  A class is named by
-  its smallest non-null doc_id (null if it has none).
+* Every row is a document; repeated rows are copies of one another, and a repeated or null
+  doc_id names no document: texts are found again by (doc_id, hash of the text).  A class
+  is named by its smallest non-null doc_id (null if it has none).
+* Ties: ``keep_one`` keeps the row with the smallest id, then the first in the input.
+* Very long texts: tasks take about 1 MB of text at once, a longer text by itself, whole;
+  its set is held whole, and leaves of large sets are dealt into more blocks.
+* ``near_duplicates`` reads doc_id and text alone, so other columns can't clash;
+  ``keep_one`` returns all columns of its input and no others.
 * An empty table gives no rows.
 """
 
@@ -34,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanweave.llm import ragged
-from hanweave.llm.storage import free_name, materialise
+from hanweave.llm.storage import free_name, materialise, scope
 
 TOKENS = 32
 _SPACE = np.zeros(256, bool)
@@ -90,8 +97,7 @@ def _sketch(width: int):
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in ragged.slices(batch):
                 hashes, bounds = word_hashes(*ragged.text_bytes(part.column(1)))
                 grams, ends = shingles(hashes, bounds, width)
                 a, b = identities(hashes, bounds)
@@ -104,8 +110,8 @@ def _sketch(width: int):
                 held = pa.FixedSizeListArray.from_arrays(pa.array(tokens.ravel()), TOKENS).cast(pa.list_(pa.int32()))
                 none = ~full
                 yield pa.record_batch(
-                    [part.column(0), pa.array(a.view(np.int64), mask=none), pa.array(b.view(np.int64), mask=none), held, *part.columns[2:]],
-                    names=["doc_id", "a", "b", "tokens", *part.schema.names[2:]],
+                    [part.column(0), pa.array(a.view(np.int64), mask=none), pa.array(b.view(np.int64), mask=none), held, pa.array(np.diff(ends)), *part.columns[2:]],
+                    names=["doc_id", "a", "b", "tokens", "size", *part.schema.names[2:]],
                 )
 
     return run
@@ -118,25 +124,35 @@ def _spread(width: int):
         import pyarrow as pa
 
         names = ["leaf", "pair", "side", "sid", "copies", "grams", "leaves"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        last = None  # equal rows come one after another from the merge join: one of them is enough
+        for part in (part for batch in batches for part in ragged.slices(batch, limit=1 << 19)):
+            sids = part.column(part.schema.get_field_index("sid")).to_numpy()
+            new = sids != np.concatenate([[-1 if last is None else last], sids[:-1]])
+            last = int(sids[-1])
+            part = part.filter(pa.array(new))
+            if part.num_rows:
                 hashes, bounds = word_hashes(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
                 grams, ends = shingles(hashes, bounds, width)
                 a, b = identities(hashes, bounds)
                 right = (a.view(np.int64) == part.column("a").to_numpy()) & (b.view(np.int64) == part.column("b").to_numpy())
                 grams &= np.uint64((1 << 48) - 1)
-                rows = []
+                rows, amount = [], 0
                 own = zip(*(part.column(n).to_pylist() for n in ("sid", "copies", "places")))
                 for x, y, ok, (sid, copies, places) in zip(ends[:-1], ends[1:], right, own):
-                    if ok:
-                        one = np.unique(grams[x:y])
-                        blob = one.astype("<u4").tobytes() + (one >> np.uint64(32)).astype("<u2").tobytes()
-                        leaves = sorted({p["leaf"] for p in places})
-                        rows += [(p["leaf"], p["pair"], p["side"], sid, copies, blob, leaves) for p in places]
-                cols = list(zip(*rows)) or [()] * 7
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+                    if not ok:
+                        continue
+                    one = np.unique(grams[x:y])
+                    blob = one.astype("<u4").tobytes() + (one >> np.uint64(32)).astype("<u2").tobytes()
+                    leaves = sorted({p["leaf"] for p in places})
+                    for p in places:
+                        rows.append((p["leaf"], p["pair"], p["side"], sid, copies, blob, leaves))
+                        amount += len(blob) + 8 * len(leaves)
+                        if amount > 8 << 20:  # a set of many blocks goes out bit by bit
+                            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+                            rows, amount = [], 0
+                if rows:
+                    yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
@@ -252,7 +268,7 @@ def runs_for(recall: float, similarity: float, branch: int, depth: int) -> int:
 
 
 def leaves(sets: DataFrame, runs: int, branch: int, depth: int, leaf_rows: int) -> DataFrame:
-    """Buckets to compare by brute force: leaf, sid, n (its size), at least two sets each."""
+    """Buckets to compare by brute force: leaf, sid, size (of the set), at least two sets each."""
     level = sets.select("sid", "tokens", F.posexplode(F.slice("tokens", 1, runs)).alias("run", "token"))
     level = level.select("sid", "tokens", "run", F.xxhash64("run", "token").alias("node"))
     parts = []
@@ -280,7 +296,7 @@ def leaves(sets: DataFrame, runs: int, branch: int, depth: int, leaf_rows: int)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return materialise(every, "join-leaves")
+    return materialise(every.select("leaf", "sid").join(sets.select("sid", "size"), "sid"), "join-leaves")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,67 +319,79 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(
-    docs: DataFrame, key: str | None = None, num: int = 4, den: int = 5, width: int = 5, recall: float = 0.99999, branch: int = 3, depth: int = 4, leaf_rows: int = 512
-) -> tuple[DataFrame, DataFrame]:
+    docs: DataFrame, key: str | None = None, num: int = 4, den: int = 5, width: int = 5, recall: float = 0.99999, branch: int = 3, depth: int = 4,
+    leaf_rows: int = 512, block_rows: int = 768, block_shingles: int = 1 << 20,
+) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, a, b, rid) and sets (a, b, sid, low, copies, links, root; with a ``key`` of rows best, too).
 
     ``rid`` is the row's ``key`` if there is one, and ``best`` then the set's first row by id.
     """
     runs = runs_for(recall, num / den, branch, depth)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, a long, b long, tokens array<int>"
-    if key is None:
-        sketched = rows.mapInArrow(_sketch(width), schema).withColumn("rid", F.monotonically_increasing_id())
-        best = []
-    else:
-        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("rid"))
-        sketched = keyed.mapInArrow(_sketch(width), schema + ", rid long")
-        best = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("best")]
-    sketched = materialise(sketched, "join-rows")
-    sets = materialise(
-        sketched.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("rid").alias("sid"), F.min("doc_id").alias("low"), F.min("tokens").alias("tokens"), F.count("*").alias("copies"), *best),
-        "join-sets",
-    )
-    buckets = leaves(sets.select("sid", "tokens"), runs, branch, depth, leaf_rows)
-    # buckets of the same sets need one comparison
-    h = F.xxhash64("sid").cast("decimal(38,0)")
-    alike = buckets.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(h).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("y"))
-    kept = materialise(alike.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf", "n"), "join-kept")
-    members = materialise(buckets.select("leaf", "sid").join(kept, "leaf"), "join-members")
-    # a leaf of more than leaf_rows sets is dealt into blocks, and each pair of blocks is compared
-    blocks = F.when(F.col("n") > leaf_rows, F.ceil(F.col("n") / leaf_rows)).otherwise(F.lit(1)).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid", "leaf"), F.col("blocks")).cast("int"))
-    place = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct("leaf", (F.least("block", j) * F.col("blocks") + F.greatest("block", j)).alias("pair"), F.when(F.col("block") <= j, 0).otherwise(1).alias("side")),
-    )
-    own = dealt.select("sid", place.alias("p")).groupBy("sid").agg(F.flatten(F.collect_list("p")).alias("places"))
-    needed = materialise(sets.join(own, "sid").select("sid", "low", "a", "b", "copies", "places"), "join-needed")
-    texts = rows.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("low"))).select("sid", "copies", "a", "b", "places", "text")
-    joined = texts.mapInArrow(_spread(width), "leaf long, pair int, side int, sid long, copies long, grams binary, leaves array<long>")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = joined.repartition(parts, "leaf", "pair").sortWithinPartitions("leaf", "pair", "side", "sid")
-    found = materialise(compared.mapInArrow(_verify(num, den), "sid long, root long, links long"), "join-found")
-    links = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")))
-    named = sets.drop("tokens").join(links, "sid", "left").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    return sketched, materialise(named, "join-named")
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    schema = "doc_id long, a long, b long, tokens array<int>, size long, t long"
+    with scope(spark) as made:
+        if key is None:
+            sketched = rows.mapInArrow(_sketch(width), schema).withColumn("rid", F.monotonically_increasing_id())
+            best = []
+        else:
+            keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col(key).alias("rid"))
+            sketched = keyed.mapInArrow(_sketch(width), schema + ", rid long")
+            best = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("best")]
+        sketched = materialise(sketched, "join-rows")
+        # where a set's text is found again: its smallest id, and the hash of a text with that id
+        where = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t")).alias("at")
+        grouped = sketched.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("rid").alias("sid"), where, F.min("tokens").alias("tokens"), F.max("size").alias("size"), F.count("*").alias("copies"), *best)
+        sets = materialise(grouped.select("a", "b", "sid", F.col("at.doc_id").alias("low"), F.col("at.t").alias("t"), "tokens", "size", "copies", *(["best"] if best else [])), "join-sets")
+        buckets = leaves(sets.select("sid", "tokens", "size"), runs, branch, depth, leaf_rows)
+        # buckets of the same sets need one comparison
+        h = F.xxhash64("sid").cast("decimal(38,0)")
+        alike = buckets.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(h).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("y"), F.sum("size").alias("weight"))
+        kept = materialise(alike.groupBy("n", "x", "y", "weight").agg(F.min("leaf").alias("leaf")).select("leaf", "n", "weight"), "join-kept")
+        members = materialise(buckets.select("leaf", "sid").join(kept, "leaf"), "join-members")
+        # a leaf of many sets, or of large ones, is dealt into blocks, and each pair of blocks is compared
+        many = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_shingles), F.lit(1))
+        blocks = F.when((F.col("n") > leaf_rows) | (F.col("weight") > block_shingles), many).otherwise(F.lit(1)).cast("int")
+        dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid", "leaf"), F.col("blocks")).cast("int"))
+        place = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1),
+            lambda j: F.struct("leaf", (F.least("block", j).cast("long") * F.col("blocks") + F.greatest("block", j)).alias("pair"), F.when(F.col("block") <= j, 0).otherwise(1).alias("side")),
+        )
+        own = dealt.select("sid", place.alias("p")).groupBy("sid").agg(F.flatten(F.collect_list("p")).alias("places"))
+        needed = materialise(sets.join(own, "sid").select("sid", "low", F.col("t").alias("low_t"), "a", "b", "copies", "places"), "join-needed")
+        found_again = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("t") == F.col("low_t"))
+        texts = rows.join(needed.hint("merge"), found_again).select("sid", "copies", "a", "b", "places", "text")
+        joined = texts.mapInArrow(_spread(width), "leaf long, pair long, side int, sid long, copies long, grams binary, leaves array<long>")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        compared = joined.repartition(parts, "leaf", "pair").sortWithinPartitions("leaf", "pair", "side", "sid")
+        found = materialise(compared.mapInArrow(_verify(num, den), "sid long, root long, links long"), "join-found")
+        links = found.groupBy("sid").agg(F.sum("links").alias("links"))
+        classes = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")))
+        named = sets.drop("tokens").join(links, "sid", "left").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        named = materialise(named, "join-named")
+        made.keep(sketched, named)
+    return sketched, named
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Per document (row of doc_id, text): doc_id, class_id, n_links."""
-    sketched, named = _classes(docs, **options)
-    lowest = materialise(named.groupBy("root").agg(F.min("low").alias("class_id")), "join-lowest")
-    resolved = materialise(named.join(lowest, "root").select("a", "b", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-resolved")
+    with scope(docs.sparkSession) as made:
+        sketched, named = _classes(docs, **options)
+        lowest = materialise(named.groupBy("root").agg(F.min("low").alias("class_id")), "join-lowest")
+        resolved = materialise(named.join(lowest, "root").select("a", "b", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-resolved")
+        made.keep(sketched, resolved)
     out = sketched.select("doc_id", "a", "b").join(resolved, ["a", "b"], "left")
     return out.select("doc_id", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: the first in the input of those with the smallest id."""
-    key = free_name(docs, "kept_key")
-    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "join-docs")
-    sketched, named = _classes(keyed, key, **options)
-    first = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias(key))
-    blank = sketched.filter("a IS NULL").select(F.col("rid").alias(key))
-    return keyed.join(first.unionByName(blank).hint("merge"), key, "left_semi").select(*docs.columns)
+    with scope(docs.sparkSession) as made:
+        key = free_name(docs, "kept_key")
+        keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "join-docs")
+        sketched, named = _classes(keyed, key, **options)
+        first = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias(key))
+        blank = sketched.filter("a IS NULL").select(F.col("rid").alias(key))
+        kept = materialise(first.unionByName(blank), "join-chosen")
+        made.keep(keyed, kept)
+    return keyed.join(kept.hint("merge"), key, "left_semi").select(*docs.columns)

@@ -105,6 +105,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more."""
+    remove(table.sparkSession, getattr(table, _PLACE))
+
+
 def make_dir(spark: SparkSession, path: str) -> None:
     """Create a folder through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
@@ -129,6 +134,21 @@ def write_file(folder: str, name: str, data: bytes) -> str:
     return uri
 
 
+@contextlib.contextmanager
+def new_file(folder: str, name: str):
+    """``(URI, stream)`` of a file under a random name, for what is too large to hold."""
+    uri = f"{folder}/{name}-{uuid.uuid4().hex}"
+    system, path = file_system(uri)
+    with system.open_output_stream(path) as out:
+        yield uri, out
+
+
+def read_part(uri: str, at: int, size: int) -> bytes:
+    system, path = file_system(uri)
+    with system.open_input_file(path) as f:
+        return f.read_at(size, at)
+
+
 def read_file(uri: str) -> bytes:
     system, path = file_system(uri)
     with system.open_input_file(path) as f:

@@ -313,6 +313,9 @@ def test_near_duplicates(spark):
     got = simjoin.near_duplicates(docs(spark, rows), leaf_rows=6).collect()
     key = lambda r: (-1 if r[0] is None else r[0], r[1])
     assert sorted(((r.doc_id, r.n_links) for r in got), key=key) == sorted(((i, n) for (i, _), n in zip(rows, brute_links(rows))), key=key)
+    classes = brute_classes([(i, t) for i, (_, t) in enumerate(rows)])
+    named = sorted(str((i, rows[classes[k]][0])) for k, (i, t) in enumerate(rows) if (t or "").split())
+    assert sorted(str((r.doc_id, r.class_id)) for r in got if r.doc_id not in (1, 2, 3)) == named
     kept = simjoin.keep_one(docs(spark, rows), leaf_rows=6)
     assert kept.columns == ["doc_id", "text", *EXTRA]
     assert kept.count() == len({r.class_id for r in got})
@@ -336,6 +339,41 @@ def test_keep_one_with_null_and_repeated_ids(spark):
         assert sorted(str(r) for r in got if not r[1]) == sorted(str(r) for r in rows[-3:])
 
 
+def test_recall_of_planted_pairs(spark):
+    """Pairs at the threshold meet in a leaf, over all levels of splitting."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    one = rng.integers(0, 3, (n, simjoin.TOKENS))  # a crowd: every bucket is large, two sets agree on a third
+    other = np.where(rng.random(one.shape) < 0.8, one, rng.integers(3, 6, one.shape))
+    sets = spark.createDataFrame([(i, row.tolist(), 10) for i, row in enumerate(np.concatenate([one, other]))], "sid long, tokens array<int>, size long")
+    runs = simjoin.runs_for(0.99999, 0.8, 3, 4)
+    found = simjoin.leaves(sets, runs, 3, 4, 40)
+    assert found.groupBy("leaf").count().agg(F.max("count")).first()[0] < n
+    pairs = found.select("leaf", F.col("sid").alias("x")).join(found.select("leaf", F.col("sid").alias("y")), "leaf").filter(F.col("y") == F.col("x") + n)
+    assert pairs.select("x").distinct().count() >= n - 1
+
+
+def test_near_duplicates_in_blocks(spark):
+    """A dense group, dealt into pairs of blocks, whose ids are null or repeated."""
+    rng = random.Random(2)
+    base = [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(80)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = str(rng.random())
+        rows.append((rng.choice([None, 1, 2, i]), " ".join(w)))
+    rows += rows[:3]
+    want = brute_classes([(i, t) for i, (_, t) in enumerate(rows)])
+    members = {}
+    for i, c in want.items():
+        members.setdefault(c, []).append(rows[i][0])
+    lowest = {c: min((x for x in own if x is not None), default=None) for c, own in members.items()}
+    got = simjoin.near_duplicates(docs(spark, rows), leaf_rows=8, block_rows=7, block_shingles=500).collect()
+    wanted = [(rows[i][0], lowest[want[i]], n) for i, n in enumerate(brute_links(rows))]
+    assert sorted(str((r.doc_id, r.class_id, r.n_links)) for r in got) == sorted(map(str, wanted))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(40)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]
@@ -387,22 +425,38 @@ def test_training_sees_every_passage(spark, monkeypatch):
     rows += [(own[1], "another text"), (own[2], rows[2][1])]
     labels = spark.createDataFrame([(i, i % 2) for i in own], "doc_id long, quality int")
     seen = []
-    monkeypatch.setattr(quality, "fit", lambda x, bounds, y: seen.append((np.array(x), bounds, y)) or {"share": 0.5})
+    monkeypatch.setattr(quality, "BATCH", 16)
+
+    def look(bags):
+        seen.extend((x[0 : len(x)].copy(), *more) for x, *more in bags)
+        return {"share": 0.5}
+
+    monkeypatch.setattr(quality, "fit", look)
     quality.train(docs(spark, rows), labels)
-    x, bounds, y = seen[0]
-    assert sorted(np.diff(bounds)) == sorted([600, 1, *[2] * len(own)]) and len(x) == bounds[-1] and len(y) == len(rows)
+    sizes = np.concatenate([np.diff(bounds) for _, bounds, _, _ in seen])
+    weights = np.concatenate([w for *_, w in seen])
+    assert sorted(sizes.tolist()) == sorted([600, 1, *[2] * (len(own) - 1)]) and sorted(weights.tolist()) == [*[1] * len(own), 2]
+    x, bounds = next((x, bounds) for x, bounds, *_ in seen if np.diff(bounds).max() == 600)
     long = int(np.argmax(np.diff(bounds)))
     text = rows[0][1].encode()
     assert np.array_equal(x[bounds[long] : bounds[long + 1]], quality.passages(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
 
 
+def toy_bags(rng, n=10, width=6):
+    """Bags of 9 passages, in which one passage tells the label."""
+    bags = []
+    for _ in range(n):
+        x, bounds, y = rng.normal(size=(90, width)).astype(np.float32), np.arange(0, 91, 9), np.tile([0.0, 1.0], 5)
+        x[bounds[:-1][y == 1]] += 4
+        bags.append((x, bounds, y, np.ones(10)))
+    return bags
+
+
 def test_blocks_do_not_change_the_model(monkeypatch):
-    rng = np.random.default_rng(1)
-    x, bounds, y = rng.normal(size=(90, 6)).astype(np.float32), np.arange(0, 91, 9), np.tile([0.0, 1.0], 5)
-    x[bounds[:-1][y == 1]] += 4
-    whole = quality.fit(x, bounds, y, hidden=8, gate=4, epochs=5, batch=5)
+    bags = toy_bags(np.random.default_rng(1), 2)
+    whole = quality.fit(bags, hidden=8, gate=4, epochs=5)
     monkeypatch.setattr(quality, "BLOCK", 7)
-    cut = quality.fit(x, bounds, y, hidden=8, gate=4, epochs=5, batch=5)
+    cut = quality.fit(bags, hidden=8, gate=4, epochs=5)
     assert all(np.allclose(whole[k], cut[k], atol=1e-3) for k in whole)
 
 
@@ -417,12 +471,60 @@ def test_features_are_the_text_alone():
         assert np.array_equal(every[ends[i] : ends[i + 1]], features([t])[0]), t
 
 
+def double(model_):
+    return {k: np.array(v, np.float64) for k, v in model_.items()}
+
+
+def test_forward_is_gated_attention():
+    """Scores against loops over passages."""
+    import math
+
+    rng = np.random.default_rng(3)
+    x, bounds = rng.normal(size=(11, 5)), np.array([0, 1, 4, 11])
+    m = double(quality.fit([(x, bounds, np.array([0.0, 1.0, 0.0]), np.ones(3))], hidden=4, gate=3, epochs=2))
+    for i, found in enumerate(quality.scores(m, x, bounds)):
+        encoded, energy = [], []
+        for row in x[bounds[i] : bounds[i + 1]]:
+            f = [min(8, max(-8, (v - a) / s)) for v, a, s in zip(row, m["mean"], m["std"])]
+            h = [math.tanh(sum(f[j] * m["W"][j][k] for j in range(5)) + m["b"][k]) for k in range(4)]
+            gated = [math.tanh(sum(h[k] * m["V"][k][g] for k in range(4))) / (1 + math.exp(-sum(h[k] * m["U"][k][g] for k in range(4)))) for g in range(3)]
+            encoded.append(h)
+            energy.append(math.exp(sum(v * w for v, w in zip(gated, m["w"]))))
+        z = [sum(e * h[k] for e, h in zip(energy, encoded)) / sum(energy) for k in range(4)]
+        assert abs(found - 1 / (1 + math.exp(-sum(v * c for v, c in zip(z, m["c"])) - m["o"]))) < 1e-9
+
+
 def test_gradients():
+    """Against finite differences of the loss, in every weight of the model."""
     rng = np.random.default_rng(0)
-    x, bounds, y = rng.normal(size=(40, 6)).astype(np.float32), np.arange(0, 41, 4), np.tile([0.0, 1.0], 5)
-    x[bounds[:-1][y == 1]] += 4
-    model_ = quality.fit(x, bounds, y, hidden=8, gate=4, epochs=200, batch=5, rate=1e-2)
-    assert ((quality.scores(model_, x, bounds) >= 0.5) == (y == 1)).all()
+    (x, bounds, y, _), *_ = toy_bags(rng, 1)
+    x, weight = x.astype(np.float64), rng.integers(1, 4, 10).astype(np.float64)
+    m = double(quality.fit([(x, bounds, y, weight)], hidden=5, gate=3, epochs=3))
+
+    def loss(model_):
+        p = quality.scores(model_, x, bounds)
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum()
+
+    for k, found in quality.gradients(m, x, bounds, y, weight).items():
+        for at in np.ndindex(np.shape(m[k])):
+            up, down = ({**m, k: np.array(m[k])} for _ in range(2))
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - np.asarray(found)[at]) < 1e-6, (k, at)
+    bags = toy_bags(rng)
+    learnt = quality.fit(bags, hidden=8, gate=4, epochs=40, rate=1e-2)
+    assert all(((quality.scores(learnt, x, bounds) >= 0.5) == (y == 1)).all() for x, bounds, y, _ in bags)
+
+
+def test_quality_of_long_texts(spark):
+    rng = random.Random(6)
+    good = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    own = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, good(60) if i % 2 else "SPAM!! " * 60) for i in own]
+    rows[0], rows[1], rows[2] = (own[0], "x" * 70_000), (own[1], good(2_000_000)), (own[2], "")
+    labels = spark.createDataFrame([(i, i % 2) for i in own], "doc_id long, quality int")
+    assert len(rows[1][1]) > 10_000_000
+    assert all(0 <= r.score <= 1 for r in quality.classify(docs(spark, rows), labels).collect())
 
 
 def brute_hits(docs_, items, span=10):
