@@ -19,7 +19,7 @@ Defined cases
   share a doc_id are ordered by their place in the table, so of equal rows one stays whole.
 * Very long texts: work is linear in the lines of a text; a text is one row of one task.
 * Other columns of the input pass through whatever their names; the output appends
-  n_lines and n_removed (replacing columns of those names).  An empty table gives an
+  n_lines and n_removed (replacing columns of those names; other names can be given).  An empty table gives an
   empty table.
 """
 
@@ -63,10 +63,10 @@ def _trimmed(text: Column, starts: Column, span: int) -> Column:
     return F.get(F.transform(F.array(F.struct(F.split(text, "\n", -1).alias("l"), covered.alias("c"))), cut), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:
-    """``docs`` with the lines of later window occurrences taken out of ``text``."""
+def dedup_lines(docs: DataFrame, span: int = 3, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``docs`` with the lines of later window occurrences taken out of ``text``, and two counts."""
     with scope(docs.sparkSession) as made:
-        kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+        kept = [c for c in docs.columns if c not in (n_lines, n_removed)]
         docs = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
         key, row, starts, out = (free_name(docs, n) for n in ("line_key", "line_row", "line_starts", "line_out"))
         docs = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "lines-docs")
@@ -82,5 +82,5 @@ def dedup_lines(docs: DataFrame, span: int = 3) -> DataFrame:
     joined = docs.join(gone.hint("merge"), F.col(key) == F.col(row), "left")
     whole = F.struct(F.col("text"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     done = joined.withColumn(out, F.when(F.col(starts).isNull(), whole).otherwise(_trimmed(F.col("text"), F.col(starts), span)))
-    value = lambda c: F.col(out)[c].alias(c)
-    return done.select(*[value(c) if c == "text" else F.col(c) for c in kept], value("n_lines"), value("n_removed"))
+    value = lambda c, name: F.col(out)[c].alias(name)
+    return done.select(*[value(c, c) if c == "text" else F.col(c) for c in kept], value("n_lines", n_lines), value("n_removed", n_removed))

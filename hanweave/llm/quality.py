@@ -294,14 +294,14 @@ def _batched(folder: str):
     return run
 
 
-def _score(shared):
+def _score(shared, name: str):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in ragged.slices(batch):
                 x, ends = passages(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
-                yield pa.record_batch([*part.columns, pa.array(scores(shared.value, x, ends), pa.float64())], names=[*part.schema.names, "score"])
+                yield pa.record_batch([*part.columns, pa.array(scores(shared.value, x, ends), pa.float64())], names=[*part.schema.names, name])
 
     return run
 
@@ -342,11 +342,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 6000, label_
         return fit(bags)
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a column score: the probability of label 1 of every whole text."""
-    columns = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*columns).schema.add("score", "double")
-    return docs.select(*columns).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of label 1 of every whole text."""
+    columns = [c for c in docs.columns if c != name]
+    schema = docs.select(*columns).schema.add(name, "double")
+    return docs.select(*columns).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), name), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train_docs: int = 6000) -> DataFrame:

@@ -2,13 +2,15 @@
 
 The pre-tokenisers of the supported files never join text across the cuts made here,
 so a text's ids are its chunks' ids one after another: cuts lie before each run of
-blanks (space, tab, line feed, carriage return) that follows another character, and
-between a plain ASCII letter and an ASCII sign or digit after it.  Texts with any other
-white space or control character are encoded whole.
+blanks (space, tab, line feed, carriage return) that follows a character which is neither
+white space of any kind nor a control or format character, and between a plain ASCII
+letter and an ASCII sign or digit after it.  Neither place looks at what lies further off.
 
 Chunks are found and hashed with numpy over code points; a worker keeps the ids of the
 chunks that it has met in sorted arrays, up to a fixed size, and asks the library only
-for new ones.  Two independent 64-bit hashes tell chunks apart.
+for new ones, many at a time with a special token between them, which the library treats
+like the end of a text.  Two independent 64-bit hashes tell chunks apart; where two chunks share
+the first of them, the texts are encoded directly.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ _LETTER = np.zeros(_LOW, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _ODD = np.zeros(_LOW, bool)
 _ODD[ASCII_ODD] = True
-#: White space and format characters outside ASCII, at which a text is encoded whole.
+#: White space and format characters outside ASCII, after which nothing is cut.
 _WIDE_ODD = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF, 0x180E], np.uint32)
 
-_SEARCH_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in [*ASCII_ODD, *_WIDE_ODD.tolist()]) + "]")
-_BEFORE_BLANK = re.compile("[^ \t\n\r](?=[ \t\n\r])")
+_BEFORE_BLANK = re.compile("[^ \t\n\r" + "".join(re.escape(chr(c)) for c in [*ASCII_ODD, *_WIDE_ODD.tolist()]) + "](?=[ \t\n\r])")
+
+
+class Clash(ValueError):
+    """Two chunks share a hash."""
 
 
 class Encoder:
@@ -46,6 +51,11 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the same model for many chunks in one text: a special token that takes no white space with it sets them apart
+        self.apart = Tokenizer.from_file(path)
+        special = {i: t for i, t in self.apart.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+        self.signs = [t.content for t in self.apart.get_added_tokens_decoder().values()]
+        self.mark, self.between = next(((i, t.content) for i, t in special.items()), (None, None))
         self.keep = keep
         self._clear()
 
@@ -62,6 +72,16 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
+    def _many(self, texts: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many short texts; those that hold a special token's string go by themselves."""
+        if self.between is None or any(s in t for t in texts for s in self.signs):
+            return self._raw(texts)
+        joined = [self.between.join(texts[i : i + group]) for i in range(0, len(texts), group)]
+        found = [np.fromiter(e.ids, np.uint32) for e in self.apart.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([x for own in found for x in (own, np.array([self.mark], np.uint32))])
+        ends = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
+
     def encode(self, texts: list[str], long: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts one after another, number of ids of each text)``.
 
@@ -72,13 +92,11 @@ class Encoder:
             return self._encode(texts)
         out = []
         for t in texts:
-            parts, at = [t], 0
-            if len(t) > long and not _SEARCH_ODD.search(t):
-                parts = []
-                while at < len(t):
-                    end = _BEFORE_BLANK.search(t, at + long // 4)
-                    parts.append(t[at : end.end() if end else len(t)])
-                    at += len(parts[-1])
+            parts, at = [] if len(t) > long else [t], 0
+            while len(t) > long and at < len(t):
+                end = _BEFORE_BLANK.search(t, at + long // 4)
+                parts.append(t[at : end.end() if end else len(t)])
+                at += len(parts[-1])
             found = [self._encode([p]) for p in parts]
             out.append((np.concatenate([ids for ids, _ in found]), np.array([sum(int(n.sum()) for _, n in found)], np.int64)))
         return np.concatenate([ids for ids, _ in out]), np.concatenate([n for _, n in out])
@@ -92,40 +110,25 @@ class Encoder:
         wide = np.flatnonzero(~plain)
         if len(wide):
             odd[wide] = np.isin(points[wide], _WIDE_ODD)
-        whole = np.zeros(len(texts), bool)
-        if odd.any():
-            whole[np.unique(np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1)] = True
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        lo = 0
-        while lo < len(texts):  # runs of texts that are cut, and single texts that are not
-            if whole[lo]:
-                out.append(self._raw([texts[lo]]))
-                lo += 1
-                continue
-            hi = lo
-            while hi < len(texts) and not whole[hi]:
-                hi += 1
-            a, b = bounds[lo], bounds[hi]
-            out.append(self._cut(points[a:b], low[a:b], plain[a:b], bounds[lo : hi + 1] - a))
-            lo = hi
-        if not out:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-
-    def _cut(self, points: np.ndarray, low: np.ndarray, plain: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            return self._cut(points, low, plain, odd, bounds)
+        except Clash:
+            return self._raw(texts)
+
+    def _cut(self, points: np.ndarray, low: np.ndarray, plain: np.ndarray, odd: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(points):
             return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
         blank = _BLANK[low] & plain
         letter = _LETTER[low]
         start = np.zeros(len(points), bool)
-        start[1:] = ~blank[:-1] & (blank[1:] | (letter[:-1] & plain[:-1] & plain[1:] & ~letter[1:]))
+        start[1:] = ~blank[:-1] & ~odd[:-1] & (blank[1:] | (letter[:-1] & plain[:-1] & plain[1:] & ~letter[1:]))
         start[bounds[:-1][bounds[:-1] < len(points)]] = True
         starts = np.flatnonzero(start)
         sizes = np.diff(np.append(starts, len(points)))
         h, c = ragged.cover_hashes(points, starts)
         known, first, back = np.unique(h, return_index=True, return_inverse=True)
         if (c[first][back] != c).any():
-            raise ValueError("two chunks share a hash")
+            raise Clash
         at, n = self._find(known, c[first], points, starts[first], sizes[first])
         per = n[back]
         ids = self.pool[ragged.ranges(at[back], per)]
@@ -140,11 +143,11 @@ class Encoder:
         near = np.minimum(np.searchsorted(self.hash, known), max(len(self.hash) - 1, 0))
         have = self.hash[near] == known if len(self.hash) else np.zeros(len(known), bool)
         if (self.check[near[have]] != check[have]).any():
-            raise ValueError("two chunks share a hash")
+            raise Clash
         new = np.flatnonzero(~have)
         if len(new):
             text = [points[s : s + z].tobytes().decode("utf-32-le", "surrogatepass") for s, z in zip(starts[new].tolist(), sizes[new].tolist())]
-            ids, n = self._raw(text)
+            ids, n = self._many(text)
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
             self.pool[self.used : self.used + len(ids)] = ids

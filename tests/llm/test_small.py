@@ -38,6 +38,8 @@ def test_tokeniser_is_exact(name):
     own = tokenise.Encoder(tokenizer_file(name), keep=300)
     texts = ["", "a", "'s's 's", "é. “q”", "x\x1cy", "a b", "<|endoftext|> a", "a" * 3000, "≮ ≠b"]
     texts += ["".join(rng.choices("aB1 .,'\n\t-é́ß 日s", k=rng.randint(0, 40))) for _ in range(500)]
+    odd = "".join(map(chr, [*tokenise.ASCII_ODD, *tokenise._WIDE_ODD.tolist()]))
+    texts += ["".join(rng.choices("aB1 .'\n\tés\r" + "".join(rng.sample(odd, 3)), k=rng.randint(0, 40))) for _ in range(1500)]
     for _ in range(2):
         ids, sizes = own.encode(texts)
         assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids]
@@ -46,6 +48,24 @@ def test_tokeniser_is_exact(name):
         assert sizes.tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_tokeniser_of_one_long_text_with_odd_space():
+    """Cut into stretches though it holds a no-break space and a form feed, and exact after a clash of hashes."""
+    own, plain = tokenise.Encoder(tokenizer_file(BYTE)), model(BYTE)
+    text = "some words\u00a0 and\x0c more, don't " * 300
+    seen = []
+    inner = own._encode
+    own._encode = lambda texts: seen.append(max(map(len, texts))) or inner(texts)
+    ids, _ = own.encode([text], long=1000)
+    assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and max(seen) < 400
+    own = tokenise.Encoder(tokenizer_file(BYTE))
+
+    def clash(*_):
+        raise tokenise.Clash
+
+    own._cut = clash
+    assert own.encode([text, "a b"])[0].tolist() == plain.encode(text + "", add_special_tokens=False).ids + plain.encode("a b", add_special_tokens=False).ids
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 200 + "</p>"
     rows = [(3, "u%\n", big), (1, None, big), (2, "u", big), (1, "again", big), (4, "v", None), (5, "w", "short"), (6, "w", "short"), (None, "n", big), (7, "u", "é" * 60)]
@@ -562,6 +582,21 @@ def test_decontamination(spark, bound):
     assert decontaminate.decontaminate(docs(spark, rows), bench.limit(0), broadcast_words=bound).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_a_passage_of_many_items_and_documents(spark, bound):
+    """Windows are grouped: 300 items and 300 documents share a passage, some items a part of it."""
+    passage = " ".join(f"word{i}" for i in range(40))
+    items = [(str(i), f"{passage} own{i}" if i % 3 else f"w{i} {' '.join(passage.split()[5:25])}") for i in range(300)]
+    rows = [(i, f"text {i} {passage} end" if i % 2 else " ".join(passage.split()[: i % 40])) for i in range(300)]
+    bench = spark.createDataFrame([(int(n), t) for n, t in items], "item_id long, text string")
+    got = decontaminate.decontaminate(docs(spark, rows), bench, broadcast_words=bound).collect()
+    want = {}
+    for i, t in rows:
+        if t.replace(f"text {i} ", "") not in want:
+            want[t.replace(f"text {i} ", "")] = brute_hits([(i, t)], items)[0][2:]
+    assert {r.doc_id: tuple(r)[2:] for r in got} == {i: want[t.replace(f"text {i} ", "")] for i, t in rows}
+
+
 @pytest.mark.parametrize("bound", [10**6, 0])
 def test_clean_rows_with_null_and_repeated_ids(spark, bound):
     item = "one two three four five six seven eight nine ten eleven"
