@@ -23,7 +23,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     columns pass through whatever their names.  An empty table gives an empty one.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(F.col("score") >= 0.5).select(*docs.columns)
+    name = storage.free_name(docs, "score")
+    return quality.score(docs, model, name).filter(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first.  Very long texts cost work in proportion to their lines.  Columns that documents
     may have beyond its own pass through.  An empty table gives an empty one.
     """
-    kept = lines.dedup_lines(docs)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    n_lines, n_removed = (storage.free_name(docs, n) for n in ("n_lines", "n_removed"))
+    kept = lines.dedup_lines(docs, n_lines=n_lines, n_removed=n_removed)
+    n_chars = F.when(F.col(n_removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
