@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hanweave.functions import charsets, tables
+from hanweave.functions.binding import bind
 from hanweave.operators.dictionary import Compiled, marked_replaced, quoted, replace_words, token_pattern
 
 NONE, TO_TRADITIONAL, TO_SIMPLIFIED = 0, 1, 2
@@ -30,16 +31,20 @@ def _mapped(text: Column, pairs: tuple[str, str], reserved: Sequence[str]) -> Co
     """Characters by table; reserved words, found in one pass, are held as one sign each meanwhile."""
     if not reserved:
         return F.translate(text, *pairs)
-    tokens = F.regexp_extract_all(text, F.lit(token_pattern(reserved)), F.lit(1))
     kept = F.array(*[F.lit(w) for w in reserved])
-    by_token = F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(kept, t), t).otherwise(F.translate(t, *pairs))), "")
-    if len(reserved) > len(_HELD):
-        return by_token
     signs = _HELD[: len(reserved)]
-    held = F.translate(marked_replaced(text, list(zip(reserved, signs))), *pairs)
-    for word, sign in zip(reserved, signs):
-        held = F.replace(held, F.lit(sign), F.lit(word))
-    return F.when(text.rlike("[" + "".join(signs) + "]"), by_token).otherwise(held)
+
+    def by_token(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(token_pattern(reserved)), F.lit(1))
+        return F.array_join(F.transform(tokens, lambda x: F.when(F.array_contains(kept, x), x).otherwise(F.translate(x, *pairs))), "")
+
+    def either(t: Column) -> Column:
+        held = F.translate(marked_replaced(t, list(zip(reserved, signs))), *pairs)
+        for word, sign in zip(reserved, signs):
+            held = F.replace(held, F.lit(sign), F.lit(word))
+        return F.when(t.rlike("[" + "".join(signs) + "]"), by_token(t)).otherwise(held)
+
+    return bind(text, either if len(reserved) <= len(_HELD) else by_token)
 
 
 def to_traditional(text: Column, reserved: Sequence[str] = ()) -> Column:
@@ -55,10 +60,15 @@ def convert(text: Column, direction: int, words: Compiled | None = None) -> Colu
     """Vocabulary first where one is given, then characters; blank text stays as it is."""
     if direction == NONE:
         return text
-    out = replace_words(text, words) if words else text
     reserved = words.reserved if words else ()
-    out = to_traditional(out, reserved) if direction == TO_TRADITIONAL else to_simplified(out, reserved)
-    return F.when(blank(text), text).otherwise(out)
+
+    def whole(t: Column) -> Column:
+        out = replace_words(t, words) if words else t
+        return to_traditional(out, reserved) if direction == TO_TRADITIONAL else to_simplified(out, reserved)
+
+    if words is None:
+        return F.when(blank(text), text).otherwise(whole(text))
+    return bind(text, lambda t: F.when(blank(t), t).otherwise(whole(t)))
 
 
 def convert_between(text: Column, source: str, target: str, direction: int, words: Compiled | None = None) -> Column:

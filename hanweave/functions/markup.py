@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hanweave.functions.binding import bind
+
 #: Extensions whose charset labels are rewritten.
 LABELLED = ("htm", "html", "shtm", "shtml", "asp", "aspx", "php", "css")
 
@@ -53,11 +55,14 @@ def decoded_references(text: Column) -> Column:
         named = t
         for name, sign in (("&amp;", _HELD), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
             named = F.replace(named, F.lit(name), F.lit(sign))
-        numbers = F.when(F.contains(named, F.lit("&#")), _numbers_decoded(named)).otherwise(named)
+        numbers = bind(named, lambda n: F.when(F.contains(n, F.lit("&#")), _numbers_decoded(n)).otherwise(n))
         return F.replace(numbers, F.lit(_HELD), F.lit("&"))
 
-    apart = F.array_join(F.transform(F.split(text, _HELD, -1), whole), _HELD)
-    return F.when(F.contains(text, F.lit(_HELD)), apart).otherwise(whole(text))
+    def either(t: Column) -> Column:
+        apart = F.array_join(F.transform(F.split(t, _HELD, -1), whole), _HELD)
+        return F.when(~F.contains(t, F.lit("&")), t).when(F.contains(t, F.lit(_HELD)), apart).otherwise(whole(t))
+
+    return bind(text, either)
 
 
 #: Where charset labels stand in pages: expression, then replacement.  Fixed values.

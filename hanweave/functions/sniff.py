@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hanweave.functions import charsets
+from hanweave.functions.binding import bind
 
 #: Lead bytes.
 BIG5_LEAD = "\x80-\xfe"
@@ -27,11 +28,6 @@ BIG5_AREAS = (
 GBK_AREAS = (f"[\xa1-\xa9]{_GBK_TRAIL}", f"[\xb0-\xd7]{_GBK_TRAIL}", f"[\xd8-\xf7]{_GBK_TRAIL}")
 
 
-def bind(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _report(data: Column, lead: str, areas: tuple[str, str, str]) -> Column:
     """Counts of signs and pairs by area, and the share that speaks against the charset."""
 

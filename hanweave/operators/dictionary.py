@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hanweave.functions.binding import bind
 from hanweave.operators.ranks import ranked_by
 
 SCHEMA = "ln long, enable boolean, type string, simplified string, simplified_priority int, traditional string, traditional_priority int"
@@ -97,10 +98,15 @@ def marked_replaced(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     goes token by token (``_by_tokens``).
     """
     first = dict(reversed(pairs))  # of a repeated word the first counts
-    out = F.regexp_replace(text, word_pattern(list(dict.fromkeys(w for w, _ in pairs))), f"{_OPEN}$0{_CLOSE}")
-    for word, value in first.items():
-        out = F.replace(out, F.lit(_OPEN + word + _CLOSE), F.lit(value))
-    return F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE)), _by_tokens(text, pairs)).otherwise(out)
+    pattern = word_pattern(list(dict.fromkeys(w for w, _ in pairs)))
+
+    def either(t: Column) -> Column:
+        out = F.regexp_replace(t, pattern, f"{_OPEN}$0{_CLOSE}")
+        for word, value in first.items():
+            out = F.replace(out, F.lit(_OPEN + word + _CLOSE), F.lit(value))
+        return F.when(F.contains(t, F.lit(_OPEN)) | F.contains(t, F.lit(_CLOSE)), _by_tokens(t, pairs)).otherwise(out)
+
+    return bind(text, either)
 
 
 def _by_tokens(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
