@@ -15,6 +15,13 @@ tokens as independent; the tests measure it on planted pairs).  What meets is ch
 the whole sets (48-bit shingle hashes), so no link is wrong, and pairs that meet in
 several leaves count in the first of them only.
 
+Large groups of near copies: Jaccard distances obey the triangle inequality, so sets that
+differ from one pivot by at most half the allowed distance are all linked with each other.
+Of the largest leaves (at most ``PIVOTS``, a fixed bound) a middle set is taken as a pivot;
+one more pass over the texts finds the sets around each, its core.  Links inside a core are
+counted without comparing, and a leaf's most frequent core is compared with the leaf's other
+sets only.  Which pivots are taken changes the work, not the links.
+
 Links are kept as counts and as a spanning forest of each leaf, never as all pairs;
 classes come from alternating large-star and small-star rounds over those edges.
 
@@ -39,11 +46,14 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hanweave.llm import ragged
 from hanweave.llm.storage import free_name, materialise, scope
 
 TOKENS = 32
+PIVOTS = 128
+PIVOT_SHINGLES = 1 << 15  # pivots are no larger, so what is broadcast has a fixed bound
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = ragged.mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * ragged.M2) | np.uint64(1)
@@ -90,6 +100,17 @@ def identities(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(out)
 
 
+def _tokens(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sampled tokens of each set: for each of ``TOKENS`` random orders the first shingle's hash; 0 for empty sets."""
+    full = np.diff(ends) > 0
+    tokens = np.zeros((len(full), TOKENS), np.int32)
+    if len(grams):
+        for t in range(TOKENS):
+            low = np.minimum.reduceat(grams * _ODD[t], ends[:-1][full])
+            tokens[full, t] = ragged.mix(low).astype(np.uint32).view(np.int32)
+    return tokens
+
+
 def _sketch(width: int):
     """Task: documents (doc_id, text, others) to identity hashes, sampled tokens and the others."""
 
@@ -102,11 +123,7 @@ def _sketch(width: int):
                 grams, ends = shingles(hashes, bounds, width)
                 a, b = identities(hashes, bounds)
                 full = np.diff(ends) > 0
-                tokens = np.zeros((part.num_rows, TOKENS), np.int32)
-                if len(grams):
-                    for t in range(TOKENS):
-                        low = np.minimum.reduceat(grams * _ODD[t], ends[:-1][full])
-                        tokens[full, t] = ragged.mix(low).astype(np.uint32).view(np.int32)
+                tokens = _tokens(grams, ends)
                 held = pa.FixedSizeListArray.from_arrays(pa.array(tokens.ravel()), TOKENS).cast(pa.list_(pa.int32()))
                 none = ~full
                 yield pa.record_batch(
@@ -117,14 +134,104 @@ def _sketch(width: int):
     return run
 
 
+def _own_sets(width: int):
+    """Task: texts (sid, a, b, text) to their whole sets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in (part for batch in batches for part in ragged.slices(batch)):
+            hashes, bounds = word_hashes(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
+            grams, ends = shingles(hashes, bounds, width)
+            grams &= np.uint64((1 << 48) - 1)
+            blobs = [np.unique(grams[x:y]).astype("<u8").tobytes() for x, y in zip(ends[:-1], ends[1:])]
+            yield pa.record_batch([part.column(part.schema.get_field_index("sid")), pa.array(blobs, pa.binary())], names=["sid", "grams"])
+
+    return run
+
+
+def _cores(shared, width: int, num: int, den: int):
+    """Task: texts to (a, b, core) where a set is within half the allowed distance of a pivot."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, tokens, sets = shared.value
+        sizes = np.array([len(x) for x in sets])
+        for part in (part for batch in batches for part in ragged.slices(batch)):
+            hashes, bounds = word_hashes(*ragged.text_bytes(part.column(part.schema.get_field_index("text"))))
+            grams, ends = shingles(hashes, bounds, width)
+            n = np.diff(ends)
+            # shingles may repeat in a text, so their number only bounds the set's size from above
+            some = np.flatnonzero(n >= sizes.min() * num / den)
+            if not len(some):
+                continue
+            grams, ends = grams[ragged.ranges(ends[:-1][some], n[some])], np.concatenate([[0], np.cumsum(n[some])])
+            own = _tokens(grams, ends)
+            alike = np.stack([(own == t).sum(axis=1) for t in tokens], 1)
+            best = alike.argmax(axis=1)
+            asked = np.flatnonzero(alike[np.arange(len(best)), best] >= TOKENS // 2)
+            grams &= np.uint64((1 << 48) - 1)
+            found = []
+            for i in asked.tolist():
+                one, pivot = np.unique(grams[ends[i] : ends[i + 1]]), sets[best[i]]
+                common = len(np.intersect1d(one, pivot, assume_unique=True))
+                # similarity of at least (1 + num / den) / 2
+                if common * 2 * den >= (num + den) * (len(one) + len(pivot) - common):
+                    found.append((int(some[i]), names[best[i]]))
+            if found:
+                a, b = identities(hashes, bounds)
+                at = np.array([i for i, _ in found])
+                yield pa.record_batch([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array([c for _, c in found], pa.int64())], names=["a", "b", "core"])
+
+    return run
+
+
+def _middles(rows: list) -> list:
+    """Of sampled rows (leaf, sid, tokens, ...) by leaf the one that shares most tokens with the others, if it is unlike those before."""
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r.leaf, []).append(r)
+    chosen: list = []
+    for _, own in sorted(by.items(), key=lambda x: (-x[1][0].n, x[0])):
+        tokens = np.array([r.tokens for r in own])
+        share = [(tokens == t).mean() for t in tokens]
+        middle = own[int(np.argmax(share))]
+        if all(np.mean(np.array(middle.tokens) == np.array(c.tokens)) < 0.95 for c in chosen):
+            chosen.append(middle)
+    return chosen
+
+
+def cores(rows: DataFrame, sets: DataFrame, members: DataFrame, width: int, num: int, den: int, least: int) -> DataFrame | None:
+    """Sets (sid, core) of the cores of leaves with over ``least`` sets; None if there is no such leaf."""
+    spark = rows.sparkSession
+    large = members.filter(F.col("n") > least)
+    top = large.groupBy("leaf").agg(F.first("n").alias("n")).orderBy(F.desc("n"), "leaf").limit(PIVOTS)
+    order = Window.partitionBy("leaf").orderBy(F.xxhash64("sid"), "sid")
+    picked = large.select("leaf", "sid").join(F.broadcast(top), "leaf").withColumn("place", F.row_number().over(order)).filter("place <= 32")
+    known = sets.select("sid", "tokens", "size", "low", "t").filter(F.col("size") <= PIVOT_SHINGLES)
+    # at most 32 rows of tokens for each of PIVOTS leaves
+    chosen = _middles(known.join(F.broadcast(picked), "sid").collect())
+    if not chosen:
+        return None
+    wanted = spark.createDataFrame([(r.sid, r.low, r.t) for r in chosen], "sid long, low long, low_t long")
+    texts = rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("t") == F.col("low_t")))
+    # at most PIVOTS sets of at most PIVOT_SHINGLES shingles
+    found = {r.sid: np.frombuffer(r.grams, "<u8") for r in texts.dropDuplicates(["sid"]).select("sid", "text").mapInArrow(_own_sets(width), "sid long, grams binary").collect()}
+    chosen = [r for r in chosen if r.sid in found]
+    shared = spark.sparkContext.broadcast(([r.sid for r in chosen], np.array([r.tokens for r in chosen], np.int32), [found[r.sid] for r in chosen]))
+    near = rows.select("text").mapInArrow(_cores(shared, width, num, den), "a long, b long, core long").distinct()
+    return materialise(near.join(sets.select("a", "b", "sid"), ["a", "b"]).groupBy("sid").agg(F.min("core").alias("core")), "join-cores")
+
+
 def _spread(width: int):
     """Task: texts of representatives to their whole sets (48-bit hashes), a row for each place to compare them at."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["leaf", "pair", "side", "sid", "copies", "grams", "leaves"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        names = ["leaf", "pair", "side", "sid", "copies", "core", "grams", "leaves"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         last = None  # equal rows come one after another from the merge join: one of them is enough
         for part in (part for batch in batches for part in ragged.slices(batch, limit=1 << 19)):
             sids = part.column(part.schema.get_field_index("sid")).to_numpy()
@@ -138,15 +245,15 @@ def _spread(width: int):
                 right = (a.view(np.int64) == part.column("a").to_numpy()) & (b.view(np.int64) == part.column("b").to_numpy())
                 grams &= np.uint64((1 << 48) - 1)
                 rows, amount = [], 0
-                own = zip(*(part.column(n).to_pylist() for n in ("sid", "copies", "places")))
-                for x, y, ok, (sid, copies, places) in zip(ends[:-1], ends[1:], right, own):
+                own = zip(*(part.column(n).to_pylist() for n in ("sid", "copies", "core", "places")))
+                for x, y, ok, (sid, copies, core, places) in zip(ends[:-1], ends[1:], right, own):
                     if not ok:
                         continue
                     one = np.unique(grams[x:y])
                     blob = one.astype("<u4").tobytes() + (one >> np.uint64(32)).astype("<u2").tobytes()
                     leaves = sorted({p["leaf"] for p in places})
                     for p in places:
-                        rows.append((p["leaf"], p["pair"], p["side"], sid, copies, blob, leaves))
+                        rows.append((p["leaf"], p["pair"], p["side"], sid, copies, core, blob, leaves))
                         amount += len(blob) + 8 * len(leaves)
                         if amount > 8 << 20:  # a set of many blocks goes out bit by bit
                             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -194,18 +301,20 @@ def _verify(num: int, den: int):
     """Task: rows ordered by (leaf, pair of blocks) to counts of links and forest edges."""
 
     def compare(leaf: int, side: np.ndarray, rows: list[tuple]):
-        sets = [_opened(r[2]) for r in rows]
+        sets = [_opened(r[3]) for r in rows]
         sizes = np.array([len(s) for s in sets], np.int64)
         common = _common(sets)
         linked = common * (den + num) >= num * (sizes[:, None] + sizes[None, :])
         linked &= common > 0
         cross = side.max() > side.min()
         linked &= (side[:, None] != side[None, :]) if cross else ~np.eye(len(rows), dtype=bool)
+        core = np.array([r[2] for r in rows], np.int64)
+        linked &= (core[:, None] != core[None, :]) | (core < 0)[:, None]  # links inside a core are counted already
         i, j = np.nonzero(np.triu(linked, 1))
         if not len(i):
             return
         # a pair counts in the first leaf that both sets are in
-        earlier = [np.array([x for x in r[3] if x < leaf], np.int64) for r in rows]
+        earlier = [np.array([x for x in r[4] if x < leaf], np.int64) for r in rows]
         names, place = np.unique(np.concatenate(earlier), return_inverse=True)
         if len(names):
             m = np.zeros((len(rows), len(names)), np.float32)
@@ -242,14 +351,14 @@ def _verify(num: int, den: int):
         at = None
         found: list[tuple] = []
         for batch in batches:
-            for leaf, pair, s, sid, copies, grams, leaves in zip(*(c.to_pylist() for c in batch.columns)):
+            for leaf, pair, s, sid, copies, core, grams, leaves in zip(*(c.to_pylist() for c in batch.columns)):
                 if (leaf, pair) != at:
                     if len(held) > 1:
                         found += compare(at[0], np.array(side), held)
                     held, side, at = [], [], (leaf, pair)
                 if held and held[-1][0] == sid:
                     continue  # a repeated row of the representative
-                held.append((sid, copies, grams, leaves))
+                held.append((sid, copies, core, grams, leaves))
                 side.append(s)
             if len(found) > 10_000:
                 yield out(found)
@@ -318,9 +427,44 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(new)
 
 
+def dealt(members: DataFrame, leaf_rows: int, block_rows: int, block_shingles: int) -> DataFrame:
+    """Where each set of each leaf is compared: members (leaf, sid, n, weight, size, core) with an array ``p`` of places.
+
+    A small leaf is one place.  In a large one, of many sets or of large ones, its most
+    frequent core is dealt into blocks and so are the others; each pair of blocks is a place,
+    but for those of two blocks of the core, whose links are known.
+    """
+    big = (F.col("n") > leaf_rows) | (F.col("weight") > block_shingles)
+    per = members.filter(big).filter("core IS NOT NULL").groupBy("leaf", "core").agg(F.count("*").alias("k"), F.sum("size").alias("w"))
+    main = per.groupBy("leaf").agg(F.max(F.struct("k", "core", "w")).alias("m")).select("leaf", F.col("m.core").alias("main"), F.col("m.k").alias("k"), F.col("m.w").alias("w"))
+    at = members.join(main, "leaf", "left")
+    number = lambda k, w: F.greatest(F.ceil(k / block_rows), F.ceil(w / block_shingles)).cast("int")
+    k, w = F.coalesce("k", F.lit(0)), F.coalesce("w", F.lit(0))
+    at = at.withColumn("first", F.when(big, number(k, w)).otherwise(0))
+    at = at.withColumn("others", F.when(big, number(F.col("n") - k, F.col("weight") - w)).otherwise(1))
+    inner = F.coalesce(F.col("main") == F.col("core"), F.lit(False)) & big
+    hashed = F.xxhash64("sid", "leaf")
+    block = F.when(inner, F.pmod(hashed, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(hashed, F.greatest("others", F.lit(1)))).cast("int")
+    at = at.withColumn("inner", inner).withColumn("block", block).withColumn("blocks", F.col("first") + F.col("others"))
+    # a set of the core meets the others' blocks, any other set meets all
+    met = F.when(F.col("others") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.when(F.col("inner"), F.col("first")).otherwise(0), F.col("blocks") - 1))
+    place = F.transform(
+        met,
+        lambda j: F.struct("leaf", (F.least("block", j).cast("long") * F.col("blocks") + F.greatest("block", j)).alias("pair"), F.when(F.col("block") <= j, 0).otherwise(1).alias("side")),
+    )
+    return at.select("sid", "core", place.alias("p"))
+
+
+def _core_links(inside: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, root, links) of the links inside cores."""
+    own = inside.join(sets.select("sid", "copies"), "sid")
+    whole = own.groupBy("core").agg(F.sum("copies").alias("all"), F.min("sid").alias("root"))
+    return own.join(whole, "core").select("sid", "root", (F.col("all") - F.col("copies")).alias("links"))
+
+
 def _classes(
     docs: DataFrame, key: str | None = None, num: int = 4, den: int = 5, width: int = 5, recall: float = 0.99999, branch: int = 3, depth: int = 4,
-    leaf_rows: int = 512, block_rows: int = 768, block_shingles: int = 1 << 20,
+    leaf_rows: int = 512, block_rows: int = 768, block_shingles: int = 1 << 20, core_rows: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, a, b, rid) and sets (a, b, sid, low, copies, links, root; with a ``key`` of rows best, too).
 
@@ -348,23 +492,19 @@ def _classes(
         h = F.xxhash64("sid").cast("decimal(38,0)")
         alike = buckets.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(h).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("y"), F.sum("size").alias("weight"))
         kept = materialise(alike.groupBy("n", "x", "y", "weight").agg(F.min("leaf").alias("leaf")).select("leaf", "n", "weight"), "join-kept")
-        members = materialise(buckets.select("leaf", "sid").join(kept, "leaf"), "join-members")
-        # a leaf of many sets, or of large ones, is dealt into blocks, and each pair of blocks is compared
-        many = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_shingles), F.lit(1))
-        blocks = F.when((F.col("n") > leaf_rows) | (F.col("weight") > block_shingles), many).otherwise(F.lit(1)).cast("int")
-        dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid", "leaf"), F.col("blocks")).cast("int"))
-        place = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda j: F.struct("leaf", (F.least("block", j).cast("long") * F.col("blocks") + F.greatest("block", j)).alias("pair"), F.when(F.col("block") <= j, 0).otherwise(1).alias("side")),
-        )
-        own = dealt.select("sid", place.alias("p")).groupBy("sid").agg(F.flatten(F.collect_list("p")).alias("places"))
-        needed = materialise(sets.join(own, "sid").select("sid", "low", F.col("t").alias("low_t"), "a", "b", "copies", "places"), "join-needed")
+        members = materialise(buckets.join(kept, "leaf"), "join-members")
+        inside = cores(rows, sets, members, width, num, den, core_rows)
+        if inside is None:
+            inside = spark.createDataFrame([], "sid long, core long")
+        placed = dealt(members.join(inside, "sid", "left"), leaf_rows, block_rows, block_shingles)
+        own = placed.groupBy("sid").agg(F.flatten(F.collect_list("p")).alias("places"), F.first("core").alias("core"))
+        needed = materialise(sets.join(own.filter(F.size("places") > 0), "sid").select("sid", "low", F.col("t").alias("low_t"), "a", "b", "copies", F.coalesce("core", F.lit(-1)).cast("long").alias("core"), "places"), "join-needed")
         found_again = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("t") == F.col("low_t"))
-        texts = rows.join(needed.hint("merge"), found_again).select("sid", "copies", "a", "b", "places", "text")
-        joined = texts.mapInArrow(_spread(width), "leaf long, pair long, side int, sid long, copies long, grams binary, leaves array<long>")
+        texts = rows.join(needed.hint("merge"), found_again).select("sid", "copies", "core", "a", "b", "places", "text")
+        joined = texts.mapInArrow(_spread(width), "leaf long, pair long, side int, sid long, copies long, core long, grams binary, leaves array<long>")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         compared = joined.repartition(parts, "leaf", "pair").sortWithinPartitions("leaf", "pair", "side", "sid")
-        found = materialise(compared.mapInArrow(_verify(num, den), "sid long, root long, links long"), "join-found")
+        found = materialise(compared.mapInArrow(_verify(num, den), "sid long, root long, links long").unionByName(_core_links(inside, sets)), "join-found")
         links = found.groupBy("sid").agg(F.sum("links").alias("links"))
         classes = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")))
         named = sets.drop("tokens").join(links, "sid", "left").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

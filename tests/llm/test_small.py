@@ -373,25 +373,37 @@ def test_recall_of_planted_pairs(spark):
     assert pairs.select("x").distinct().count() >= n - 1
 
 
-def test_near_duplicates_in_blocks(spark):
-    """A dense group, dealt into pairs of blocks, whose ids are null or repeated."""
-    rng = random.Random(2)
-    base = [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(80)]
+@pytest.mark.parametrize("most", [2, 8])
+def test_near_duplicates_in_blocks(spark, monkeypatch, most):
+    """Dense groups with a core, dealt into pairs of blocks, whose ids are null or repeated."""
+    rng = random.Random(most)
     rows = []
-    for i in range(90):
-        w = list(base)
-        for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(len(w))] = str(rng.random())
-        rows.append((rng.choice([None, 1, 2, i]), " ".join(w)))
+    for _ in range(2):
+        base = [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(200)]
+        for i in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, most)):
+                w[rng.randrange(len(w))] = str(rng.random())
+            rows.append((rng.choice([None, 1, 2, i]), " ".join(w)))
     rows += rows[:3]
     want = brute_classes([(i, t) for i, (_, t) in enumerate(rows)])
     members = {}
     for i, c in want.items():
         members.setdefault(c, []).append(rows[i][0])
     lowest = {c: min((x for x in own if x is not None), default=None) for c, own in members.items()}
-    got = simjoin.near_duplicates(docs(spark, rows), leaf_rows=8, block_rows=7, block_shingles=500).collect()
-    wanted = [(rows[i][0], lowest[want[i]], n) for i, n in enumerate(brute_links(rows))]
-    assert sorted(str((r.doc_id, r.class_id, r.n_links)) for r in got) == sorted(map(str, wanted))
+    wanted = sorted(str((rows[i][0], lowest[want[i]], n)) for i, n in enumerate(brute_links(rows)))
+    seen, inner = [], simjoin.cores
+
+    def watched(*args):
+        seen.append(inner(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(simjoin, "cores", watched)
+    monkeypatch.setattr(storage, "remove", lambda *_: None)  # for a look at the cores afterwards
+    got = simjoin.near_duplicates(docs(spark, rows), leaf_rows=8, block_rows=7, block_shingles=900, core_rows=10).collect()
+    assert seen[0].count() > 20 and sorted(str((r.doc_id, r.class_id, r.n_links)) for r in got) == wanted
+    plain = simjoin.near_duplicates(docs(spark, rows), leaf_rows=8, block_rows=7, core_rows=10**6).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, got))
 
 
 def test_components(spark):
