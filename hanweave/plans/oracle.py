@@ -109,6 +109,8 @@ def _charsets(s2t: tuple[str, str], t2s: tuple[str, str]) -> dict[str, str]:
     found["transcode_a2"] = guard.format(reread(Chain(docs).map(_translate("v", *t2s)), "gbk", "big5").done(), docs)
     found["file_convert_fallback"] = Chain(docs).unless_held("big5", dict(zip(*s2t))).done()
     found["transfer_between"] = Chain(docs).unless_held("gbk", "?").unless_held("big5", "?").done()
+    pages = f"SELECT page_id AS doc_id, {_translate('lower(html)', tables.LATIN, tables.SINIFIED)} AS v FROM pages"
+    found["convert_files"] = Chain(pages).encoded("gbk").decoded("gbk").map(_translate("v", *s2t)).encoded("big5").decoded("big5").done("SELECT doc_id AS page_id, v AS text FROM {}")
     broken = Chain(docs).encoded("gbk").decoded("latin1")
     again = Chain("SELECT doc_id, text AS v FROM broken").latin1().decoded("gbk").done()
     dense = "length(text) > 0 AND length(regexp_replace(text, '[^¡-¬®-ÿ]', '', 'g')) / length(text) > 0.2"
@@ -194,7 +196,9 @@ n AS (SELECT s, unnest(range(1, len(s) + 1)) AS depth FROM s),
 g AS (SELECT array_to_string(s[:depth], '/') AS path, CAST(depth AS INTEGER) AS depth, max(depth = len(s)) AS is_file FROM n GROUP BY 1, 2)
 SELECT path, CASE WHEN depth > 1 THEN array_to_string(string_split(path, '/')[:depth - 1], '/') END AS parent, depth, is_file, true AS is_checked,
   CAST(row_number() OVER (ORDER BY list_transform(string_split(path, '/'), lambda c, i: CASE WHEN i = depth AND is_file THEN '1' ELSE '0' END || c) || [chr(1114111)] DESC) AS INTEGER) AS walk FROM g""",
-        "distinct_rows": "SELECT (SELECT count(DISTINCT p_partkey) FROM part) AS by_id, (SELECT count(*) FROM (SELECT DISTINCT p_name, p_size % 2 = 0 FROM part)) AS by_value",
+        "distinct_rows": """
+SELECT 'id' AS by, p_partkey AS id, p_name AS name, p_size % 2 = 0 AS is_file FROM part
+UNION ALL SELECT 'value', -1, name, is_file FROM (SELECT DISTINCT p_name AS name, p_size % 2 = 0 AS is_file FROM part)""",
         "fullwidth_symbols": f"SELECT doc_id, {full} AS text FROM documents",
         "halfwidth_symbols": f"SELECT doc_id, {_translate(full + ' || ' + _text(tables.FULL), tables.FULL, tables.HALF)} AS text FROM documents",
         "html_entities_dec": _references("'&#' || unicode(c) || ';'"),

@@ -173,11 +173,11 @@ def tree_listing(spark, sf_dir):
 
 @query
 def distinct_rows(spark, sf_dir):
+    """Rows that two lists share, once by their id and once by their values."""
     rows = _file_list(spark, sf_dir).select("id", "name", "is_file")
     twice = rows.unionByName(rows.filter("is_file"))
-    by_id = twice.dropDuplicates(["id"]).agg(F.count("*").alias("by_id"))
-    by_value = twice.select("name", "is_file").distinct().agg(F.count("*").alias("by_value"))
-    return by_id.join(by_value)
+    by_id = twice.dropDuplicates(["id"]).select(F.lit("id").alias("by"), "id", "name", "is_file")
+    return by_id.unionByName(twice.select("name", "is_file").distinct().select(F.lit("value").alias("by"), F.lit(-1).cast("long").alias("id"), "name", "is_file"))
 
 
 # --- text ------------------------------------------------------------------------------
@@ -509,6 +509,21 @@ def files_round_trip(spark, sf_dir):
     return texts.join(found, "path").select(F.substring_index(name, ".", 1).cast("long").alias("page_id"), markup.extension(name).alias("ext"), "length", "text")
 
 
+@query
+def convert_files(spark, sf_dir):
+    """A batch from files to files: found by wildcard, read as GBK, converted, and written as Big5 by a path template."""
+    base = _work_dir(with_charsets(spark), "batch")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit(f"{base}/in/"), F.col("page_id").cast("string"), F.lit(".txt")).alias("target"), encoded(convert.sinified(F.col("html")), "gbk").alias("data"))
+    write_files(pages).agg(F.sum("bytes")).collect()
+    found = read_text(spark, f"{base}/in", "gbk", glob="*.txt")
+    path = F.concat(F.lit("in/"), F.element_at(F.split("path", "/"), -1))
+    target = F.concat(F.lit(f"{base}/"), names.output_path(path, "in/*.txt", "out/*.big5.txt"))
+    text = convert.convert_file(F.col("text"), "gbk", "big5", convert.TO_TRADITIONAL)
+    write_files(found.select(target.alias("target"), encoded(text, "big5").alias("data"))).agg(F.sum("bytes")).collect()
+    done = read_text(spark, f"{base}/out", "big5", glob="*.big5.txt")
+    return done.select(F.substring_index(F.element_at(F.split("path", "/"), -1), ".", 1).cast("long").alias("page_id"), "text")
+
+
 @query
 def stream_convert_events(spark, sf_dir):
     """All events through a file stream into a table, once each."""
