@@ -1,10 +1,13 @@
 """Every operator on tiny tables with nulls, empty texts, repeated rows and odd columns."""
 
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,7 +72,7 @@ def test_tokeniser_of_one_long_text_with_odd_space():
 def test_warc(spark):
     big = "<p>" + "x" * 200 + "</p>"
     rows = [(3, "u%\n", big), (1, None, big), (2, "u", big), (1, "again", big), (4, "v", None), (5, "w", "short"), (6, "w", "short"), (None, "n", big), (7, "u", "é" * 60)]
-    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
+    pages = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "page_id long, url string, html string, digest int, payload int, first int, refers_to int")
     manifest = warc.write_archives(pages, archive_bytes=600)
     got = warc.read_archives(manifest).collect()
     assert len(got) == len(rows) and manifest.count() > 1
@@ -106,6 +109,52 @@ def test_warc_dictionary_of_few_large_records(monkeypatch):
     assert [r for _, r in warc.unpack(data)] == records
 
 
+def test_long_pages_and_ties(spark):
+    """A payload over an archive's size, and equal payloads with equal, null and smaller ids."""
+    huge, big = "<b>" + "x y " * 500_000, "z" * 100
+    rows = [(2, huge), (None, huge), (2, big), (2, big), (None, big), (9, "z" * 99), (8, "z" * 99), (7, ""), (6, None)]
+    got = warc.read_archives(warc.write_archives(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string"), archive_bytes=1000)).collect()
+    found = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in got)
+    n = len(huge)
+    assert found == sorted([("2", n, "response", "None"), ("None", n, "revisit", "2"), ("2", 100, "response", "None"), ("2", 100, "response", "None"), ("None", 100, "revisit", "2"), ("9", 99, "response", "None"), ("8", 99, "response", "None"), ("7", 0, "response", "None"), ("6", 0, "response", "None")])
+
+
+def folders(spark):
+    folder = storage.shared_dir(spark).removeprefix("file://") + "/hanweave"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_tables_go_with_their_operator(spark):
+    """What remains is what the lazy result reads, and nothing after an error."""
+    rows = docs(spark, [(i, f"a\nb\nc\n{i}") for i in range(9)])
+    before = folders(spark)
+    for run, kept in ((lambda: lines.dedup_lines(rows), 2), (lambda: simjoin.near_duplicates(rows), 2), (lambda: suffix.remove_repeats(rows), 2), (lambda: simjoin.keep_one(rows), 2)):
+        result = run()
+        assert result.count() > 0 and len(folders(spark) - before) == kept
+        before = folders(spark)
+    with pytest.raises(ZeroDivisionError), storage.scope(spark) as made:
+        made.keep(storage.materialise(rows, "kept"))
+        raise ZeroDivisionError
+    with storage.scope(spark) as outer:
+        with storage.scope(spark) as inner:
+            one, two = (storage.materialise(rows, n) for n in "xy")
+            inner.keep(one)
+        assert one.count() == 9 and not any(n.startswith("y-") for n in folders(spark))
+    assert folders(spark) == before and outer.kept == set() and two is not one
+
+
+def test_schemes(monkeypatch):
+    seen = []
+
+    class Fake:
+        FileSystem = type("F", (), {"from_uri": staticmethod(seen.append)})
+
+    monkeypatch.setattr(pyarrow, "fs", Fake)
+    for uri in ("s3a://b/x", "s3n://b/x", "s3://b/x", "hdfs://h/x", "/x", "file:/x", "file:///x"):
+        storage.file_system(uri)
+    assert seen == ["s3://b/x", "s3://b/x", "s3://b/x", "hdfs://h/x", "file:///x", "file:///x", "file:///x"]
+
+
 def test_code_lengths():
     rng = np.random.default_rng(0)
     for n, bits in ((1, 5), (2, 1), (5, 3), (300, 9), (300, 18)):
