@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -42,7 +44,8 @@ def _mapped(text: Column, pairs: tuple[str, str], reserved: Sequence[str]) -> Co
         held = F.translate(marked_replaced(t, list(zip(reserved, signs))), *pairs)
         for word, sign in zip(reserved, signs):
             held = F.replace(held, F.lit(sign), F.lit(word))
-        return F.when(t.rlike("[" + "".join(signs) + "]"), by_token(t)).otherwise(held)
+        taken = functools.reduce(operator.or_, [F.contains(t, F.lit(sign)) for sign in signs])
+        return F.when(taken, by_token(t)).otherwise(held)
 
     return bind(text, either if len(reserved) <= len(_HELD) else by_token)
 

@@ -86,9 +86,12 @@ def token_pattern(words: Sequence[str]) -> str:
 
 
 def word_pattern(words: Sequence[str]) -> str:
-    """Any of the words, the first in order; a look at the first letter spares most places the alternatives."""
+    """Any of the words, the first in order; of many words a look at the first letter spares most places the alternatives."""
+    any_ = "(?:" + "|".join(map(quoted, words)) + ")"
+    if len(words) <= 32:
+        return any_
     heads = "".join(sorted({re.sub(r"([\\^\[\]&\-])", r"\\\1", w[0]) for w in words}))
-    return f"(?=[{heads}])(?:" + "|".join(map(quoted, words)) + ")"
+    return f"(?=[{heads}]){any_}"
 
 
 def marked_replaced(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
