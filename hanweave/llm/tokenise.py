@@ -173,7 +173,7 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
-def text_groups(batches, columns: tuple[str, ...], limit: int = 2 << 20):
+def text_groups(batches, columns: tuple[str, ...], limit: int = 1 << 20):
     """Groups of rows of about ``limit`` characters of text: lists by column; null texts are empty.
 
     The text is the last of ``columns``.  A longer text is a group by itself.
