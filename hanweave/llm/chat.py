@@ -56,8 +56,8 @@ def unescaped(value: Column, control: str = TEXT_CONTROL) -> Column:
 def reply_paths(messages: DataFrame, max_branches: int | None = None) -> DataFrame:
     """Root-to-leaf paths of messages (tree_id, msg_id, parent_id, role, text, score).
 
-    Returns a row for each message of each chosen path: tree_id, leaf_id, path_score,
-    ord (0 at the root), msg_id, role, text.
+    Returns a row for each message of each chosen path: tree_id, leaf_id, branch_rank,
+    path_score, ord (0 at the root), msg_id, role, text.
     """
     columns = [
         F.col("tree_id").cast("long").alias("tree_id"),
@@ -90,33 +90,30 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None) -> DataFra
                 leaves = leaves.join(twice.select("tree_id", F.col("msg_id").alias("leaf_id")), ["tree_id", "leaf_id"], "left_anti")
                 break
             jumps.append(twice)
-        leaves = materialise(leaves, "chat-leaves")
-        if max_branches is not None:
-            leaves = materialise(_best_leaves(leaves, jumps, nodes, max_branches), "chat-chosen")
+        branches = materialise(_ranked_leaves(leaves, jumps, nodes, max_branches), "chat-branches")
         # messages of the chosen paths: each round adds those 2^r .. 2^(r+1)-1 steps up
-        known = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("msg_id"), F.lit(0).cast("long").alias("up_by"))
-        parts = [known]
-        for r, jump in enumerate(jumps):
-            higher = known.join(jump, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", F.col("up").alias("msg_id"), (F.col("up_by") + (1 << r)).alias("up_by"))
-            parts.append(materialise(higher, "chat-reached"))
+        known = branches.withColumn("msg_id", F.col("leaf_id"))
+        parts = [branches]
+        for jump in jumps:
+            moved = known.join(jump, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", "branch_rank", "path_score", F.col("up").alias("msg_id"), (F.col("ord") - (1 << len(parts) - 1)).alias("ord"))
+            parts.append(materialise(moved, "chat-reached"))
             known = known.unionByName(parts[-1])
-        whole = materialise(known.join(nodes, ["tree_id", "msg_id"]), "chat-whole")
-        made.keep(whole)
-    path = Window.partitionBy("tree_id", "leaf_id")
-    out = whole.withColumn("path_score", F.sum("score").over(path)).withColumn("ord", F.max("up_by").over(path) - F.col("up_by"))
-    return out.select("tree_id", "leaf_id", "path_score", "ord", "msg_id", "role", "text")
+        made.keep(nodes, *parts)
+    return known.join(nodes, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", "branch_rank", "path_score", "ord", "msg_id", "role", "text")
 
 
-def _best_leaves(leaves: DataFrame, jumps: list[DataFrame], nodes: DataFrame, n: int) -> DataFrame:
-    """The ``n`` best leaves of each tree (tree_id, leaf_id) by the sum of scores up to their root."""
-    at = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("msg_id"), F.lit(0.0).alias("path_score"))
-    for jump in reversed(jumps):
+def _ranked_leaves(leaves: DataFrame, jumps: list[DataFrame], nodes: DataFrame, n: int | None) -> DataFrame:
+    """Leaves (tree_id, leaf_id) with branch_rank, path_score and ord, the number of steps to their root; the ``n`` best of each tree."""
+    at = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("msg_id"), F.lit(0.0).alias("path_score"), F.lit(0).cast("long").alias("ord"))
+    for r, jump in reversed(list(enumerate(jumps))):
         moved = at.join(jump, ["tree_id", "msg_id"], "left")
-        at = moved.select("tree_id", "leaf_id", F.coalesce("up", "msg_id").alias("msg_id"), (F.col("path_score") + F.coalesce("sum", F.lit(0.0))).alias("path_score"))
+        steps = F.col("ord") + F.when(F.col("up").isNotNull(), F.lit(1 << r)).otherwise(0)
+        at = moved.select("tree_id", "leaf_id", F.coalesce("up", "msg_id").alias("msg_id"), (F.col("path_score") + F.coalesce("sum", F.lit(0.0))).alias("path_score"), steps.alias("ord"))
     scored = at.join(nodes.select("tree_id", "msg_id", "score"), ["tree_id", "msg_id"]).withColumn("path_score", F.col("path_score") + F.col("score"))
-    # a window with a limit on its rank: tasks keep n rows a tree before the shuffle
+    # with a limit on the rank tasks keep n rows a tree before the shuffle
     order = Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id")
-    return scored.withColumn("branch_rank", F.row_number().over(order)).filter(F.col("branch_rank") <= n).select("tree_id", "leaf_id")
+    ranked = scored.withColumn("branch_rank", F.row_number().over(order))
+    return (ranked if n is None else ranked.filter(F.col("branch_rank") <= n)).select("tree_id", "leaf_id", "branch_rank", "path_score", "ord")
 
 
 def format_paths(paths: DataFrame, learned: str = "assistant") -> DataFrame:
@@ -124,17 +121,14 @@ def format_paths(paths: DataFrame, learned: str = "assistant") -> DataFrame:
     head = F.concat(F.lit("### "), escaped(F.col("role"), ROLE_CONTROL), F.lit(":\n"))
     body = escaped(F.col("text"))
     tail = "\n</turn>\n"
-    turn = paths.select("tree_id", "leaf_id", "path_score", "ord", head.alias("head"), body.alias("body"), (F.col("role") == learned).alias("learn"))
+    turn = paths.select("tree_id", "leaf_id", "branch_rank", "path_score", "ord", head.alias("head"), body.alias("body"), (F.col("role") == learned).alias("learn"))
     own = F.length("head") + F.length("body") + F.lit(len(tail))
     before = Window.partitionBy("tree_id", "leaf_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     placed = turn.withColumn("start", (F.coalesce(F.sum(own.cast("long")).over(before), F.lit(0)) + F.length("head")).cast("long"))
     item = F.struct("ord", F.concat("head", "body", F.lit(tail)).alias("turn"), "learn", "start", F.length("body").cast("long").alias("length"))
-    grouped = placed.groupBy("tree_id", "leaf_id").agg(F.max("path_score").alias("path_score"), F.sort_array(F.collect_list(item)).alias("t"))
+    grouped = placed.groupBy("tree_id", "leaf_id").agg(F.max("branch_rank").alias("branch_rank"), F.max("path_score").alias("path_score"), F.sort_array(F.collect_list(item)).alias("t"))
     spans = F.transform(F.filter("t", lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
-    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("path_score"), "leaf_id"))
-    return grouped.select(
-        "tree_id", "leaf_id", rank.alias("branch_rank"), "path_score", F.array_join(F.transform("t", lambda x: x["turn"]), "").alias("formatted"), spans.alias("loss_spans")
-    )
+    return grouped.select("tree_id", "leaf_id", "branch_rank", "path_score", F.array_join(F.transform("t", lambda x: x["turn"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
