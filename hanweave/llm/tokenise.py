@@ -51,11 +51,10 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        # the same model for many chunks in one text: a special token that takes no white space with it sets them apart
-        self.apart = Tokenizer.from_file(path)
-        special = {i: t for i, t in self.apart.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
-        self.signs = [t.content for t in self.apart.get_added_tokens_decoder().values()]
-        self.mark, self.between = next(((i, t.content) for i, t in special.items()), (None, None))
+        # a special token that takes no white space with it can set many chunks in one text apart
+        known = self.model.get_added_tokens_decoder()
+        self.signs = [t.content for t in known.values()]
+        self.mark, self.between = next(((i, t.content) for i, t in known.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), (None, None))
         self.keep = keep
         self._clear()
 
@@ -77,7 +76,11 @@ class Encoder:
         if self.between is None or any(s in t for t in texts for s in self.signs):
             return self._raw(texts)
         joined = [self.between.join(texts[i : i + group]) for i in range(0, len(texts), group)]
-        found = [np.fromiter(e.ids, np.uint32) for e in self.apart.encode_batch_fast(joined, add_special_tokens=False)]
+        self.model.encode_special_tokens = False
+        try:
+            found = [np.fromiter(e.ids, np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)]
+        finally:
+            self.model.encode_special_tokens = True
         ids = np.concatenate([x for own in found for x in (own, np.array([self.mark], np.uint32))])
         ends = np.flatnonzero(ids == self.mark)
         return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
