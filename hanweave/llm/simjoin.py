@@ -202,15 +202,16 @@ def _middles(rows: list) -> list:
     return chosen
 
 
-def cores(rows: DataFrame, sets: DataFrame, members: DataFrame, width: int, num: int, den: int, least: int) -> DataFrame | None:
-    """Sets (sid, core) of the cores of leaves with over ``least`` sets; None if there is no such leaf."""
+def cores(rows: DataFrame, sets: DataFrame, members: DataFrame, kept: DataFrame, width: int, num: int, den: int, least: int) -> tuple[DataFrame, DataFrame] | None:
+    """Sets (sid, core) in the cores of the largest leaves, and those leaves; None if none has over ``least`` sets."""
     spark = rows.sparkSession
-    large = members.filter(F.col("n") > least)
-    top = large.groupBy("leaf").agg(F.first("n").alias("n")).orderBy(F.desc("n"), "leaf").limit(PIVOTS)
-    order = Window.partitionBy("leaf").orderBy(F.xxhash64("sid"), "sid")
-    picked = large.select("leaf", "sid").join(F.broadcast(top), "leaf").withColumn("place", F.row_number().over(order)).filter("place <= 32")
+    top = kept.filter(F.col("n") > least).orderBy(F.desc("n"), "leaf").limit(PIVOTS).select("leaf", "n").collect()
+    if not top:
+        return None
+    top = F.broadcast(spark.createDataFrame(top, "leaf long, n long"))  # at most PIVOTS rows
+    # about 32 sets of each leaf, of which one is to be its pivot: a sample that decides about work only
+    picked = members.select("leaf", "sid").join(top, "leaf").filter(F.pmod(F.xxhash64("sid", "leaf"), F.ceil(F.col("n") / 32)) == 0).limit(128 * PIVOTS)
     known = sets.select("sid", "tokens", "size", "low", "t").filter(F.col("size") <= PIVOT_SHINGLES)
-    # at most 32 rows of tokens for each of PIVOTS leaves
     chosen = _middles(known.join(F.broadcast(picked), "sid").collect())
     if not chosen:
         return None
@@ -220,8 +221,8 @@ def cores(rows: DataFrame, sets: DataFrame, members: DataFrame, width: int, num:
     found = {r.sid: np.frombuffer(r.grams, "<u8") for r in texts.dropDuplicates(["sid"]).select("sid", "text").mapInArrow(_own_sets(width), "sid long, grams binary").collect()}
     chosen = [r for r in chosen if r.sid in found]
     shared = spark.sparkContext.broadcast(([r.sid for r in chosen], np.array([r.tokens for r in chosen], np.int32), [found[r.sid] for r in chosen]))
-    near = rows.select("text").mapInArrow(_cores(shared, width, num, den), "a long, b long, core long").distinct()
-    return materialise(near.join(sets.select("a", "b", "sid"), ["a", "b"]).groupBy("sid").agg(F.min("core").alias("core")), "join-cores")
+    near = rows.select("text").mapInArrow(_cores(shared, width, num, den), "a long, b long, core long").groupBy("a", "b").agg(F.min("core").alias("core"))
+    return materialise(near.join(sets.select("a", "b", "sid"), ["a", "b"]).select("sid", "core"), "join-cores"), top
 
 
 def _spread(width: int):
@@ -415,10 +416,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour links to the smallest vertex around
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         now = materialise(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "cc")
         # small star: the smaller neighbours and the vertex itself link to the smallest
-        low = materialise(now.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        low = now.groupBy("u").agg(F.min("v").alias("m"))
         moved = now.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = materialise(moved.filter("u <> v").distinct(), "cc")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -427,17 +428,22 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(new)
 
 
-def dealt(members: DataFrame, leaf_rows: int, block_rows: int, block_shingles: int) -> DataFrame:
-    """Where each set of each leaf is compared: members (leaf, sid, n, weight, size, core) with an array ``p`` of places.
+def dealt(members: DataFrame, found: tuple[DataFrame, DataFrame] | None, leaf_rows: int, block_rows: int, block_shingles: int) -> DataFrame:
+    """Where each set of each leaf is compared: of members (leaf, sid, n, weight, size) sid, core and an array ``p`` of places.
 
-    A small leaf is one place.  In a large one, of many sets or of large ones, its most
-    frequent core is dealt into blocks and so are the others; each pair of blocks is a place,
-    but for those of two blocks of the core, whose links are known.
+    A small leaf is one place.  A large one, of many sets or of large ones, is dealt into
+    blocks, and each pair of blocks is a place.  In the largest leaves the most frequent core
+    has blocks of its own, and two of those are no place, since their links are known.
     """
     big = (F.col("n") > leaf_rows) | (F.col("weight") > block_shingles)
-    per = members.filter(big).filter("core IS NOT NULL").groupBy("leaf", "core").agg(F.count("*").alias("k"), F.sum("size").alias("w"))
-    main = per.groupBy("leaf").agg(F.max(F.struct("k", "core", "w")).alias("m")).select("leaf", F.col("m.core").alias("main"), F.col("m.k").alias("k"), F.col("m.w").alias("w"))
-    at = members.join(main, "leaf", "left")
+    if found is None:
+        at = members.select("*", F.lit(None).cast("long").alias("core"), F.lit(None).cast("long").alias("main"), F.lit(0).alias("k"), F.lit(0).alias("w"))
+    else:
+        inside, top = found
+        cored = members.join(inside, "sid", "left")
+        per = cored.filter("core IS NOT NULL").join(top.select("leaf"), "leaf").groupBy("leaf", "core").agg(F.count("*").alias("k"), F.sum("size").alias("w"))
+        main = per.groupBy("leaf").agg(F.max(F.struct("k", "core", "w")).alias("m")).select("leaf", F.col("m.core").alias("main"), F.col("m.k").alias("k"), F.col("m.w").alias("w"))
+        at = cored.join(F.broadcast(main), "leaf", "left")  # a row for each of the largest leaves
     number = lambda k, w: F.greatest(F.ceil(k / block_rows), F.ceil(w / block_shingles)).cast("int")
     k, w = F.coalesce("k", F.lit(0)), F.coalesce("w", F.lit(0))
     at = at.withColumn("first", F.when(big, number(k, w)).otherwise(0))
@@ -493,10 +499,8 @@ def _classes(
         alike = buckets.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(h).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("y"), F.sum("size").alias("weight"))
         kept = materialise(alike.groupBy("n", "x", "y", "weight").agg(F.min("leaf").alias("leaf")).select("leaf", "n", "weight"), "join-kept")
         members = materialise(buckets.join(kept, "leaf"), "join-members")
-        inside = cores(rows, sets, members, width, num, den, core_rows)
-        if inside is None:
-            inside = spark.createDataFrame([], "sid long, core long")
-        placed = dealt(members.join(inside, "sid", "left"), leaf_rows, block_rows, block_shingles)
+        centred = cores(rows, sets, members, kept, width, num, den, core_rows)
+        placed = dealt(members, centred, leaf_rows, block_rows, block_shingles)
         own = placed.groupBy("sid").agg(F.flatten(F.collect_list("p")).alias("places"), F.first("core").alias("core"))
         needed = materialise(sets.join(own.filter(F.size("places") > 0), "sid").select("sid", "low", F.col("t").alias("low_t"), "a", "b", "copies", F.coalesce("core", F.lit(-1)).cast("long").alias("core"), "places"), "join-needed")
         found_again = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("t") == F.col("low_t"))
@@ -504,7 +508,8 @@ def _classes(
         joined = texts.mapInArrow(_spread(width), "leaf long, pair long, side int, sid long, copies long, core long, grams binary, leaves array<long>")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         compared = joined.repartition(parts, "leaf", "pair").sortWithinPartitions("leaf", "pair", "side", "sid")
-        found = materialise(compared.mapInArrow(_verify(num, den), "sid long, root long, links long").unionByName(_core_links(inside, sets)), "join-found")
+        found = compared.mapInArrow(_verify(num, den), "sid long, root long, links long")
+        found = materialise(found if centred is None else found.unionByName(_core_links(centred[0], sets)), "join-found")
         links = found.groupBy("sid").agg(F.sum("links").alias("links"))
         classes = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")))
         named = sets.drop("tokens").join(links, "sid", "left").join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
