@@ -11,6 +11,10 @@ from hanweave.functions import charsets
 from hanweave.operators.files import matches_extension
 
 
+#: Schemes of Hadoop's connectors that Arrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def read_text(spark: SparkSession, path: str, charset: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """Whole files as (path, text), decoded as declared; a byte-order mark isn't looked at, but dropped."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -51,7 +55,8 @@ def write_files(rows: DataFrame, target: str = "target", data: str = "data") ->
         for batch in batches:
             sizes = []
             for uri, content in zip(*(c.to_pylist() for c in batch.columns)):
-                system, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+                scheme, mark, rest = uri.partition("://")
+                system, path = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else f"file://{uri.removeprefix('file:')}")
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 part = f"{path}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
