@@ -317,10 +317,12 @@ def _write(shared, folder: str, file_ids: int, block_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int = 2, max_bits: int = 18, file_ids: int = 8 << 20, block_ids: int = 1 << 19) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, end_id: int = 2, max_bits: int = 18, file_ids: int = 8 << 20, block_ids: int = 1 << 19, most_parts: int = 16384) -> DataFrame:
     """Write all documents (doc_id, text) to token-id files in the shared folder.
 
     Returns the manifest in the files' order: part, place (in the part), file, docs, ids.
+    A part is one partition of the shuffle, of about ``file_ids`` ids, or of more where that
+    would make over ``most_parts``; it is written to as many files as it needs.
     """
     spark = docs.sparkSession
     manifest = "part int, place int, file string, docs long, ids long"
@@ -335,10 +337,10 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, max_bits: int = 18, f
         for r in found:
             counts[r.id] = r.n
         lengths = code_lengths(counts, max_bits)
-        parts = -(-int(counts.sum()) // file_ids)
+        parts = min(-(-int(counts.sum()) // file_ids), most_parts)
         marks = [i / parts for i in range(1, parts)]
         ids = groups.filter("planes IS NOT NULL").select(F.explode("doc_ids").alias("d")).select(F.coalesce("d", F.lit(NO_ID)).alias("d"))
-        cuts = ids.select(F.percentile_approx("d", marks, 100 * parts)).first()[0] if marks else []
+        cuts = ids.select(F.percentile_approx("d", marks, min(100 * parts, 1_000_000))).first()[0] if marks else []
         # equal cuts mark ids that fill several parts
         shared = spark.sparkContext.broadcast((lengths, np.array(sorted(cuts), np.int64)))
         folder = storage.fresh_dir(spark, "ids")

@@ -190,6 +190,9 @@ def test_token_files_of_one_hot_id(spark):
     rows = [(None if i % 3 else 7, f"w{i} " * (i % 5)) for i in range(300)] + [(i, "x y") for i in range(20)]
     manifest = idfile.write_ids(docs(spark, rows), tokenizer_file(WORD), file_ids=150, block_ids=40)
     assert manifest.count() > 8 and max(r.ids for r in manifest.collect()) < 400
+    few = idfile.write_ids(docs(spark, rows), tokenizer_file(WORD), file_ids=100, block_ids=40, most_parts=3)
+    assert {r.part for r in few.collect()} <= {0, 1, 2} and few.count() > 8
+    assert sorted(map(str, idfile.read_digests(few).collect())) == sorted(map(str, idfile.read_digests(manifest).collect()))
     got = sorted(idfile.read_digests(manifest).collect(), key=lambda r: r.start)
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
     ids = [-1 if r.doc_id is None else r.doc_id for r in got]
