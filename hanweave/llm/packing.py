@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from hanweave.llm import tokenise
 from hanweave.llm.storage import materialise, scope
 
+MOST_PARTS = 16384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -126,26 +127,37 @@ def bound_of(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack(capacity: int, round_: int):
-    """Task: a partition's pieces by best-fit decreasing, with its count and bound."""
+def _pack(capacity: int, round_: int, most: int):
+    """Task: a partition's pieces, up to ``most`` at once, by best-fit decreasing, with their count of sequences and its bound."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        held = pa.Table.from_batches(kept)
-        held = held.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]).combine_chunks()
-        lengths = held["length"].to_numpy()
-        which, place, fill = best_fit(lengths, capacity)
         base = (round_ << 48) + (TaskContext.get().partitionId() << 24)
-        n, bound = len(fill), lower_bound(lengths, capacity)
-        out = [held[c].combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-        out = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in out]
-        out += [pa.array(base + which), pa.array(place), pa.array(fill[which]), pa.array(np.full(len(which), n)), pa.array(np.full(len(which), bound))]
-        yield pa.record_batch(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "bins", "bound"])
+
+        def packed(kept: list):
+            held = pa.Table.from_batches(kept)
+            held = held.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]).combine_chunks()
+            lengths = held["length"].to_numpy()
+            which, place, fill = best_fit(lengths, capacity)
+            n, bound = len(fill), lower_bound(lengths, capacity)
+            out = [held[c].combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            out = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in out]
+            out += [pa.array(base + which), pa.array(place), pa.array(fill[which]), pa.array(np.full(len(which), n)), pa.array(np.full(len(which), bound))]
+            return pa.record_batch(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "bins", "bound"]), n
+
+        kept, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(batch)
+                size += batch.num_rows
+            if size >= most:
+                done, n = packed(kept)
+                yield done
+                base, kept, size = base + n, [], 0
+        if kept:
+            yield packed(kept)[0]
 
     return run
 
@@ -169,8 +181,9 @@ def pack(rows: DataFrame, capacity: int = 2048, partition_pieces: int = 65536) -
         least, n, total, before, round_ = bound_of(count, capacity), int(count.sum()), 0, None, 0
         settled: list[DataFrame] = []
         while n:
-            parts = -(-n // partition_pieces)
-            packed = materialise(pool.select(*columns).repartition(parts).mapInArrow(_pack(capacity, round_), PACKED), "pack-packed")
+            parts = min(-(-n // partition_pieces), MOST_PARTS)
+            # groups are a little larger than an even share, so that a partition is one group where it can be
+            packed = materialise(pool.select(*columns).repartition(parts).mapInArrow(_pack(capacity, round_, 2 * partition_pieces), PACKED), "pack-packed")
             used = packed.filter("offset = 0").count()
             if before is not None and used >= before:
                 break  # a round that saves nothing: the pool stays as the round before had placed it

@@ -53,6 +53,7 @@ SPANS = "chunk long, di int, start long, end long"
 _M = (ragged.M1, ragged.M2)
 _INVERSE = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in _M)
 SEGMENT = 1 << 18
+MOST_PARTS = 16384
 
 
 def _chunk(chunk_bytes: int):
@@ -171,29 +172,34 @@ def _owners(span: int, buckets: int):
 
 
 def _repeated(batches):
-    """Task: a bucket's hashes to those that occur twice, for each chunk that has them."""
+    """Task: rows ordered by bucket; each bucket's hashes to those that occur twice, for each chunk that has them."""
     import pyarrow as pa
 
-    chunks, hashes, several = [], [], []
+    def solve(chunks: list, hashes: list, several: list):
+        every = np.concatenate(hashes)
+        owner = np.repeat(np.arange(len(chunks)), [len(h) for h in hashes])
+        order = np.argsort(every, kind="stable")
+        h, o, s = every[order], owner[order], np.concatenate(several)[order]
+        run = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        keep = (np.bincount(run) > 1)[run] | (np.bincount(run, s) > 0)[run]
+        h, o = h[keep], o[keep]
+        order = np.argsort(o, kind="stable")
+        cut = np.searchsorted(o[order], np.arange(len(chunks) + 1))
+        found = [(chunk, h[order[x:y]].tobytes()) for chunk, x, y in zip(chunks, cut[:-1], cut[1:]) if y > x]
+        return pa.record_batch([pa.array([c for c, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["chunk", "blob"])
+
+    at, chunks, hashes, several = None, [], [], []
     for batch in batches:
-        for _, chunk, h, s in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, chunk, h, s in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != at:
+                if chunks:
+                    yield solve(chunks, hashes, several)
+                at, chunks, hashes, several = bucket, [], [], []
             hashes.append(np.frombuffer(h, np.uint64))
             several.append(np.frombuffer(s, bool))
             chunks.append(chunk)
-    if not chunks:
-        return
-    every = np.concatenate(hashes)
-    owner = np.repeat(np.arange(len(chunks)), [len(h) for h in hashes])
-    order = np.argsort(every, kind="stable")
-    h, o, s = every[order], owner[order], np.concatenate(several)[order]
-    run = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-    keep = (np.bincount(run) > 1)[run] | (np.bincount(run, s) > 0)[run]
-    h, o = h[keep], o[keep]
-    order = np.argsort(o, kind="stable")
-    cut = np.searchsorted(o[order], np.arange(len(chunks) + 1))
-    for i, chunk in enumerate(chunks):
-        if cut[i + 1] > cut[i]:
-            yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([h[order[cut[i] : cut[i + 1]]].tobytes()], pa.binary())], names=["chunk", "blob"])
+    if chunks:
+        yield solve(chunks, hashes, several)
 
 
 def _side(folder: str):
@@ -552,7 +558,9 @@ def _covered(chunks: DataFrame, n_chunks: int, span: int, chunk_bytes: int, grou
     # a bucket holds the hashes of about 32 MB of text, at least 64 buckets
     buckets = max(64, n_chunks * chunk_bytes >> 25)
     owners = chunks.mapInArrow(_owners(span, buckets), "bucket int, chunk long, hashes binary, several binary")
-    repeated = owners.repartition(buckets, "bucket").mapInArrow(_repeated, "chunk long, blob binary")
+    # a task takes its buckets one after another, so their number doesn't set that of the partitions
+    dealt = owners.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket")
+    repeated = dealt.mapInArrow(_repeated, "chunk long, blob binary")
     flags = _side_files(repeated, chunks, "suffix-flags")
     units = materialise(chunks.mapInArrow(_units(span, flags), UNITS), "suffix-units")
     covered = [units.filter("covered").select("chunk", "di", "start", "end")]

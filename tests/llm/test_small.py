@@ -241,7 +241,7 @@ def test_many_lines_in_one_text(spark):
     assert (r.n_lines, r.n_removed, len(r.text.split("\n"))) == (200_000, 150_000, 50_000)
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 700)
     which, place, fill = packing.best_fit(lengths, 100)
@@ -252,6 +252,10 @@ def test_packing(spark):
     rows = packing.pieces(docs(spark, ODD), tokenizer_file(BYTE), end_id=0, capacity=64, with_ids=True)
     placed = packing.pack(rows, capacity=64, partition_pieces=7).collect()
     check_packing([(i, t) for i, t in ODD], placed, 64)
+    monkeypatch.setattr(packing, "MOST_PARTS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    check_packing([(i, t) for i, t in ODD], packing.pack(rows, capacity=64, partition_pieces=7).collect(), 64)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert packing.pack(packing.pieces(docs(spark, []), tokenizer_file(BYTE))).count() == 0
     whole = packing.sequences(rows.withColumn("sequence_id", F.lit(1)).withColumn("offset", F.col("start"))).first().ids
     assert len(whole) == sum(r.length for r in placed)
@@ -718,7 +722,8 @@ def test_a_lost_side_file_is_an_error(spark):
         found.count()
 
 
-def test_suffix(spark):
+def test_suffix(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "MOST_PARTS", 3)
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(300)]
     passage = " ".join(rng.choices(vocab, k=60))
