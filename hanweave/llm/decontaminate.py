@@ -27,7 +27,7 @@ Defined cases
   null ids stay null.  Rows of the benchmark with one id count as one item, with the
   windows of all its rows; a null id is written as ``null``.
 * Ties of gram hashes in a window keep all their places, on both sides alike.
-* Very long texts: tasks take about 1 MB of text at once, a longer text by itself, whole.
+* Very long texts: tasks take about 256 KB of text at once, a longer text by itself, whole.
 * ``decontaminate`` reads doc_id and text alone, so other columns can't clash;
   ``keep_clean`` returns all columns of its input and no others.
 """

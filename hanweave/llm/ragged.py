@@ -32,7 +32,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch, name: str = "text", limit: int = 1 << 20):
+def slices(batch, name: str = "text", limit: int = 1 << 18):
     """Slices of an Arrow batch of about ``limit`` bytes of text (a longer text by itself), to bound memory."""
     _, offsets = text_bytes(batch.column(batch.schema.get_field_index(name)))
     lo = 0

@@ -32,7 +32,7 @@ Defined cases
   doc_id names no document: texts are found again by (doc_id, hash of the text).  A class
   is named by its smallest non-null doc_id (null if it has none).
 * Ties: ``keep_one`` keeps the row with the smallest id, then the first in the input.
-* Very long texts: tasks take about 1 MB of text at once, a longer text by itself, whole;
+* Very long texts: tasks take about 256 KB of text at once, a longer text by itself, whole;
   its set is held whole, and leaves of large sets are dealt into more blocks.
 * ``near_duplicates`` reads doc_id and text alone, so other columns can't clash;
   ``keep_one`` returns all columns of its input and no others.
@@ -234,7 +234,7 @@ def _spread(width: int):
         names = ["leaf", "pair", "side", "sid", "copies", "core", "grams", "leaves"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         last = None  # equal rows come one after another from the merge join: one of them is enough
-        for part in (part for batch in batches for part in ragged.slices(batch, limit=1 << 19)):
+        for part in (part for batch in batches for part in ragged.slices(batch)):
             sids = part.column(part.schema.get_field_index("sid")).to_numpy()
             new = sids != np.concatenate([[-1 if last is None else last], sids[:-1]])
             last = int(sids[-1])
